@@ -33,24 +33,30 @@ def _empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def _without_one(word: Column) -> Column:
-    size = F.length(word)
-    return F.when(size == 0, _empty_strings()).otherwise(F.transform(
-        F.sequence(F.lit(1), size),
-        lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, size)),
-    ))
+def _numbers(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _without(word: Column, place: Column) -> Column:
+    return F.concat(
+        F.substring(word, F.lit(1), place - 1), F.substring(word, place + 1, F.length(word))
+    )
 
 
 def _delete_keys(word: Column, depth: Column) -> Column:
-    one = F.when(depth >= 1, F.array_distinct(_without_one(word))).otherwise(_empty_strings())
+    """The word and what is left of it after leaving out up to ``depth`` characters."""
+    size = F.length(word)
 
-    def keys(shorter: Column) -> Column:
-        two = F.when(depth >= 2, F.flatten(F.transform(shorter, _without_one))).otherwise(
-            _empty_strings()
-        )
-        return F.array_distinct(F.concat(F.array(word), shorter, two))
+    def from_place(place: Column) -> Column:
+        return let(_without(word, place), lambda shorter: F.concat(
+            F.array(shorter),
+            F.when(depth >= 2, F.transform(
+                _numbers(place, size - 1), lambda second: _without(shorter, second)
+            )).otherwise(_empty_strings()),
+        ))
 
-    return F.transform(let(one, keys), lambda k: F.concat(F.lit("d:"), k))
+    fewer = F.flatten(F.transform(_numbers(F.lit(1), size), from_place))
+    return F.concat(F.array(word), F.when(depth >= 1, fewer).otherwise(_empty_strings()))
 
 
 def _piece_start(size: Column, piece: Column) -> Column:
@@ -113,16 +119,15 @@ def vocabulary_keys(word: Column) -> Column:
 
 
 def _swaps(word: Column) -> Column:
-    size = F.length(word)
-    return F.when(size < 2, _empty_strings()).otherwise(F.transform(
-        F.sequence(F.lit(1), size - 1),
+    return F.transform(
+        _numbers(F.lit(1), F.length(word) - 1),
         lambda i: F.concat(
             F.substring(word, F.lit(1), i - 1),
             F.substring(word, i + 1, F.lit(1)),
             F.substring(word, i, F.lit(1)),
-            F.substring(word, i + 2, size),
+            F.substring(word, i + 2, F.length(word)),
         ),
-    ))
+    )
 
 
 def edits_within_two(left: Column, right: Column) -> Column:
@@ -134,13 +139,22 @@ def edits_within_two(left: Column, right: Column) -> Column:
     beyond = F.lit(MAX_EDITS + 1)
 
     def capped(a: Column, b: Column, bound: int) -> Column:
-        value = F.levenshtein(a, b, bound)
-        return F.when(value < 0, beyond).otherwise(value)
-
-    def after_swap(a: Column, b: Column) -> Column:
-        return F.array_min(F.transform(_swaps(a), lambda s: F.least(beyond, capped(s, b, 1) + 1)))
+        return let(F.levenshtein(a, b, bound), lambda d: F.when(d < 0, beyond).otherwise(d))
+
+    def after_swap(swapped: Column, other: Column) -> Column:
+        return F.array_min(F.transform(swapped, lambda s: F.least(beyond, capped(s, other, 1) + 1)))
+
+    def with_swaps(plain: Column) -> Column:
+        def best(both: Column) -> Column:
+            return F.least(
+                plain,
+                after_swap(both["l"], right),
+                after_swap(both["r"], left),
+                F.when(F.arrays_overlap(both["l"], both["r"]), F.lit(2)),
+            )
+
+        return F.when(plain <= 1, plain).otherwise(
+            let(F.struct(_swaps(left).alias("l"), _swaps(right).alias("r")), best)
+        )
 
-    plain = capped(left, right, MAX_EDITS)
-    double_swap = F.when(F.arrays_overlap(_swaps(left), _swaps(right)), F.lit(2))
-    with_swap = F.least(plain, after_swap(left, right), after_swap(right, left), double_swap)
-    return F.when(plain <= 1, plain).otherwise(with_swap)
+    return let(capped(left, right, MAX_EDITS), with_swaps)

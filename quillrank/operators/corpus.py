@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillrank import schema
 from quillrank.functions.embedders import DOCUMENT, Embedder
 from quillrank.functions.text import build_text, clean_list, first_non_empty
+from quillrank.sources.workspace import store_bucketed
 
 
 def _names_per_book(bridge: DataFrame, names: DataFrame, fk: str, name: str, out: str) -> DataFrame:
@@ -99,16 +100,29 @@ def is_indexable(dim: int) -> Column:
     )
 
 
-def write_corpus(documents: DataFrame, path: str, dim: int, mode: str = "overwrite") -> dict[str, int]:
-    """Store the indexable documents and count both kinds during the same pass."""
+def _counted(documents: DataFrame, dim: int) -> tuple[DataFrame, Observation]:
+    """The indexable rows, and counts of both kinds taken while they pass."""
     seen = Observation()
-    ok = is_indexable(dim)
-    flagged = documents.withColumn("_ok", ok).observe(
+    flagged = documents.withColumn("_ok", is_indexable(dim)).observe(
         seen, F.count_if("_ok").alias("indexed"), F.count_if(~F.col("_ok")).alias("failed")
     )
-    flagged.where("_ok").select([f.name for f in schema.CORPUS]).write.mode(mode).parquet(path)
-    counts = seen.get
-    return {"indexed": counts["indexed"], "failed": counts["failed"]}
+    return flagged.where("_ok").select([f.name for f in schema.CORPUS]), seen
+
+
+def write_corpus(documents: DataFrame, path: str, dim: int, mode: str = "overwrite") -> dict[str, int]:
+    """Store the indexable documents as plain files and count both kinds."""
+    indexable, seen = _counted(documents, dim)
+    indexable.write.mode(mode).parquet(path)
+    return dict(seen.get)
+
+
+def store_corpus(documents: DataFrame, dim: int, buckets: int) -> tuple[DataFrame, dict[str, int]]:
+    """Store the indexable documents in buckets by id, for indexing and lookup."""
+    indexable, seen = _counted(documents, dim)
+    table = store_bucketed(
+        indexable.write, documents.sparkSession, "corpus", buckets, ["doc_id"]
+    )
+    return table, dict(seen.get)
 
 
 def latest(versions: DataFrame, key: str, order: list[str], mode: str = "replace") -> DataFrame:

@@ -14,27 +14,42 @@ from quillrank.operators.topk import top_k
 KEYS_PER_WORD = 211
 
 
+def _placed(vocabulary: DataFrame) -> DataFrame:
+    """Vocabulary spread evenly over all cores, every term in one place.
+
+    The terms are small but each one is a lot of work, so the number of parts
+    follows the cores and not the size of the data.
+    """
+    spark = vocabulary.sparkSession
+    parts = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return vocabulary.repartition(parts, "kind", "term")
+
+
 def similar_terms(
     wanted: DataFrame, vocabulary: DataFrame, cfg: RetrievalConfig, wanted_rows: int
 ) -> DataFrame:
     """Pairs ``(kind, q_term, term, edits)`` within the allowed number of edits.
 
-    ``wanted`` holds distinct ``(kind, q_term)`` and ``vocabulary`` distinct
-    ``(kind, term)``. Both sides are turned into keys, joined on them, and the
-    distance is computed once per candidate pair. Few query words are copied to
-    the tasks that read the vocabulary, so its keys are not shuffled.
+    ``wanted`` holds distinct ``(kind, q_term)``, ``vocabulary`` has ``(kind, term)``.
+    Both sides are turned into keys, joined on them, and the distance is computed
+    once per candidate pair. Few query words are copied to the tasks that hold the
+    vocabulary: its keys are not shuffled, and all candidates of a term stay in
+    its task.
     """
     probes = wanted.select(
         "kind", "q_term", allowed_edits(F.col("q_term")).alias("allowed"),
-        F.explode(probe_keys(F.col("q_term"))).alias("_key"),
+        F.explode(F.array_distinct(probe_keys(F.col("q_term")))).alias("_key"),
     )
     if wanted_rows * KEYS_PER_WORD <= cfg.broadcast_rows:
         probes = F.broadcast(probes)
-    indexed = vocabulary.select("kind", "term", F.explode(vocabulary_keys(F.col("term"))).alias("_key"))
+    terms = _placed(vocabulary).select("kind", "term").distinct()
+    indexed = terms.select("kind", "term", F.explode(vocabulary_keys(F.col("term"))).alias("_key"))
     close = F.abs(F.length("q_term") - F.length("term")) <= F.col("allowed")
     candidates = (
         indexed.join(probes, ["kind", "_key"]).where(close)
-        .select("kind", "q_term", "term", "allowed").distinct()
+        .groupBy("kind", "term", "q_term").agg(F.first("allowed").alias("allowed"))
     )
     return (
         candidates.withColumn("edits", edits_within_two(F.col("q_term"), F.col("term")))
@@ -51,9 +66,9 @@ def expand_terms(
     Every query term keeps its ``max_expansions`` closest terms of each field;
     equally close ones are taken in alphabetical order.
     """
-    pairs = similar_terms(wanted, vocabulary.select("kind", "term").distinct(), cfg, wanted_rows)
+    pairs = similar_terms(wanted, vocabulary, cfg, wanted_rows)
     shorter = F.least(F.length("q_term"), F.length("term"))
-    boosted = pairs.join(vocabulary, ["kind", "term"]).withColumn(
+    boosted = pairs.join(_placed(vocabulary), ["kind", "term"]).withColumn(
         "boost", 1.0 - F.col("edits") / shorter
     )
     best = top_k(

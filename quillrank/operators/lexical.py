@@ -10,17 +10,16 @@ is spread over all tasks.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.config import MAX_DEPTH, RetrievalConfig
 from quillrank.functions.text import clean_list, term_frequencies, tokenize, tokenize_list
 from quillrank.operators.fuzzy import expand_terms
 from quillrank.operators.topk import top_k
-from quillrank.sources.workspace import Stored, new_folder, store
+from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed
 
 TEXT = "text"
 KEYWORD = "keyword"
@@ -82,20 +81,18 @@ class LexicalIndex:
 
 
 def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig) -> LexicalIndex:
-    """Analyse the corpus once and store postings and statistics."""
+    """Analyse the corpus once and store postings and statistics.
+
+    A corpus that is stored in buckets by document is read bucket by bucket and
+    needs no shuffle here; only the counts per term are exchanged.
+    """
     spark = corpus.sparkSession
-    buckets = cfg.index_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = new_folder(spark, "postings")
-    table = f"quillrank_postings_{uuid.uuid4().hex}"
     used = corpus.select("doc_id", *cfg.field_weights)
-    # Documents move once, as whole texts, to the task that writes their bucket.
-    postings = postings_of(analyze(used.repartition(buckets, "doc_id"), cfg), cfg)
-    (
-        postings.write.format("parquet").option("path", path)
-        .partitionBy("term_part").bucketBy(buckets, "doc_id").sortBy("field", "term")
-        .saveAsTable(table)
+    postings = postings_of(analyze(used, cfg), cfg)
+    stored = store_bucketed(
+        postings.write.partitionBy("term_part"), spark, "postings",
+        bucket_count(spark, cfg.index_buckets), ["field", "term"],
     )
-    stored = spark.table(table)
     term_stats = store(term_stats_of(stored), "term-stats").df
     lengths = stored.groupBy("doc_id", "field").agg(F.first("dl").alias("dl"))
     field_stats = store(field_stats_of(lengths), "field-stats").df
@@ -146,8 +143,9 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
     distinct = wanted.select("kind", "q_term").distinct()
     if cfg.fuzzy:
         expanded = expand_terms(distinct, vocabulary, cfg, stored.rows)
-        blended = expanded.groupBy("field", "q_term").agg(F.max("df").alias("df"))
-        expanded = expanded.drop("df").join(blended, ["field", "q_term"])
+        # All expansions of a term share the frequency of the most frequent one.
+        expansions = Window.partitionBy("field", "q_term")
+        expanded = expanded.withColumn("df", F.max("df").over(expansions))
     else:
         expanded = vocabulary.join(
             distinct.withColumnRenamed("q_term", "term"), ["kind", "term"]

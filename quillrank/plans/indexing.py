@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
-from quillrank.operators.corpus import embed, write_corpus
+from quillrank.operators.corpus import embed, store_corpus
 from quillrank.operators.lexical import LexicalIndex, build_lexical_index
-from quillrank.sources.tables import read_corpus
-from quillrank.sources.workspace import new_folder
+from quillrank.sources.workspace import bucket_count
 
 
 @dataclass(frozen=True)
@@ -28,15 +27,14 @@ class SearchIndex:
         return self.corpus.select("doc_id", "vector")
 
 
-def bulk_index(
-    documents: DataFrame, embedder: Embedder, cfg: RetrievalConfig, path: str | None = None
-) -> SearchIndex:
+def bulk_index(documents: DataFrame, embedder: Embedder, cfg: RetrievalConfig) -> SearchIndex:
     """Embed normalised documents, store them, and index the stored rows.
 
-    Documents that cannot be stored do not stop the job; they are counted.
+    Every document moves once, to the task of its bucket; embedding, storing and
+    analysing happen there. Documents that cannot be stored do not stop the job,
+    they are counted.
     """
-    spark = documents.sparkSession
-    target = path or new_folder(spark, "corpus")
-    counts = write_corpus(embed(documents, embedder), target, embedder.dim)
-    corpus = read_corpus(spark, target)
+    buckets = bucket_count(documents.sparkSession, cfg.index_buckets)
+    placed = documents.repartition(buckets, "doc_id")
+    corpus, counts = store_corpus(embed(placed, embedder), embedder.dim, buckets)
     return SearchIndex(corpus, build_lexical_index(corpus, cfg), embedder, counts)

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
@@ -59,3 +59,23 @@ def store(df: DataFrame, label: str, partition_by: str | None = None) -> Stored:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return Stored(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path)
+
+
+def bucket_count(spark: SparkSession, wanted: int | None = None) -> int:
+    """Number of buckets of stored tables: as asked, else that of a shuffle."""
+    return wanted or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def store_bucketed(writer: DataFrameWriter, spark: SparkSession, label: str, buckets: int,
+                   sort_by: list[str]) -> DataFrame:
+    """Write a table whose rows are grouped by document into ``buckets`` buckets.
+
+    Later joins and aggregations by document read it without a shuffle.
+    """
+    path = new_folder(spark, label)
+    name = f"quillrank_{path.rsplit('/', 1)[1].replace('-', '_')}"
+    (
+        writer.format("parquet").option("path", path)
+        .bucketBy(buckets, "doc_id").sortBy(*sort_by).saveAsTable(name)
+    )
+    return spark.table(name)
