@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillrank.config import MAX_DEPTH, RetrievalConfig
 from quillrank.operators.topk import top_k
+from quillrank.schema import RANKED
 from quillrank.sources.workspace import Stored, store
 
 _SCORED = "query_id string, doc_id string, score double"
@@ -86,14 +87,18 @@ def _score_batches(queries: pa.Table, k: int, digits: int, probing: bool):
     return run
 
 
-def _query_blocks(queries: Stored, columns: list[str], cfg: RetrievalConfig) -> list[pa.Table]:
-    """The stored query vectors in blocks of at most about ``query_block_rows`` rows."""
+def _query_blocks(queries: Stored, columns: list[str], cfg: RetrievalConfig) -> Iterator[pa.Table]:
+    """The stored query vectors in blocks of about ``query_block_rows`` rows, none of them empty."""
     wanted = queries.df.select(columns)
     blocks = -(-queries.rows // cfg.query_block_rows)
-    if blocks <= 1:
-        return [wanted.toArrow()]
+    if blocks == 1:
+        yield wanted.toArrow()
+        return
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return [wanted.where(block == i).toArrow() for i in range(blocks)]
+    for i in range(blocks):
+        part = wanted.where(block == i).toArrow()
+        if part.num_rows:
+            yield part
 
 
 def _nearest(
@@ -110,6 +115,8 @@ def _nearest(
             part = scan.where(F.col("cell").isin(sorted({c for row in block.column("cells").to_pylist()
                                                          for c in row})))
         passes.append(part.mapInArrow(_score_batches(block, depth, cfg.score_digits, probing), _SCORED))
+    if not passes:
+        return vectors.sparkSession.createDataFrame([], RANKED)
     scored = reduce(DataFrame.unionByName, passes)
     ranked = top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)
     return ranked.select("query_id", "rank", "doc_id", "score")

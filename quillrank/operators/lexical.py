@@ -165,6 +165,9 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
 
 def _matches(postings: DataFrame, weights: Stored, cfg: RetrievalConfig) -> DataFrame:
     keys = ["term_part", "field", "term"]
+    # At most one number per folder of the index; other folders are not listed or read.
+    parts = [row[0] for row in weights.df.select("term_part").distinct().toLocalIterator()]
+    postings = postings.where(F.col("term_part").isin(parts))
     if weights.rows <= cfg.broadcast_rows:
         return postings.join(F.broadcast(weights.df), keys)
     # Too many query terms to copy to every task: shuffle both sides and spread
@@ -189,14 +192,20 @@ def bm25_scores(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig) -
     saturation = F.col("tf") / (
         F.col("tf") + cfg.k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))
     )
-    per_field = (
+    scored = (
         _matches(index.postings, weights, cfg)
         .join(F.broadcast(stats), "field")
-        .groupBy("query_id", "doc_id", "field")
-        .agg(F.sum(F.col("weight") * saturation).alias("score"))
+        .select("query_id", "doc_id", "field", (F.col("weight") * saturation).alias("part"))
     )
-    return per_field.groupBy("query_id", "doc_id").agg(
-        F.round(F.max("score"), cfg.score_digits).alias("score")
+    # One sum per field side by side: a document is aggregated once per query.
+    sums = [
+        F.sum(F.when(F.col("field") == name, F.col("part"))).alias(f"_{name}")
+        for name in cfg.field_weights
+    ]
+    best = [F.col(f"_{name}") for name in cfg.field_weights]
+    score = F.greatest(*best) if len(best) > 1 else best[0]
+    return scored.groupBy("query_id", "doc_id").agg(*sums).select(
+        "query_id", "doc_id", F.round(score, cfg.score_digits).alias("score")
     )
 
 
