@@ -4,6 +4,9 @@ Two words within the allowed number of edits always share at least one key, so
 joining on the key and verifying the distance finds exactly the pairs that a
 comparison of everything with everything would find.
 
+Keys are 64-bit hashes; two different keys with one hash only add a candidate
+that the verification drops.
+
 * Up to ``DELETE_LENGTH`` characters the keys are the word with up to ``d``
   characters left out.
 * Longer words would have too many of those. They are cut into ``2 * d + 1``
@@ -29,8 +32,8 @@ def allowed_edits(word: Column) -> Column:
     return F.when(size <= 2, 0).when(size <= 5, 1).otherwise(MAX_EDITS)
 
 
-def _empty_strings() -> Column:
-    return F.array().cast("array<string>")
+def _no_keys() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def _numbers(first: Column, last: Column) -> Column:
@@ -49,14 +52,14 @@ def _delete_keys(word: Column, depth: Column) -> Column:
 
     def from_place(place: Column) -> Column:
         return let(_without(word, place), lambda shorter: F.concat(
-            F.array(shorter),
+            F.array(F.xxhash64(shorter)),
             F.when(depth >= 2, F.transform(
-                _numbers(place, size - 1), lambda second: _without(shorter, second)
-            )).otherwise(_empty_strings()),
+                _numbers(place, size - 1), lambda second: F.xxhash64(_without(shorter, second))
+            )).otherwise(_no_keys()),
         ))
 
     fewer = F.flatten(F.transform(_numbers(F.lit(1), size), from_place))
-    return F.concat(F.array(word), F.when(depth >= 1, fewer).otherwise(_empty_strings()))
+    return F.concat(F.array(F.xxhash64(word)), F.when(depth >= 1, fewer).otherwise(_no_keys()))
 
 
 def _piece_start(size: Column, piece: Column) -> Column:
@@ -64,7 +67,7 @@ def _piece_start(size: Column, piece: Column) -> Column:
 
 
 def _piece_key(size: Column, piece: Column, text: Column) -> Column:
-    return F.concat(F.lit("s:"), size.cast("string"), F.lit(":"), piece.cast("string"), F.lit(":"), text)
+    return F.xxhash64(size, piece, text)
 
 
 def _pieces() -> Column:
@@ -112,9 +115,9 @@ def vocabulary_keys(word: Column) -> Column:
     size = F.length(word)
     depth = F.when(size <= 1, 0).when(size <= 3, 1).otherwise(MAX_EDITS)
     deletes = F.when(size <= DELETE_LENGTH + MAX_EDITS, _delete_keys(word, depth)).otherwise(
-        _empty_strings()
+        _no_keys()
     )
-    pieces = F.when(size > DELETE_LENGTH - MAX_EDITS, _piece_keys(word)).otherwise(_empty_strings())
+    pieces = F.when(size > DELETE_LENGTH - MAX_EDITS, _piece_keys(word)).otherwise(_no_keys())
     return F.concat(deletes, pieces)
 
 
@@ -130,31 +133,38 @@ def _swaps(word: Column) -> Column:
     )
 
 
+def _foreign(word: Column, other: Column) -> Column:
+    """How many characters of ``word`` do not occur in ``other`` at all."""
+    return F.length(F.call_function("translate", word, other, F.lit("")))
+
+
 def edits_within_two(left: Column, right: Column) -> Column:
     """Edit distance counting an adjacent swap as one edit; 3 means more than two.
 
-    Any script of two edits that uses a swap can start with it on one of the two
-    words, so trying each swap first on either side covers all of them.
+    A swap is two plain edits, so the plain distance decides most pairs: 0 and 1
+    are final, 2 can only become 1 by a single swap, and above 4 nothing helps.
+    What is left needs a swap and at most one other edit. Such a script can start
+    with the swap on one of the two words, so trying each swap first on either
+    side covers all of them.
     """
     beyond = F.lit(MAX_EDITS + 1)
+    same_length = F.length(left) == F.length(right)
 
-    def capped(a: Column, b: Column, bound: int) -> Column:
-        return let(F.levenshtein(a, b, bound), lambda d: F.when(d < 0, beyond).otherwise(d))
-
-    def after_swap(swapped: Column, other: Column) -> Column:
-        return F.array_min(F.transform(swapped, lambda s: F.least(beyond, capped(s, other, 1) + 1)))
+    def near(swapped: Column, other: Column) -> Column:
+        return F.exists(swapped, lambda s: F.levenshtein(s, other, 1) >= 0)
 
-    def with_swaps(plain: Column) -> Column:
-        def best(both: Column) -> Column:
-            return F.least(
-                plain,
-                after_swap(both["l"], right),
-                after_swap(both["r"], left),
-                F.when(F.arrays_overlap(both["l"], both["r"]), F.lit(2)),
-            )
+    def swap_and_one_more(both: Column) -> Column:
+        return near(both["l"], right) | near(both["r"], left) | F.arrays_overlap(both["l"], both["r"])
 
-        return F.when(plain <= 1, plain).otherwise(
-            let(F.struct(_swaps(left).alias("l"), _swaps(right).alias("r")), best)
-        )
-
-    return let(capped(left, right, MAX_EDITS), with_swaps)
+    possible = (
+        (F.abs(F.length(left) - F.length(right)) <= 1)
+        & (_foreign(left, right) <= 1) & (_foreign(right, left) <= 1)
+    )
+    pair = F.struct(_swaps(left).alias("l"), _swaps(right).alias("r"))
+    return let(F.levenshtein(left, right, 2 * MAX_EDITS), lambda plain: (
+        F.when(plain < 0, beyond)
+        .when(plain <= 1, plain)
+        .when(plain == 2, F.when(same_length & F.array_contains(_swaps(left), right), 1).otherwise(2))
+        .when(possible, F.when(let(pair, swap_and_one_more), 2).otherwise(beyond))
+        .otherwise(beyond)
+    ))

@@ -51,37 +51,34 @@ class HashingEmbedder:
         self.name = f"hashing-{dim}"
         self.dim = dim
 
-    def _slots(self, text: Column) -> Column:
-        """Per word: dimension + 1, negative for a negative sign."""
-
-        def slot(word: Column) -> Column:
-            digits = F.conv(F.substring(F.md5(word), 1, 9), 16, 10).cast("bigint")
-            place = F.shiftright(digits, 4) % self.dim + 1
-            return F.when(digits % 2 == 0, place).otherwise(-place).cast("int")
-
-        return F.transform(tokenize(text), slot)
-
     def column(self, text: Column, role: str = DOCUMENT) -> Column:
         dim = self.dim
 
-        def accumulate(slots: pa.Array) -> pa.Array:
+        def accumulate(words: pa.Array) -> pa.Array:
+            import hashlib
+
             import numpy as np
 
-            rows = len(slots)
-            lengths = np.diff(slots.offsets.to_numpy())
-            flat = slots.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(rows), lengths)
-            cell = owner * dim + np.abs(flat) - 1
-            dense = np.bincount(cell, weights=np.sign(flat), minlength=rows * dim)
-            dense = dense.reshape(rows, dim)
+            rows = len(words)
+            lengths = np.diff(words.offsets.to_numpy())
+            # Every distinct word of the batch is hashed once.
+            coded = words.flatten().dictionary_encode()
+            digits = np.fromiter(
+                (int.from_bytes(hashlib.md5(w.encode()).digest()[:5], "big") >> 4
+                 for w in coded.dictionary.to_pylist()),
+                dtype=np.int64, count=len(coded.dictionary),
+            )
+            use = coded.indices.to_numpy(zero_copy_only=False)
+            cell = np.repeat(np.arange(rows), lengths) * dim + ((digits >> 4) % dim)[use]
+            sign = np.where(digits % 2 == 0, 1.0, -1.0)[use]
+            dense = np.bincount(cell, weights=sign, minlength=rows * dim).reshape(rows, dim)
             norm = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
             norm[norm == 0.0] = 1.0
             values = pa.array((dense / norm).astype(np.float32).ravel())
             ends = pa.array(np.arange(rows + 1, dtype=np.int32) * dim)
             return pa.ListArray.from_arrays(ends, values)
 
-        embed = F.arrow_udf(accumulate, "array<float>")
-        return embed(self._slots(text))
+        return F.arrow_udf(accumulate, "array<float>")(tokenize(text))
 
 
 class ModelEmbedder:

@@ -87,6 +87,15 @@ def normalize(rows: DataFrame) -> DataFrame:
     )
 
 
+def spread(documents: DataFrame, parts: int) -> DataFrame:
+    """Move every document to the part of its id.
+
+    Embedding costs far more than moving a text, so it should not depend on how
+    the input files happened to be cut.
+    """
+    return documents.repartition(parts, "doc_id")
+
+
 def embed(documents: DataFrame, embedder: Embedder) -> DataFrame:
     """Add the vector of every document; it is a column, so rows cannot get mixed up."""
     text = build_text(F.col("title"), F.col("synopsis"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
-from quillrank.operators.corpus import embed, store_corpus
+from quillrank.operators.corpus import embed, spread, store_corpus
 from quillrank.operators.lexical import LexicalIndex, build_lexical_index
 from quillrank.sources.workspace import bucket_count
 
@@ -35,6 +35,6 @@ def bulk_index(documents: DataFrame, embedder: Embedder, cfg: RetrievalConfig) -
     they are counted.
     """
     buckets = bucket_count(documents.sparkSession, cfg.index_buckets)
-    placed = documents.repartition(buckets, "doc_id")
-    corpus, counts = store_corpus(embed(placed, embedder), embedder.dim, buckets)
+    vectors = embed(spread(documents, buckets), embedder)
+    corpus, counts = store_corpus(vectors, embedder.dim, buckets)
     return SearchIndex(corpus, build_lexical_index(corpus, cfg), embedder, counts)

@@ -19,13 +19,13 @@ from quillrank.functions.text import (
 )
 from quillrank.functions.vectors import dot, l2_norm, l2_normalize
 from quillrank.operators import evaluate, fuse, lexical, memo
-from quillrank.operators.corpus import assemble, assemble_fanout, embed, latest
+from quillrank.operators.corpus import assemble, assemble_fanout, embed, latest, spread, write_corpus
 from quillrank.operators.dense import build_cells, knn_approx, knn_exact
 from quillrank.operators.fuzzy import expand_terms
 from quillrank.plans.evaluation import judge_runs, ranked_runs
 from quillrank.schema import RESULT_ITEMS
 from quillrank.sources.tables import in_bounds, scan_corpus, with_query_defaults
-from quillrank.sources.workspace import new_folder, store
+from quillrank.sources.workspace import bucket_count, new_folder, store
 from quillrank.streaming import events as ev
 from quillrank.streaming import ingest
 from workloads import bindings as b
@@ -103,7 +103,8 @@ def corpus_count(spark, sf):
 
 @query
 def embed_documents(spark, sf):
-    vectors = embed(b.documents(spark, sf), HashingEmbedder()).select("doc_id", "vector")
+    placed = spread(b.documents(spark, sf), bucket_count(spark))
+    vectors = embed(placed, HashingEmbedder()).select("doc_id", "vector")
     cells = vectors.select("doc_id", F.posexplode("vector").alias("pos", "x"))
     return cells.where(F.col("x") != 0).select(
         "doc_id", "pos", F.round(F.col("x").cast("double"), 6).alias("x")
@@ -134,8 +135,6 @@ def bulk_index_counts(spark, sf):
         F.col("reason").isNull(),
         HashingEmbedder().column(build_text(F.col("title"), F.col("synopsis"))),
     ))
-    from quillrank.operators.corpus import write_corpus
-
     nothing = F.array().cast("array<string>")
     shaped = vectors.select(
         F.col("event_id").cast("string").alias("doc_id"), "title", "synopsis",
