@@ -56,6 +56,7 @@ class RetrievalConfig:
     # change how a result is computed, never what it is.
     broadcast_rows: int = 2_000_000
     query_block_rows: int = 4_096
+    exhaustive_matches: int = 500_000_000
     join_salts: int = 32
     term_partitions: int = 8
     index_buckets: int | None = None

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillrank.config import MAX_DEPTH, RetrievalConfig
 from quillrank.functions.text import clean_list, term_frequencies, tokenize, tokenize_list
 from quillrank.operators.fuzzy import expand_terms
+from quillrank.operators.pruning import pruned_scores
+from quillrank.operators.scoring import best_field, contributions, field_sums, matches, term_part
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed
 
@@ -25,10 +27,6 @@ TEXT = "text"
 KEYWORD = "keyword"
 
 
-def term_part(cfg: RetrievalConfig, term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(cfg.term_partitions)).cast("int")
-
-
 def _field_tokens(corpus: DataFrame, name: str, cfg: RetrievalConfig) -> Column:
     column = F.col(name)
     is_list = corpus.schema[name].dataType.typeName() == "array"
@@ -129,10 +127,12 @@ def _weight_of_field(cfg: RetrievalConfig) -> Column:
 
 
 def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig) -> DataFrame:
-    """What one occurrence of a term contributes to a query: ``(query_id, field, term, weight)``.
+    """``(query_id, field, term, weight, df, term_part)``.
 
-    Contains the inverse document frequency, the query term frequency, the field
-    weight and, for expanded terms, the boost of the expansion.
+    The weight is what a term contributes to the score of a document at most. It
+    contains the inverse document frequency, the query term frequency, the field
+    weight and, for expanded terms, the boost of the expansion. ``df`` is the
+    number of documents that have the term in that field.
     """
     stored = store(query_terms(queries, cfg), "query-terms")
     wanted = stored.df
@@ -145,74 +145,51 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
         expanded = expand_terms(distinct, vocabulary, cfg, stored.rows)
         # All expansions of a term share the frequency of the most frequent one.
         expansions = Window.partitionBy("field", "q_term")
-        expanded = expanded.withColumn("df", F.max("df").over(expansions))
+        expanded = expanded.withColumn("shared_df", F.max("df").over(expansions))
     else:
         expanded = vocabulary.join(
             distinct.withColumnRenamed("q_term", "term"), ["kind", "term"]
         ).select("kind", "field", F.col("term").alias("q_term"), "term",
-                 F.lit(1.0).alias("boost"), "df")
+                 F.lit(1.0).alias("boost"), "df", F.col("df").alias("shared_df"))
     stats = index.field_stats.select("field", "n_docs")
-    n, df = F.col("n_docs"), F.col("df")
+    n, df = F.col("n_docs"), F.col("shared_df")
     idf = F.log(1.0 + (n - df + 0.5) / (df + 0.5))
     return (
         wanted.join(expanded, ["kind", "q_term"])
         .join(F.broadcast(stats), "field")
         .groupBy("query_id", "field", "term")
-        .agg(F.sum(F.col("qtf") * F.col("boost") * idf * _weight_of_field(cfg)).alias("weight"))
+        .agg(F.sum(F.col("qtf") * F.col("boost") * idf * _weight_of_field(cfg)).alias("weight"),
+             F.first("df").alias("df"))
         .withColumn("term_part", term_part(cfg, F.col("term")))
     )
 
 
-def _matches(postings: DataFrame, weights: Stored, cfg: RetrievalConfig) -> DataFrame:
-    keys = ["term_part", "field", "term"]
-    # At most one number per folder of the index; other folders are not listed or read.
-    parts = [row[0] for row in weights.df.select("term_part").distinct().toLocalIterator()]
-    postings = postings.where(F.col("term_part").isin(parts))
-    if weights.rows <= cfg.broadcast_rows:
-        return postings.join(F.broadcast(weights.df), keys)
-    # Too many query terms to copy to every task: shuffle both sides and spread
-    # the postings of a frequent term over several tasks.
-    salts = cfg.join_salts
-    left = postings.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    right = weights.df.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
-    )
-    return left.join(right, [*keys, "_salt"])
-
-
-def bm25_scores(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig) -> DataFrame:
-    """``(query_id, doc_id, score)`` for every document that matches a term.
-
-    Within a field the terms add up; over the fields the best one counts.
-    """
-    weights = store(query_weights(queries, index, cfg), "query-weights")
-    stats = index.field_stats.select("field", "avgdl")
-    keyword = [name for name in cfg.field_weights if cfg.is_keyword(name)]
-    b = F.when(F.col("field").isin(keyword), F.lit(0.0)).otherwise(F.lit(cfg.b))
-    saturation = F.col("tf") / (
-        F.col("tf") + cfg.k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))
-    )
-    scored = (
-        _matches(index.postings, weights, cfg)
-        .join(F.broadcast(stats), "field")
-        .select("query_id", "doc_id", "field", (F.col("weight") * saturation).alias("part"))
-    )
-    # One sum per field side by side: a document is aggregated once per query.
-    sums = [
-        F.sum(F.when(F.col("field") == name, F.col("part"))).alias(f"_{name}")
-        for name in cfg.field_weights
-    ]
-    best = [F.col(f"_{name}") for name in cfg.field_weights]
-    score = F.greatest(*best) if len(best) > 1 else best[0]
-    return scored.groupBy("query_id", "doc_id").agg(*sums).select(
-        "query_id", "doc_id", F.round(score, cfg.score_digits).alias("score")
+def bm25_scores(weights: Stored, index: LexicalIndex, cfg: RetrievalConfig) -> DataFrame:
+    """``(query_id, doc_id, score)`` for every document that matches a term."""
+    parts = contributions(matches(index.postings, weights, cfg), index.field_stats, cfg)
+    return field_sums(parts, cfg).select(
+        "query_id", "doc_id", F.round(best_field(cfg), cfg.score_digits).alias("score")
     )
 
 
 def bm25_top(
     queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig, depth: int = MAX_DEPTH
 ) -> DataFrame:
-    """The ``depth`` best documents of every query: ``(query_id, rank, doc_id, score)``."""
-    scores = bm25_scores(queries, index, cfg)
+    """The ``depth`` best documents of every query: ``(query_id, rank, doc_id, score)``.
+
+    Within a field the terms add up; over the fields the best one counts. When
+    the queries contain very frequent terms, documents that match nothing else
+    and cannot get into the result are left out before scoring; the result is
+    the same.
+    """
+    weights = store(
+        query_weights(queries, index, cfg), "query-weights",
+        totals={"matches": F.coalesce(F.sum("df"), F.lit(0))},
+    )
+    scores = None
+    if weights.totals["matches"] > cfg.exhaustive_matches:
+        scores = pruned_scores(weights, index.postings, index.field_stats, cfg, depth)
+    if scores is None:
+        scores = bm25_scores(weights, index, cfg)
     ranked = top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)
     return ranked.select("query_id", "rank", "doc_id", "score")

@@ -1,0 +1,108 @@
+"""Scoring without visiting all documents of very frequent terms.
+
+A term contributes at most its weight. If all the weak terms of a query together
+stay below the score that is needed to get into the result, a document that
+matches nothing else need not be scored. Three passes over the index, none of
+which multiplies the postings of a frequent term by the queries that contain it:
+
+1. the strongest terms of every query give a score that enough documents reach;
+2. the terms that are not weak give the candidates;
+3. the candidates are scored with all terms.
+
+The result is exact. Scores are compared with a margin wider than their rounding.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillrank.config import RetrievalConfig
+from quillrank.operators.scoring import (
+    best_field, contributions, field_column, field_sums, folders_of, matches,
+)
+from quillrank.operators.topk import top_k
+from quillrank.sources.workspace import Stored, store
+
+# Matches to look at per wanted document when looking for a reachable score.
+SEED_FACTOR = 10
+
+
+def _floors(
+    weights: Stored, postings: DataFrame, field_stats: DataFrame, cfg: RetrievalConfig, depth: int
+) -> DataFrame:
+    """``(query_id, floor)``: at least ``depth`` documents score this much.
+
+    Queries with fewer documents among their strongest terms have no floor.
+    """
+    strongest = Window.partitionBy("query_id").orderBy(F.desc("weight"), "field", "term")
+    before = F.sum("df").over(strongest.rowsBetween(Window.unboundedPreceding, -1))
+    seeds = store(
+        weights.df.withColumn("_before", F.coalesce(before, F.lit(0)))
+        .where(F.col("_before") < SEED_FACTOR * depth).drop("_before"),
+        "seed-weights",
+    )
+    partial = field_sums(contributions(matches(postings, seeds, cfg), field_stats, cfg), cfg)
+    reached = partial.select("query_id", "doc_id", best_field(cfg).alias("score"))
+    ranked = top_k(reached, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)
+    margin = 2.0 * 10.0 ** -cfg.score_digits
+    return ranked.where(F.col("rank") == depth).select(
+        "query_id", (F.col("score") - margin).alias("floor")
+    )
+
+
+def pruned_scores(
+    weights: Stored, postings: DataFrame, field_stats: DataFrame, cfg: RetrievalConfig, depth: int
+) -> DataFrame | None:
+    """Scores of all documents that can be among the ``depth`` best of a query.
+
+    None if leaving out the weak terms would not save most of the work.
+    """
+    floors = _floors(weights, postings, field_stats, cfg, depth)
+    weakest = Window.partitionBy("query_id", "field").orderBy("weight", "term")
+    together = F.sum("weight").over(weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    weak = F.coalesce(together < F.col("floor"), F.lit(False))
+    split = store(
+        weights.df.join(floors, "query_id", "left").withColumn("weak", weak), "split-weights",
+        totals={"strong": F.coalesce(F.sum(F.when(~F.col("weak"), F.col("df"))), F.lit(0))},
+    )
+    if 2 * split.totals["strong"] > weights.totals["matches"]:
+        return None
+
+    strong = split.df.where(~F.col("weak")).drop("weak", "floor")
+    found = field_sums(
+        contributions(matches(postings, _part(split, strong), cfg), field_stats, cfg), cfg
+    )
+    limits = split.df.groupBy("query_id").agg(F.first("floor").alias("floor"), *[
+        F.coalesce(F.sum(F.when(F.col("weak") & (F.col("field") == name), F.col("weight"))), F.lit(0.0))
+        .alias(f"_rest{field_column(name)}")
+        for name in cfg.field_weights
+    ])
+    if weights.rows <= cfg.broadcast_rows:
+        limits = F.broadcast(limits)
+    # A field without a strong match stays below the floor by itself.
+    attainable = [
+        F.col(field_column(name)) + F.col(f"_rest{field_column(name)}") for name in cfg.field_weights
+    ]
+    most = F.greatest(*attainable) if len(attainable) > 1 else attainable[0]
+    candidates = store(
+        found.join(limits, "query_id")
+        .where(F.col("floor").isNull() | (most >= F.col("floor"))).select("query_id", "doc_id"),
+        "candidates",
+    )
+    short = candidates.rows <= cfg.broadcast_rows
+    read = folders_of(postings, weights.df).join(
+        F.broadcast(candidates.df) if short else candidates.df, "doc_id"
+    )
+    wanted = weights.df.select("query_id", "field", "term", "weight")
+    if weights.rows <= cfg.broadcast_rows:
+        wanted = F.broadcast(wanted)
+    matched = read.join(wanted, ["query_id", "field", "term"])
+    return field_sums(contributions(matched, field_stats, cfg), cfg).select(
+        "query_id", "doc_id", F.round(best_field(cfg), cfg.score_digits).alias("score")
+    )
+
+
+def _part(whole: Stored, df: DataFrame) -> Stored:
+    """Some rows of a stored table; its count stays a valid upper bound."""
+    return Stored(df, whole.rows, whole.path, whole.totals)

@@ -38,7 +38,7 @@ def embed_queries(queries: DataFrame, index: SearchIndex) -> DataFrame:
 def _with_attributes(
     ranked: DataFrame, corpus: DataFrame, columns: list[str], rows: int, cfg: RetrievalConfig
 ) -> DataFrame:
-    """Look up document columns for at most ``rows`` ranked rows.
+    """Look up document columns for stored ranked rows, ``rows`` of them at most.
 
     A short list is copied to the tasks that scan the corpus, which then is not
     shuffled; a long one is joined by document id.
@@ -85,10 +85,8 @@ def hybrid_search(
     """
     accepted, _ = validate(requests)
     queries = store(accepted, "queries")
-    page = cut(hybrid_ranking(queries, index, cfg, scorer), queries.df)
-    shown = _with_attributes(
-        page, index.corpus, ["title", "book_picture"], queries.rows * MAX_LIMIT, cfg
-    )
+    page = store(cut(hybrid_ranking(queries, index, cfg, scorer), queries.df), "page")
+    shown = _with_attributes(page.df, index.corpus, ["title", "book_picture"], page.rows, cfg)
     return shown.select(
         "query_id", "rank", F.col("doc_id").alias("id"),
         F.coalesce("title", F.lit("")).alias("title"),

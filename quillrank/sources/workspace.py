@@ -9,8 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
@@ -47,18 +48,27 @@ class Stored:
     df: DataFrame
     rows: int
     path: str
+    totals: dict[str, Any]
 
 
-def store(df: DataFrame, label: str, partition_by: str | None = None) -> Stored:
-    """Write ``df`` once, count it on the way and read it back."""
+def store(
+    df: DataFrame, label: str, partition_by: str | None = None, totals: dict[str, Column] | None = None
+) -> Stored:
+    """Write ``df`` once and read it back.
+
+    The rows are counted on the way; ``totals`` are further aggregates to take
+    during the same pass.
+    """
     spark = df.sparkSession
     path = new_folder(spark, label)
     seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
+    extra = [column.alias(name) for name, column in (totals or {}).items()]
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows"), *extra).write
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return Stored(spark.read.schema(df.schema).parquet(path), seen.get["rows"], path)
+    values = dict(seen.get)
+    return Stored(spark.read.schema(df.schema).parquet(path), values["rows"], path, values)
 
 
 def bucket_count(spark: SparkSession, wanted: int | None = None) -> int:

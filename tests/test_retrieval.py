@@ -13,8 +13,10 @@ from quillrank import schema
 from quillrank.functions.vectors import dot, l2_norm, l2_normalize
 from quillrank.operators.corpus import normalize
 from quillrank.operators.dense import build_cells, knn_approx, knn_exact
-from quillrank.operators.lexical import bm25_top
+from quillrank.operators.lexical import bm25_scores, bm25_top, query_weights
+from quillrank.operators.pruning import pruned_scores
 from quillrank.operators.topk import top_k
+from quillrank.sources.workspace import store
 
 DOCS = [
     ("1", "Clean architecture", "a guide to software architecture", ["Robert Martin"], ["Software"], "Hall"),
@@ -91,11 +93,12 @@ WEIGHTS = {"title": 2.0, "synopsis": 1.0}
 
 @pytest.mark.parametrize("depth", [3, 200])
 @pytest.mark.parametrize("broadcast_rows", [2_000_000, 0])
-def test_bm25_matches_brute_force(spark, depth, broadcast_rows):
+@pytest.mark.parametrize("exhaustive_matches", [5_000_000, 0])
+def test_bm25_matches_brute_force(spark, depth, broadcast_rows, exhaustive_matches):
     docs, df, asked = random_docs(spark, 150, depth)
     cfg = RetrievalConfig(
         field_weights=WEIGHTS, mapping_boosts={}, keyword_fields=(), fuzzy=False,
-        broadcast_rows=broadcast_rows, join_salts=4)
+        broadcast_rows=broadcast_rows, exhaustive_matches=exhaustive_matches, join_salts=4)
     lexical = bulk_index(df, HashingEmbedder(), cfg).lexical
     got = as_lists(bm25_top(queries_of(spark, **asked), lexical, cfg, depth))
     for name, text in asked.items():
@@ -105,6 +108,19 @@ def test_bm25_matches_brute_force(spark, depth, broadcast_rows):
         assert np.allclose([s for _, s in have], [s for _, s in want], atol=2e-6)
 
 
+def test_frequent_terms_are_left_out(spark):
+    _, df, asked = random_docs(spark, 150, 3)
+    cfg = RetrievalConfig(field_weights=WEIGHTS, mapping_boosts={}, keyword_fields=(), fuzzy=False)
+    lexical = bulk_index(df, HashingEmbedder(), cfg).lexical
+    mixed = {q: f"{text} zz" for q, text in asked.items() if q not in ("only", "none")}
+    weights = store(
+        query_weights(queries_of(spark, **mixed), lexical, cfg), "w", totals={"matches": F.sum("df")})
+    every = bm25_scores(weights, lexical, cfg)
+    some = pruned_scores(weights, lexical.postings, lexical.field_stats, cfg, 1)
+    assert some is not None and some.count() < every.count() / 4
+    assert some.exceptAll(every).isEmpty()
+
+
 def test_repeated_query_terms_count_twice(spark, index):
     cfg = RetrievalConfig(fuzzy=False, field_weights={"synopsis": 1.0}, mapping_boosts={})
     got = as_lists(bm25_top(queries_of(spark, once="garden", twice="garden garden"), index.lexical, cfg))

@@ -105,7 +105,7 @@ def corpus_count(spark, sf):
 def embed_documents(spark, sf):
     placed = spread(b.documents(spark, sf), bucket_count(spark))
     vectors = embed(placed, HashingEmbedder()).select("doc_id", "vector")
-    cells = vectors.select("doc_id", F.posexplode("vector").alias("pos", "x"))
+    cells = vectors.select("doc_id", F.posexplode_outer("vector").alias("pos", "x"))
     return cells.where(F.col("x") != 0).select(
         "doc_id", "pos", F.round(F.col("x").cast("double"), 6).alias("x")
     )
@@ -333,7 +333,7 @@ def rerank_head_tail(spark, sf):
     index = b.document_index(spark, sf)
     cfg = _plain(field_weights={"synopsis": 1.0}, mapping_boosts={})
     queries = b.free_queries(spark, sf)
-    ranked = lexical.bm25_top(queries, index.lexical, cfg, 50)
+    ranked = lexical.bm25_top(queries, index.lexical, cfg, MAX_LIMIT)
     full = ranked.join(index.corpus.select("doc_id", "title", "synopsis"), "doc_id").join(queries, "query_id")
     score = OverlapScorer().column(F.col("q"), F.col("title"), F.col("synopsis"))
     return fuse.rerank_head(full, score).select("query_id", "rank", "doc_id", "score", "rrf_score")
