@@ -3,10 +3,11 @@
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import HashingEmbedder, ModelEmbedder, ModelScorer, OverlapScorer
 from quillrank.plans.evaluation import evaluate
-from quillrank.plans.indexing import SearchIndex, bulk_index
+from quillrank.plans.indexing import SearchIndex, apply_changes, bulk_index, rebuild
 from quillrank.plans.search import hybrid_search, memoised_search, validate
 
 __all__ = [
     "HashingEmbedder", "ModelEmbedder", "ModelScorer", "OverlapScorer", "RetrievalConfig",
-    "SearchIndex", "bulk_index", "evaluate", "hybrid_search", "memoised_search", "validate",
+    "SearchIndex", "apply_changes", "bulk_index", "evaluate", "hybrid_search", "memoised_search",
+    "rebuild", "validate",
 ]

@@ -19,7 +19,7 @@ from quillrank.config import MAX_DEPTH, RetrievalConfig
 from quillrank.functions.text import clean_list, term_frequencies, tokenize, tokenize_list
 from quillrank.operators.fuzzy import expand_terms
 from quillrank.operators.pruning import pruned_scores
-from quillrank.operators.scoring import best_field, contributions, field_sums, matches, term_part
+from quillrank.operators.scoring import best_field, scored_parts, term_part
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed
 
@@ -64,16 +64,24 @@ def term_stats_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def field_stats_of(analyzed: DataFrame) -> DataFrame:
-    """Number of documents with the field and their average length."""
-    return analyzed.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")
+def length_totals(postings: DataFrame) -> DataFrame:
+    """``(field, n_docs, total_dl)``: documents that have the field, and all their words."""
+    lengths = postings.groupBy("doc_id", "field").agg(F.first("dl").alias("dl"))
+    return lengths.groupBy("field").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_dl")
     )
 
 
+def with_average(totals: DataFrame) -> DataFrame:
+    """Field statistics with the average length."""
+    return totals.withColumn("avgdl", F.col("total_dl") / F.col("n_docs"))
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    postings: DataFrame
+    """Postings in one or more parts that share no document, and statistics over all of them."""
+
+    parts: tuple[DataFrame, ...]
     term_stats: DataFrame
     field_stats: DataFrame
 
@@ -92,9 +100,8 @@ def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig) -> LexicalIndex
         bucket_count(spark, cfg.index_buckets), ["field", "term"],
     )
     term_stats = store(term_stats_of(stored), "term-stats").df
-    lengths = stored.groupBy("doc_id", "field").agg(F.first("dl").alias("dl"))
-    field_stats = store(field_stats_of(lengths), "field-stats").df
-    return LexicalIndex(stored, term_stats, field_stats)
+    field_stats = store(with_average(length_totals(stored)), "field-stats").df
+    return LexicalIndex((stored,), term_stats, field_stats)
 
 
 def query_terms(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
@@ -166,8 +173,7 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
 
 def bm25_scores(weights: Stored, index: LexicalIndex, cfg: RetrievalConfig) -> DataFrame:
     """``(query_id, doc_id, score)`` for every document that matches a term."""
-    parts = contributions(matches(index.postings, weights, cfg), index.field_stats, cfg)
-    return field_sums(parts, cfg).select(
+    return scored_parts(index.parts, weights, index.field_stats, cfg).select(
         "query_id", "doc_id", F.round(best_field(cfg), cfg.score_digits).alias("score")
     )
 
@@ -188,7 +194,7 @@ def bm25_top(
     )
     scores = None
     if weights.totals["matches"] > cfg.exhaustive_matches:
-        scores = pruned_scores(weights, index.postings, index.field_stats, cfg, depth)
+        scores = pruned_scores(weights, index.parts, index.field_stats, cfg, depth)
     if scores is None:
         scores = bm25_scores(weights, index, cfg)
     ranked = top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)

@@ -14,12 +14,15 @@ The result is exact. Scores are compared with a margin wider than their rounding
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
 from quillrank.operators.scoring import (
-    best_field, contributions, field_column, field_sums, folders_of, matches,
+    best_field, contributions, field_column, field_sums, folders_of, scored_parts,
 )
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import Stored, store
@@ -29,7 +32,7 @@ SEED_FACTOR = 10
 
 
 def _floors(
-    weights: Stored, postings: DataFrame, field_stats: DataFrame, cfg: RetrievalConfig, depth: int
+    weights: Stored, parts: Sequence[DataFrame], field_stats: DataFrame, cfg: RetrievalConfig, depth: int
 ) -> DataFrame:
     """``(query_id, floor)``: at least ``depth`` documents score this much.
 
@@ -42,7 +45,7 @@ def _floors(
         .where(F.col("_before") < SEED_FACTOR * depth).drop("_before"),
         "seed-weights",
     )
-    partial = field_sums(contributions(matches(postings, seeds, cfg), field_stats, cfg), cfg)
+    partial = scored_parts(parts, seeds, field_stats, cfg)
     reached = partial.select("query_id", "doc_id", best_field(cfg).alias("score"))
     ranked = top_k(reached, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)
     margin = 2.0 * 10.0 ** -cfg.score_digits
@@ -52,13 +55,13 @@ def _floors(
 
 
 def pruned_scores(
-    weights: Stored, postings: DataFrame, field_stats: DataFrame, cfg: RetrievalConfig, depth: int
+    weights: Stored, parts: Sequence[DataFrame], field_stats: DataFrame, cfg: RetrievalConfig, depth: int
 ) -> DataFrame | None:
     """Scores of all documents that can be among the ``depth`` best of a query.
 
     None if leaving out the weak terms would not save most of the work.
     """
-    floors = _floors(weights, postings, field_stats, cfg, depth)
+    floors = _floors(weights, parts, field_stats, cfg, depth)
     weakest = Window.partitionBy("query_id", "field").orderBy("weight", "term")
     together = F.sum("weight").over(weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     weak = F.coalesce(together < F.col("floor"), F.lit(False))
@@ -70,9 +73,7 @@ def pruned_scores(
         return None
 
     strong = split.df.where(~F.col("weak")).drop("weak", "floor")
-    found = field_sums(
-        contributions(matches(postings, _part(split, strong), cfg), field_stats, cfg), cfg
-    )
+    found = scored_parts(parts, _part(split, strong), field_stats, cfg)
     limits = split.df.groupBy("query_id").agg(F.first("floor").alias("floor"), *[
         F.coalesce(F.sum(F.when(F.col("weak") & (F.col("field") == name), F.col("weight"))), F.lit(0.0))
         .alias(f"_rest{field_column(name)}")
@@ -90,15 +91,19 @@ def pruned_scores(
         .where(F.col("floor").isNull() | (most >= F.col("floor"))).select("query_id", "doc_id"),
         "candidates",
     )
-    short = candidates.rows <= cfg.broadcast_rows
-    read = folders_of(postings, weights.df).join(
-        F.broadcast(candidates.df) if short else candidates.df, "doc_id"
-    )
-    wanted = weights.df.select("query_id", "field", "term", "weight")
+    chosen, wanted = candidates.df, weights.df.select("query_id", "field", "term", "weight")
+    if candidates.rows <= cfg.broadcast_rows:
+        chosen = F.broadcast(chosen)
     if weights.rows <= cfg.broadcast_rows:
         wanted = F.broadcast(wanted)
-    matched = read.join(wanted, ["query_id", "field", "term"])
-    return field_sums(contributions(matched, field_stats, cfg), cfg).select(
+    complete = reduce(DataFrame.unionByName, [
+        field_sums(contributions(
+            folders_of(part, weights.df).join(chosen, "doc_id").join(wanted, ["query_id", "field", "term"]),
+            field_stats, cfg,
+        ), cfg)
+        for part in parts
+    ])
+    return complete.select(
         "query_id", "doc_id", F.round(best_field(cfg), cfg.score_digits).alias("score")
     )
 

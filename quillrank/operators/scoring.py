@@ -6,6 +6,9 @@ the bucket of the document.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +67,15 @@ def field_sums(parts: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     ])
 
 
+def scored_parts(
+    parts: Sequence[DataFrame], weights: Stored, field_stats: DataFrame, cfg: RetrievalConfig
+) -> DataFrame:
+    """Field sums over an index of several parts; a document is in one part only."""
+    return reduce(DataFrame.unionByName, [
+        field_sums(contributions(matches(part, weights, cfg), field_stats, cfg), cfg) for part in parts
+    ])
+
+
 def best_field(cfg: RetrievalConfig) -> Column:
     sums = [F.col(field_column(name)) for name in cfg.field_weights]
     return F.greatest(*sums) if len(sums) > 1 else sums[0]

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
 from quillrank.operators.corpus import embed, spread, store_corpus
-from quillrank.operators.lexical import LexicalIndex, build_lexical_index
-from quillrank.sources.workspace import bucket_count
+from quillrank.operators.lexical import (
+    LexicalIndex, build_lexical_index, length_totals, term_stats_of, with_average,
+)
+from quillrank.sources.workspace import bucket_count, store
 
 
 @dataclass(frozen=True)
@@ -32,9 +36,52 @@ def bulk_index(documents: DataFrame, embedder: Embedder, cfg: RetrievalConfig) -
 
     Every document moves once, to the task of its bucket; embedding, storing and
     analysing happen there. Documents that cannot be stored do not stop the job,
-    they are counted.
+    they are counted. Vectors that are already there are kept.
     """
     buckets = bucket_count(documents.sparkSession, cfg.index_buckets)
-    vectors = embed(spread(documents, buckets), embedder)
+    placed = spread(documents, buckets)
+    vectors = placed if "vector" in documents.columns else embed(placed, embedder)
     corpus, counts = store_corpus(vectors, embedder.dim, buckets)
     return SearchIndex(corpus, build_lexical_index(corpus, cfg), embedder, counts)
+
+
+def apply_changes(index: SearchIndex, documents: DataFrame, cfg: RetrievalConfig) -> SearchIndex:
+    """The index after an upsert of ``documents``, at the cost of the changes.
+
+    New versions become a part of their own, older versions of the same documents
+    are skipped while reading, and the statistics are corrected, so that results
+    equal those of an index built from scratch. ``rebuild`` merges the parts.
+    """
+    change = bulk_index(documents, index.embedder, cfg)
+    ids = store(change.corpus.select("doc_id"), "changed-ids")
+    changed = F.broadcast(ids.df) if ids.rows <= cfg.broadcast_rows else ids.df
+
+    old = reduce(DataFrame.unionByName, [
+        part.join(changed, "doc_id", "left_semi") for part in index.lexical.parts
+    ])
+    new = change.lexical
+    term_stats = store(_signed_sum(
+        ["field", "term"], ["df"], [index.lexical.term_stats, new.term_stats], term_stats_of(old)
+    ).where(F.col("df") > 0), "term-stats").df
+    field_stats = store(with_average(_signed_sum(
+        ["field"], ["n_docs", "total_dl"], [index.lexical.field_stats, new.field_stats], length_totals(old)
+    ).where(F.col("n_docs") > 0)), "field-stats").df
+
+    kept = tuple(part.join(changed, "doc_id", "left_anti") for part in index.lexical.parts)
+    corpus = index.corpus.join(changed, "doc_id", "left_anti").unionByName(change.corpus)
+    return SearchIndex(
+        corpus, LexicalIndex((*kept, *new.parts), term_stats, field_stats), index.embedder, change.counts
+    )
+
+
+def _signed_sum(
+    keys: list[str], values: list[str], added: list[DataFrame], removed: DataFrame
+) -> DataFrame:
+    minus = removed.select(*keys, *[(-F.col(v)).alias(v) for v in values])
+    rows = reduce(DataFrame.unionByName, [df.select(*keys, *values) for df in (*added, minus)])
+    return rows.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+
+
+def rebuild(index: SearchIndex, cfg: RetrievalConfig) -> SearchIndex:
+    """The same index in one part, with the vectors it already has."""
+    return bulk_index(index.corpus, index.embedder, cfg)

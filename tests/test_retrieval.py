@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrank import (
-    HashingEmbedder, ModelEmbedder, ModelScorer, RetrievalConfig, bulk_index, hybrid_search,
-    memoised_search, validate,
+    HashingEmbedder, ModelEmbedder, ModelScorer, RetrievalConfig, apply_changes, bulk_index,
+    hybrid_search, memoised_search, rebuild, validate,
 )
 from quillrank import schema
 from quillrank.functions.vectors import dot, l2_norm, l2_normalize
@@ -116,7 +116,7 @@ def test_frequent_terms_are_left_out(spark):
     weights = store(
         query_weights(queries_of(spark, **mixed), lexical, cfg), "w", totals={"matches": F.sum("df")})
     every = bm25_scores(weights, lexical, cfg)
-    some = pruned_scores(weights, lexical.postings, lexical.field_stats, cfg, 1)
+    some = pruned_scores(weights, lexical.parts, lexical.field_stats, cfg, 1)
     assert some is not None and some.count() < every.count() / 4
     assert some.exceptAll(every).isEmpty()
 
@@ -255,6 +255,33 @@ def test_bulk_counts_and_empty_fields(index):
     assert index.corpus.schema.fieldNames() == [f.name for f in schema.CORPUS]
 
 
+@pytest.mark.parametrize("broadcast_rows, exhaustive_matches", [(2_000_000, 500_000_000), (0, 0)])
+def test_changed_index_equals_a_new_one(spark, broadcast_rows, exhaustive_matches):
+    cfg = RetrievalConfig(
+        keyword_fields=(), field_weights=WEIGHTS, mapping_boosts={}, broadcast_rows=broadcast_rows,
+        exhaustive_matches=exhaustive_matches, join_salts=3)
+    _, first, asked = random_docs(spark, 120, 1)
+    _, second, _ = random_docs(spark, 40, 2)
+    # Half of the changes replace documents, the others are new.
+    number = F.substring("doc_id", 2, 4).cast("int")
+    change = second.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(number + 100, 4, "0")))
+    whole = first.join(change, "doc_id", "left_anti").unionByName(change)
+    model = HashingEmbedder()
+    updated = apply_changes(bulk_index(first, model, cfg), change, cfg)
+    asked = requests(spark, [(q, text, 5, 0.0) for q, text in asked.items()])
+
+    def state(index):
+        return (
+            sorted(index.lexical.term_stats.select("field", "term", "df").collect()),
+            sorted(index.lexical.field_stats.select("field", "n_docs", "avgdl").collect()),
+            sorted(hybrid_search(asked, index, cfg).collect()),
+        )
+
+    fresh = state(bulk_index(whole, model, cfg))
+    assert state(updated) == fresh
+    assert state(rebuild(updated, cfg)) == fresh
+
+
 def requests(spark, rows):
     return spark.createDataFrame(rows, schema.QUERIES)
 

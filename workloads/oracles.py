@@ -353,6 +353,24 @@ ORACLES["fuzzy_expand"] = f"""
 WITH {DOCUMENTS}, {FREE_QUERIES}, {POSTINGS}, {QUERY_TERMS}, {FUZZY}
 SELECT field, q_term, term, edits, round(boost, 6) AS boost, df FROM expanded"""
 
+CHANGED = f"""
+{DOCUMENTS.replace('corpus AS', 'before AS')}, {ENVELOPES},
+corpus AS (
+  SELECT doc_id, title, CASE WHEN list_contains(genres, 'de') THEN title || ' ' || publisher
+         ELSE synopsis END AS synopsis, authors, genres, publisher
+  FROM before
+  UNION ALL
+  SELECT 'u' || doc_id, title, synopsis, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), '' FROM newest)"""
+
+ORACLES["index_update_stats"] = f"""
+WITH {CHANGED}, {POSTINGS} SELECT field, n_docs, round(avgdl, 6) AS avgdl FROM field_stats"""
+
+ORACLES["index_update_terms"] = f"""
+WITH {CHANGED}, {POSTINGS} SELECT field, term, df FROM term_stats"""
+
+ORACLES["index_update_search"] = f"""
+WITH {CHANGED}, {FREE_QUERIES}, {bm25(20, ALL_FIELDS, False)} SELECT * FROM bm25"""
+
 # --- dense retrieval ------------------------------------------------------------
 
 CENTRES = """

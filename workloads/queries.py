@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank import HashingEmbedder, OverlapScorer, hybrid_search, validate
+from quillrank import HashingEmbedder, OverlapScorer, apply_changes, hybrid_search, validate
 from quillrank.config import (
     DEFAULT_LIMIT, DEFAULT_THRESHOLD, EMBEDDING_TTL_SECONDS, EVAL_QUERY_COUNT, MAX_LIMIT, MIN_DEPTH,
     MIN_LIMIT, RESULTS_TTL_SECONDS, STYLE_LABELS,
@@ -246,6 +246,33 @@ def fuzzy_expand(spark, sf):
                            _digits("boost"), "df")
 
 
+def _changed_index(spark, sf):
+    """The documents after an upsert: German texts are replaced, users become documents."""
+    docs = b.documents(spark, sf)
+    german = docs.where(F.array_contains("genres", "de")).withColumn(
+        "synopsis", F.concat_ws(" ", "title", "publisher"))
+    users = latest(ev.accepted(ev.decode(ev.routed(
+        b.envelopes(b.event_table(spark, sf)), b.ROUTING_KEY))), "doc_id", ["ts", "event_id"])
+    new = users.withColumn("doc_id", F.concat(F.lit("u"), F.col("doc_id"))).select(docs.columns)
+    return apply_changes(b.document_index(spark, sf), german.unionByName(new), b.config())
+
+
+@query
+def index_update_stats(spark, sf):
+    return _changed_index(spark, sf).lexical.field_stats.select("field", "n_docs", _digits("avgdl"))
+
+
+@query
+def index_update_terms(spark, sf):
+    return _changed_index(spark, sf).lexical.term_stats
+
+
+@query
+def index_update_search(spark, sf):
+    index = _changed_index(spark, sf)
+    return lexical.bm25_top(b.free_queries(spark, sf), index.lexical, _plain(), MIN_DEPTH)
+
+
 # --- dense retrieval ----------------------------------------------------------
 
 
