@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillrank.config import RetrievalConfig
 from quillrank.functions.edits import allowed_edits, edits_within_two, probe_keys, vocabulary_keys
 from quillrank.operators.topk import top_k
+from quillrank.sources.workspace import bucket_count
 
 
 # No query word has more keys than this, so the number of words bounds the keys.
@@ -21,9 +22,7 @@ def _placed(vocabulary: DataFrame) -> DataFrame:
     follows the cores and not the size of the data.
     """
     spark = vocabulary.sparkSession
-    parts = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
+    parts = max(spark.sparkContext.defaultParallelism, bucket_count(spark))
     return vocabulary.repartition(parts, "kind", "term")
 
 

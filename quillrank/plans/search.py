@@ -109,11 +109,12 @@ def memoised_search(
     keyed = store(accepted.withColumn(
         "key", results_key(F.col("q"), F.col("limit"), F.col("threshold"), namespace)
     ), "keyed-queries").df
-    known = memo.lookup(keyed, cache, now).select(
+    # Both sides are settled before this search writes to the cache.
+    known = store(memo.lookup(keyed, cache, now).select(
         "query_id", "key", F.from_json("payload", RESULT_ITEMS).alias("items"),
         F.lit("cache").alias("source"),
-    )
-    missing = memo.misses(keyed, cache, now)
+    ), "cache-hits").df
+    missing = store(memo.misses(keyed, cache, now), "cache-misses").df
     unique = missing.dropDuplicates(["key"]).select(F.col("key").alias("query_id"), "q", "limit", "threshold")
     rows = hybrid_search(unique, index, cfg, scorer)
     item = F.struct("rank", F.struct("id", "title", "bookPicture", "score").alias("item"))

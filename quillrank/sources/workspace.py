@@ -72,8 +72,14 @@ def store(
 
 
 def bucket_count(spark: SparkSession, wanted: int | None = None) -> int:
-    """Number of buckets of stored tables: as asked, else that of a shuffle."""
-    return wanted or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Number of buckets of stored tables: as asked, else that of a shuffle.
+
+    A local session has no use for many more parts than cores.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        parts = min(parts, 2 * spark.sparkContext.defaultParallelism)
+    return wanted or parts
 
 
 def store_bucketed(writer: DataFrameWriter, spark: SparkSession, label: str, buckets: int,

@@ -26,9 +26,13 @@ REJECTED_SCHEMA = "event_id bigint, ts timestamp, reason string, body string, ba
 
 def write_batch(decoded: DataFrame, batch_id: int, embedder: Embedder, path: str) -> None:
     """Store one micro-batch: the newest version per document, and the rejects."""
-    newest = latest(accepted(decoded), "doc_id", ["ts", "event_id"])
-    embed(newest, embedder).write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
-    rejected(decoded).write.mode("overwrite").parquet(f"{path}/rejected/batch_id={batch_id}")
+    decoded.persist()  # read from the source once for both
+    try:
+        newest = latest(accepted(decoded), "doc_id", ["ts", "event_id"])
+        embed(newest, embedder).write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+        rejected(decoded).write.mode("overwrite").parquet(f"{path}/rejected/batch_id={batch_id}")
+    finally:
+        decoded.unpersist()
 
 
 def start_ingest(
@@ -65,6 +69,19 @@ def snapshot(spark: SparkSession, path: str, mode: str = "replace") -> DataFrame
     return latest(versions, "doc_id", ["ts", "event_id"], mode).select(columns)
 
 
+def changes(spark: SparkSession, path: str, after_batch: int) -> DataFrame:
+    """Current versions of the documents that batches after ``after_batch`` touched.
+
+    Feed them to ``apply_changes`` to make new events searchable. The version is
+    taken from the whole log, so an event that arrived late changes nothing.
+    """
+    columns = [f.name for f in schema.CORPUS]
+    log = read_log(spark, path)
+    touched = log.where(F.col("batch_id") > after_batch).select("doc_id").distinct()
+    versions = log.join(touched, "doc_id", "left_semi").select(*columns, "ts", "event_id")
+    return latest(versions, "doc_id", ["ts", "event_id"]).select(columns)
+
+
 def start_latest(documents: DataFrame, path: str, *, once: bool = False) -> StreamingQuery:
     """Write the changed keys of a running ``latest_by_key`` aggregation, batch by batch."""
 

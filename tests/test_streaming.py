@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank import HashingEmbedder
+from quillrank import HashingEmbedder, RetrievalConfig, apply_changes, bulk_index, hybrid_search, schema
 from quillrank.streaming import events as ev
 from quillrank.streaming import ingest
 
@@ -57,6 +57,13 @@ def test_ingest_survives_restarts_and_late_events(spark, workdir):
     drop_file(source, "2", LATE)
     second = consume(spark, source, target)  # a new query continues from the checkpoint
     assert {d: r["title"] for d, r in second.items()} == {"a": "A3", "b": "B2", "12": "numeric id"}
+    touched = ingest.changes(spark, target, 0)
+    assert {r["doc_id"]: r["title"] for r in touched.collect()} == {"a": "A3", "b": "B2"}
+    index = bulk_index(ingest.snapshot(spark, target), HashingEmbedder(), RetrievalConfig())
+    index = apply_changes(index, touched, RetrievalConfig())
+    found = hybrid_search(
+        spark.createDataFrame([("q", "b2", 1, 0.0)], schema.QUERIES), index, RetrievalConfig())
+    assert [r["id"] for r in found.collect()] == ["b"]
     assert consume(spark, source, target).keys() == second.keys()
     assert ingest.read_log(spark, target).count() == 5
 
