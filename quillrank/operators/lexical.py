@@ -134,12 +134,13 @@ def _weight_of_field(cfg: RetrievalConfig) -> Column:
 
 
 def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig) -> DataFrame:
-    """``(query_id, field, term, weight, df, term_part)``.
+    """``(query_id, field, term, weight, df, avgdl, term_part)``.
 
     The weight is what a term contributes to the score of a document at most. It
     contains the inverse document frequency, the query term frequency, the field
     weight and, for expanded terms, the boost of the expansion. ``df`` is the
-    number of documents that have the term in that field.
+    number of documents that have the term in that field, ``avgdl`` the average
+    length of the field.
     """
     stored = store(query_terms(queries, cfg), "query-terms")
     wanted = stored.df
@@ -158,7 +159,7 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
             distinct.withColumnRenamed("q_term", "term"), ["kind", "term"]
         ).select("kind", "field", F.col("term").alias("q_term"), "term",
                  F.lit(1.0).alias("boost"), "df", F.col("df").alias("shared_df"))
-    stats = index.field_stats.select("field", "n_docs")
+    stats = index.field_stats.select("field", "n_docs", "avgdl")
     n, df = F.col("n_docs"), F.col("shared_df")
     idf = F.log(1.0 + (n - df + 0.5) / (df + 0.5))
     return (
@@ -166,14 +167,14 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
         .join(F.broadcast(stats), "field")
         .groupBy("query_id", "field", "term")
         .agg(F.sum(F.col("qtf") * F.col("boost") * idf * _weight_of_field(cfg)).alias("weight"),
-             F.first("df").alias("df"))
+             F.first("df").alias("df"), F.first("avgdl").alias("avgdl"))
         .withColumn("term_part", term_part(cfg, F.col("term")))
     )
 
 
 def bm25_scores(weights: Stored, index: LexicalIndex, cfg: RetrievalConfig) -> DataFrame:
     """``(query_id, doc_id, score)`` for every document that matches a term."""
-    return scored_parts(index.parts, weights, index.field_stats, cfg).select(
+    return scored_parts(index.parts, weights, cfg).select(
         "query_id", "doc_id", F.round(best_field(cfg), cfg.score_digits).alias("score")
     )
 
@@ -194,7 +195,7 @@ def bm25_top(
     )
     scores = None
     if weights.totals["matches"] > cfg.exhaustive_matches:
-        scores = pruned_scores(weights, index.parts, index.field_stats, cfg, depth)
+        scores = pruned_scores(weights, index.parts, cfg, depth)
     if scores is None:
         scores = bm25_scores(weights, index, cfg)
     ranked = top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)

@@ -32,7 +32,7 @@ SEED_FACTOR = 10
 
 
 def _floors(
-    weights: Stored, parts: Sequence[DataFrame], field_stats: DataFrame, cfg: RetrievalConfig, depth: int
+    weights: Stored, parts: Sequence[DataFrame], cfg: RetrievalConfig, depth: int
 ) -> DataFrame:
     """``(query_id, floor)``: at least ``depth`` documents score this much.
 
@@ -45,7 +45,7 @@ def _floors(
         .where(F.col("_before") < SEED_FACTOR * depth).drop("_before"),
         "seed-weights",
     )
-    partial = scored_parts(parts, seeds, field_stats, cfg)
+    partial = scored_parts(parts, seeds, cfg)
     reached = partial.select("query_id", "doc_id", best_field(cfg).alias("score"))
     ranked = top_k(reached, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)
     margin = 2.0 * 10.0 ** -cfg.score_digits
@@ -55,13 +55,13 @@ def _floors(
 
 
 def pruned_scores(
-    weights: Stored, parts: Sequence[DataFrame], field_stats: DataFrame, cfg: RetrievalConfig, depth: int
+    weights: Stored, parts: Sequence[DataFrame], cfg: RetrievalConfig, depth: int
 ) -> DataFrame | None:
     """Scores of all documents that can be among the ``depth`` best of a query.
 
     None if leaving out the weak terms would not save most of the work.
     """
-    floors = _floors(weights, parts, field_stats, cfg, depth)
+    floors = _floors(weights, parts, cfg, depth)
     weakest = Window.partitionBy("query_id", "field").orderBy("weight", "term")
     together = F.sum("weight").over(weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     weak = F.coalesce(together < F.col("floor"), F.lit(False))
@@ -73,7 +73,7 @@ def pruned_scores(
         return None
 
     strong = split.df.where(~F.col("weak")).drop("weak", "floor")
-    found = scored_parts(parts, _part(split, strong), field_stats, cfg)
+    found = scored_parts(parts, _part(split, strong), cfg)
     limits = split.df.groupBy("query_id").agg(F.first("floor").alias("floor"), *[
         F.coalesce(F.sum(F.when(F.col("weak") & (F.col("field") == name), F.col("weight"))), F.lit(0.0))
         .alias(f"_rest{field_column(name)}")
@@ -91,7 +91,7 @@ def pruned_scores(
         .where(F.col("floor").isNull() | (most >= F.col("floor"))).select("query_id", "doc_id"),
         "candidates",
     )
-    chosen, wanted = candidates.df, weights.df.select("query_id", "field", "term", "weight")
+    chosen, wanted = candidates.df, weights.df.select("query_id", "field", "term", "weight", "avgdl")
     if candidates.rows <= cfg.broadcast_rows:
         chosen = F.broadcast(chosen)
     if weights.rows <= cfg.broadcast_rows:
@@ -99,7 +99,7 @@ def pruned_scores(
     complete = reduce(DataFrame.unionByName, [
         field_sums(contributions(
             folders_of(part, weights.df).join(chosen, "doc_id").join(wanted, ["query_id", "field", "term"]),
-            field_stats, cfg,
+            cfg,
         ), cfg)
         for part in parts
     ])

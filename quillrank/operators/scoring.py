@@ -30,29 +30,28 @@ def folders_of(postings: DataFrame, weights: DataFrame) -> DataFrame:
 
 def matches(postings: DataFrame, weights: Stored, cfg: RetrievalConfig) -> DataFrame:
     """Postings of the weighted terms, once per query that has the term."""
-    keys = ["term_part", "field", "term"]
+    keys = ["field", "term"]
     read = folders_of(postings, weights.df)
+    weighted = weights.df.drop("term_part", "df")
     if weights.rows <= cfg.broadcast_rows:
-        return read.join(F.broadcast(weights.df), keys)
+        return read.join(F.broadcast(weighted), keys)
     # Too many query terms to copy to every task: shuffle both sides and spread
     # the postings of a frequent term over several tasks.
     salts = cfg.join_salts
     left = read.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    right = weights.df.withColumn(
+    right = weighted.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
     )
     return left.join(right, [*keys, "_salt"])
 
 
-def contributions(matched: DataFrame, field_stats: DataFrame, cfg: RetrievalConfig) -> DataFrame:
+def contributions(matched: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     """``(query_id, doc_id, field, part)``: the weight, damped by frequency and length."""
     keyword = [name for name in cfg.field_weights if cfg.is_keyword(name)]
     b = F.when(F.col("field").isin(keyword), F.lit(0.0)).otherwise(F.lit(cfg.b))
     damping = cfg.k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("weight") * (F.col("tf") / (F.col("tf") + damping))
-    # One row per field.
-    stats = F.broadcast(field_stats.select("field", "avgdl"))
-    return matched.join(stats, "field").select("query_id", "doc_id", "field", part.alias("part"))
+    return matched.select("query_id", "doc_id", "field", part.alias("part"))
 
 
 def field_column(name: str) -> str:
@@ -68,11 +67,11 @@ def field_sums(parts: DataFrame, cfg: RetrievalConfig) -> DataFrame:
 
 
 def scored_parts(
-    parts: Sequence[DataFrame], weights: Stored, field_stats: DataFrame, cfg: RetrievalConfig
+    parts: Sequence[DataFrame], weights: Stored, cfg: RetrievalConfig
 ) -> DataFrame:
     """Field sums over an index of several parts; a document is in one part only."""
     return reduce(DataFrame.unionByName, [
-        field_sums(contributions(matches(part, weights, cfg), field_stats, cfg), cfg) for part in parts
+        field_sums(contributions(matches(part, weights, cfg), cfg), cfg) for part in parts
     ])
 
 

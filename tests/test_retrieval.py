@@ -116,7 +116,7 @@ def test_frequent_terms_are_left_out(spark):
     weights = store(
         query_weights(queries_of(spark, **mixed), lexical, cfg), "w", totals={"matches": F.sum("df")})
     every = bm25_scores(weights, lexical, cfg)
-    some = pruned_scores(weights, lexical.parts, lexical.field_stats, cfg, 1)
+    some = pruned_scores(weights, lexical.parts, cfg, 1)
     assert some is not None and some.count() < every.count() / 4
     assert some.exceptAll(every).isEmpty()
 
