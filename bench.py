@@ -19,13 +19,13 @@ HEADLINE = [
     "bm25_multi_field",
     "bm25_multi_field_fuzzy",
     "fuzzy_expand",
-    "knn_exact_vectors",
+    "knn_exact",
     "knn_exact_documents",
     "rrf_fuse",
     "rrf_ties",
     "threshold_after_limit",
     "rerank_head_tail",
-    "hybrid_search_documents",
+    "hybrid_search",
     "hybrid_search_reranked",
     "eval_metrics_wide",
     "gen_queries_mixed",

@@ -208,7 +208,7 @@ def overlap(query: str, text: str) -> str:
 
 # --- documents ------------------------------------------------------------------
 
-ORACLES["assemble_documents"] = ORACLES["assemble_fanout_documents"] = f"""
+ORACLES["assemble_documents"] = ORACLES["assemble_fanout"] = f"""
 WITH {ASSEMBLED}
 SELECT id AS book_id, title, synopsis, publisher,
        array_to_string(authors, '|') AS authors, array_to_string(genres, '|') AS genres
@@ -220,7 +220,7 @@ SELECT doc_id, title, synopsis, array_to_string(authors, '|') AS authors,
        len(authors) AS n_authors, array_to_string(genres, '|') AS genres, publisher, book_picture
 FROM corpus"""
 
-ORACLES["build_embedding_text"] = f"""
+ORACLES["build_text"] = f"""
 WITH {DOCUMENTS} SELECT doc_id, {DOC_TEXT} AS text FROM corpus"""
 
 ORACLES["corpus_scan"] = f"""
@@ -242,7 +242,7 @@ ORACLES["embed_queries"] = f"""
 WITH {FREE_QUERIES}, {hashed('queries', 'query_id', 'q', 'qvec')}
 SELECT query_id, len(vec) AS dim, {CHECKSUM} AS vec_sum FROM qvec"""
 
-ORACLES["bulk_index_documents"] = f"""
+ORACLES["bulk_index"] = f"""
 WITH {ORDER_CORPUS}, {hashed('corpus', 'doc_id', DOC_TEXT, 'dvec')}
 SELECT doc_id, title, synopsis, array_to_string(authors, '|') AS authors,
        array_to_string(genres, '|') AS genres, publisher, book_picture,
@@ -329,7 +329,7 @@ FROM complete WHERE "limit" BETWEEN 1 AND 50 AND threshold BETWEEN 0 AND 1"""
 
 # --- lexical retrieval ----------------------------------------------------------
 
-ORACLES["tokenize_documents"] = f"""
+ORACLES["tokenize"] = f"""
 WITH {DOCUMENTS}
 SELECT doc_id, len({words('synopsis')}) AS n_tokens, array_to_string({words('synopsis')}, ' ') AS tokens
 FROM corpus"""
@@ -384,7 +384,7 @@ qvec AS (
 dvec AS (
   SELECT CAST(vec_id AS VARCHAR) AS doc_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"""
 
-ORACLES["l2_normalize_vectors"] = """
+ORACLES["l2_normalize"] = """
 WITH cells AS (
   SELECT CAST(vec_id AS VARCHAR) AS doc_id, generate_subscripts(embedding, 1) - 1 AS pos,
          CAST(unnest(embedding) AS DOUBLE) * label AS x FROM embeddings),
@@ -398,7 +398,7 @@ WITH {CENTRES}
 SELECT d.doc_id, d.label, round(list_dot_product(d.vec, q.vec), 6) AS score
 FROM dvec d JOIN qvec q USING (label)"""
 
-ORACLES["knn_exact_vectors"] = ORACLES["knn_all_cells_vectors"] = f"""
+ORACLES["knn_exact"] = ORACLES["knn_all_cells_vectors"] = f"""
 WITH {CENTRES}, {knn(20)} SELECT * FROM knn"""
 
 ORACLES["knn_exact_documents"] = f"""
@@ -468,7 +468,7 @@ FROM {source} JOIN requests USING (query_id) JOIN corpus USING (doc_id)
 WHERE rank <= lim AND (threshold <= 0 OR score >= threshold)"""
 
 
-ORACLES["hybrid_search_documents"] = f"WITH {HYBRID} {shown('fused')}"
+ORACLES["hybrid_search"] = f"WITH {HYBRID} {shown('fused')}"
 
 ORACLES["hybrid_search_reranked"] = f"""
 WITH {HYBRID},

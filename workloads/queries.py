@@ -39,6 +39,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def query_named(name: str) -> Callable[[Query], Query]:
+    """For queries that are called like the library function they use."""
+
+    def register(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+
+    return register
+
+
 def _joined(name: str) -> Column:
     return F.array_join(F.col(name), "|").alias(name)
 
@@ -65,7 +75,7 @@ def assemble_documents(spark, sf):
     )
 
 
-@query
+@query_named("assemble_fanout")
 def assemble_fanout_documents(spark, sf):
     return assemble_fanout(**b.relations(spark, sf)).select(
         "book_id", "title", "synopsis", "publisher", _joined("authors"), _joined("genres")
@@ -80,7 +90,7 @@ def normalize_documents(spark, sf):
     )
 
 
-@query
+@query_named("build_text")
 def build_embedding_text(spark, sf):
     docs = b.documents(spark, sf)
     return docs.select("doc_id", build_text(F.col("title"), F.col("synopsis")).alias("text"))
@@ -119,7 +129,7 @@ def embed_queries(spark, sf):
     )
 
 
-@query
+@query_named("bulk_index")
 def bulk_index_documents(spark, sf):
     return b.order_index(spark, sf).corpus.select(
         "doc_id", "title", "synopsis", _joined("authors"), _joined("genres"), "publisher",
@@ -195,7 +205,7 @@ def candidate_depth(spark, sf):
 # --- lexical retrieval --------------------------------------------------------
 
 
-@query
+@query_named("tokenize")
 def tokenize_documents(spark, sf):
     docs = b.documents(spark, sf).select("doc_id", tokenize(F.col("synopsis")).alias("tokens"))
     return docs.select("doc_id", F.size("tokens").alias("n_tokens"),
@@ -276,7 +286,7 @@ def index_update_search(spark, sf):
 # --- dense retrieval ----------------------------------------------------------
 
 
-@query
+@query_named("l2_normalize")
 def l2_normalize_vectors(spark, sf):
     scaled = b.vectors(spark, sf).select(
         "doc_id", F.transform("vector", lambda x: x.cast("double") * F.col("label")).alias("vector"))
@@ -297,7 +307,7 @@ def _centre_queries(spark, sf) -> DataFrame:
         F.col("label").cast("string").alias("query_id"), l2_normalize(F.col("vector")).alias("vector"))
 
 
-@query
+@query_named("knn_exact")
 def knn_exact_vectors(spark, sf):
     return knn_exact(_centre_queries(spark, sf), b.vectors(spark, sf), b.config(), MIN_DEPTH)
 
@@ -309,7 +319,7 @@ def knn_exact_documents(spark, sf):
     return knn_exact(queries, b.document_index(spark, sf).vectors, b.config(), MIN_DEPTH)
 
 
-@query
+@query_named("knn_approx")
 def knn_approx_vectors(spark, sf):
     cells = build_cells(b.vectors(spark, sf), 16)
     return knn_approx(_centre_queries(spark, sf), cells, b.config(), probes=8, depth=MIN_DEPTH)
@@ -366,7 +376,7 @@ def rerank_head_tail(spark, sf):
     return fuse.rerank_head(full, score).select("query_id", "rank", "doc_id", "score", "rrf_score")
 
 
-@query
+@query_named("hybrid_search")
 def hybrid_search_documents(spark, sf):
     return hybrid_search(b.requests(spark, sf), b.document_index(spark, sf), b.config())
 
