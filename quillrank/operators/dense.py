@@ -108,18 +108,21 @@ def _nearest(
     scan = vectors.where(F.col("vector").isNotNull()).select(
         "doc_id", "vector", *(["cell"] if probing else [])
     )
+    several = queries.rows > cfg.query_block_rows
     passes = []
     for block in _query_blocks(queries, ["query_id", "vector", *extra], cfg):
         part = scan
         if probing:
             part = scan.where(F.col("cell").isin(sorted({c for row in block.column("cells").to_pylist()
                                                          for c in row})))
-        passes.append(part.mapInArrow(_score_batches(block, depth, cfg.score_digits, probing), _SCORED))
+        scored = part.mapInArrow(_score_batches(block, depth, cfg.score_digits, probing), _SCORED)
+        ranked = top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth).select(
+            "query_id", "rank", "doc_id", "score")
+        # Finish a pass before the next block is fetched: the driver holds one at a time.
+        passes.append(store(ranked, "neighbours").df if several else ranked)
     if not passes:
         return vectors.sparkSession.createDataFrame([], RANKED)
-    scored = reduce(DataFrame.unionByName, passes)
-    ranked = top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)
-    return ranked.select("query_id", "rank", "doc_id", "score")
+    return reduce(DataFrame.unionByName, passes)
 
 
 def knn_exact(
