@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillrank.llm.language import fit_language, identify_language
 from quillrank.llm.quality import fit_quality, judge_quality
+from quillrank.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,7 +25,19 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge_quality(documents, fit_quality(documents, _table(spark, sf, "labels")))
 
 
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document, learned outside the held-out fold."""
+    documents = _table(spark, sf, "documents")
+    return score_toxicity(documents, fit_toxicity(documents, _table(spark, sf, "labels")))
+
+
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    documents = _table(spark, sf, "documents")
+    return identify_language(documents, fit_language(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules,)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op8_language_id)
 }
 ORACLES: dict[str, str] = {}
