@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillrank.llm.language import fit_language, identify_language
+from quillrank.llm.mixing import mix
 from quillrank.llm.quality import fit_quality, judge_quality
+from quillrank.llm.simhash import near_duplicates
 from quillrank.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -31,6 +34,18 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(documents, fit_toxicity(documents, _table(spark, sf, "labels")))
 
 
+def op4_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = near_duplicates(_table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each document is taken by a mix with target weights for its source."""
+    mixed = mix(_table(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
     documents = _table(spark, sf, "documents")
@@ -38,6 +53,6 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op8_language_id)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_simhash_near_duplicates, op5_source_mix, op8_language_id)
 }
 ORACLES: dict[str, str] = {}
