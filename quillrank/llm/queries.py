@@ -15,6 +15,7 @@ from quillrank.llm.language import fit_language, identify_language
 from quillrank.llm.mixing import mix
 from quillrank.llm.quality import fit_quality, judge_quality
 from quillrank.llm.simhash import near_duplicates
+from quillrank.llm.suffixes import cut_repeats
 from quillrank.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -34,6 +35,11 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(documents, fit_toxicity(documents, _table(spark, sf, "labels")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every document that lie in a repeated string of 400 bytes."""
+    return cut_repeats(_table(spark, sf, "documents"))
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(_table(spark, sf, "documents"))
@@ -53,6 +59,6 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_simhash_near_duplicates, op5_source_mix, op8_language_id)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_suffix_dedup, op4_simhash_near_duplicates, op5_source_mix, op8_language_id)
 }
 ORACLES: dict[str, str] = {}
