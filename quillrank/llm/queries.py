@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.llm.encoding import encode_documents
 from quillrank.llm.language import fit_language, identify_language
 from quillrank.llm.mixing import mix
 from quillrank.llm.quality import fit_quality, judge_quality
 from quillrank.llm.simhash import near_duplicates
 from quillrank.llm.suffixes import cut_repeats
+from quillrank.llm.tokencount import count_tokens
 from quillrank.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -52,13 +54,24 @@ def op5_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact token count of every document and whether it is over the limit."""
+    return count_tokens(_table(spark, sf, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
     documents = _table(spark, sf, "documents")
     return identify_language(documents, fit_language(documents))
 
 
+def op10_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as digests."""
+    return encode_documents(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_suffix_dedup, op4_simhash_near_duplicates, op5_source_mix, op8_language_id)
+    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_suffix_dedup, op4_simhash_near_duplicates, op5_source_mix,
+                                 op7_token_counts, op8_language_id, op10_bpe_codec)
 }
 ORACLES: dict[str, str] = {}
