@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from quillrank.llm.encoding import encode_documents
 from quillrank.llm.language import fit_language, identify_language
+from quillrank.llm.licenses import scan_licenses
 from quillrank.llm.mixing import mix
+from quillrank.llm.neighbours import nearest
 from quillrank.llm.quality import fit_quality, judge_quality
 from quillrank.llm.simhash import near_duplicates
 from quillrank.llm.suffixes import cut_repeats
@@ -54,6 +56,11 @@ def op5_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases and license templates in every document."""
+    return scan_licenses(_table(spark, sf, "documents")).drop("spans")
+
+
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Exact token count of every document and whether it is over the limit."""
     return count_tokens(_table(spark, sf, "documents"))
@@ -65,13 +72,21 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return identify_language(documents, fit_language(documents))
 
 
+def op9_permutation_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return nearest(_table(spark, sf, "embeddings"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     return encode_documents(_table(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_suffix_dedup, op4_simhash_near_duplicates, op5_source_mix,
-                                 op7_token_counts, op8_language_id, op10_bpe_codec)
+    f.__name__: f for f in (
+        op1_quality_rules, op2_toxicity, op3_suffix_dedup, op4_simhash_near_duplicates,
+        op5_source_mix, op6_license_scan, op7_token_counts, op8_language_id, op9_permutation_search,
+        op10_bpe_codec,
+    )
 }
 ORACLES: dict[str, str] = {}
