@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.blocks import Block, blocks
+from quillrank.llm.blocks import BLOCK_BYTES, Block, blocks
 from quillrank.llm.encoding import vocabulary_path
 from quillrank.llm.tables import text_rows
 
@@ -66,46 +66,61 @@ class PrefixCounter:
         found = self.pairs[left, right] = self._merged(left + right) == [left, right]
         return found
 
-    def prefixes(self, unit: str) -> list[int]:
-        """Token count of each prefix of a unit, by its number of characters.
+    def _extend(self, unit: str, counts: list[int], last: list[str], begin: list[int]) -> None:
+        """Go on from the prefixes that the lists hold to those of the whole unit.
 
-        A character outside the vocabulary is written byte by byte and merges
+        By number of characters: token count, last piece, and the end of the last
+        character outside the vocabulary, which is written byte by byte and merges
         with nothing.
         """
-        standing, tails, pairs, n = self.standing, self.tails, self.pairs, len(unit)
-        counts, last = [0] * (n + 1), [""] * (n + 1)
-        begin = 0
-        for end in range(1, n + 1):
+        standing, tails, pairs = self.standing, self.tails, self.pairs
+        first = begin[-1]
+        for end in range(len(counts), len(unit) + 1):
             ending, start = [], end - 1
-            while start >= begin and (tail := unit[start:end]) in tails:
+            while start >= first and (tail := unit[start:end]) in tails:
                 if tail in standing:
                     ending.append(start)
                 start -= 1
             if not ending:
-                counts[end] = counts[end - 1] + len(unit[end - 1].encode())
-                begin = end
-                continue
+                counts.append(counts[-1] + len(unit[end - 1].encode()))
+                last.append("")
+                first = end
             for start in reversed(ending):
                 piece = unit[start:end]
-                fits = start == begin or pairs.get((last[start], piece))
+                fits = start == first or pairs.get((last[start], piece))
                 if fits is None:
                     fits = self._follows(last[start], piece)
                 if fits:
-                    counts[end], last[end] = counts[start] + 1, piece
+                    counts.append(counts[start] + 1)
+                    last.append(piece)
                     break
+            begin.append(first)
+
+    def prefixes(self, unit: str) -> list[int]:
+        """Token count of each prefix of a unit, by its number of characters."""
+        counts, last, begin = [0], [""], [0]
+        self._extend(unit, counts, last, begin)
         return counts
 
     def unit_counts(self, units: list[bytes]) -> np.ndarray:
+        """Token counts of whole units. New ones are taken in order, so that each goes on
+        from the prefix it shares with the one before."""
         known = self.known
         if len(known) > self.remembered:
             known.clear()
-        out = np.empty(len(units), np.int64)
-        for i, raw in enumerate(units):
-            n = known.get(raw)
-            if n is None:
-                n = known[raw] = self.prefixes(raw.decode().replace(" ", MARK))[-1]
-            out[i] = n
-        return out
+        before, counts, last, begin = "", [0], [""], [0]
+        for raw in sorted(u for u in units if u not in known):
+            unit = raw.decode().replace(" ", MARK)
+            shared = 0
+            for a, b in zip(unit, before):
+                if a != b:
+                    break
+                shared += 1
+            del counts[shared + 1 :], last[shared + 1 :], begin[shared + 1 :]
+            self._extend(unit, counts, last, begin)
+            known[raw] = counts[-1]
+            before = unit
+        return np.array([known[u] for u in units], np.int64)
 
     def running(self, block: Block) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
         """Units of a block and the running token count before each.
@@ -154,7 +169,7 @@ def count_tokens(documents: DataFrame, limit: int = 4096, name: str = "piece_bpe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(path or vocabulary_path(name))
         for batch in batches:
-            for block in blocks(batch.column("marked")):
+            for block in blocks(batch.column("marked"), 4 * BLOCK_BYTES):
                 spaced, at, first, total = counter.running(_spaced(block))
                 n = total[first[1:]] - total[first[:-1]]
                 fit = np.diff(block.offsets)
