@@ -14,7 +14,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _RANDOM = np.random.RandomState(20240501)
 _BYTE = _RANDOM.randint(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)

@@ -218,7 +218,7 @@ def _contents(documents: DataFrame, wanted: DataFrame, cfg: RepeatConfig) -> Dat
     return rows.mapInArrow(run, "anchor long, content long, bytes binary, many boolean")
 
 
-def _windows(data: pa.Array, cfg: RepeatConfig, limit: int = 1 << 20):
+def _windows(data: pa.Array, cfg: RepeatConfig, limit: int = 1 << 19):
     """Fingerprints of all windows of the given byte strings: run number, offset, fingerprint."""
     for block in blocks(data, limit):
         count = np.maximum(np.diff(block.offsets) - cfg.length + 1, 0)
@@ -266,7 +266,7 @@ def _compare(contents: DataFrame, cfg: RepeatConfig) -> DataFrame:
             for piece in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
                 held.append(piece)
                 size += piece.nbytes
-                if size < 4 << 20:
+                if size < 2 << 20:
                     continue
                 table = pa.Table.from_batches(held)
                 anchor = table.column("anchor").to_numpy()
