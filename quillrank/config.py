@@ -51,16 +51,21 @@ class RetrievalConfig:
     max_expansions: int = 50
     rrf_k: int = RRF_K
     rerank_top_k: int = RERANK_TOP_K
+    # Requests with a larger limit are refused; retrieval depth follows from it.
+    max_limit: int = MAX_LIMIT
     score_digits: int = 6
     # The bounds below decide between a broadcast and a shuffled plan. They
     # change how a result is computed, never what it is.
     broadcast_rows: int = 2_000_000
     query_block_rows: int = 4_096
-    exhaustive_matches: int = 500_000_000
     join_salts: int = 32
     term_partitions: int = 8
     index_buckets: int | None = None
 
+    @property
+    def max_depth(self) -> int:
+        return max(DEPTH_FACTOR * self.max_limit, MIN_DEPTH)
+
     def weight(self, field_name: str) -> float:
         return self.field_weights[field_name] * self.mapping_boosts.get(field_name, 1.0)
 

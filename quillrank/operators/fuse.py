@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.config import DEPTH_FACTOR, MAX_LIMIT, MIN_DEPTH, RERANK_TOP_K, RRF_K
+from quillrank.config import DEPTH_FACTOR, MIN_DEPTH, RERANK_TOP_K, RRF_K
 
 
 def candidate_depth(limit: Column) -> Column:
@@ -91,14 +91,17 @@ def rerank_head(ranked: DataFrame, rerank_score: Column, top_k: int = RERANK_TOP
     )
 
 
-def cut(ranked: DataFrame, queries: DataFrame) -> DataFrame:
+def cut(ranked: DataFrame, queries: DataFrame, max_limit: int | None = None) -> DataFrame:
     """Page limit first, then the score threshold on what is left.
 
     Rows below the threshold are not replaced by later ones, and a threshold of
-    zero keeps everything. The literal bound lets Spark prune early.
+    zero keeps everything. A caller that has refused larger limits can name its
+    ``max_limit``; a literal bound lets Spark prune early.
     """
     wanted = queries.select("query_id", "limit", "threshold")
-    page = ranked.where(F.col("rank") <= MAX_LIMIT).join(wanted, "query_id")
+    if max_limit is not None:
+        ranked = ranked.where(F.col("rank") <= max_limit)
+    page = ranked.join(wanted, "query_id")
     return page.where(
         (F.col("rank") <= F.col("limit"))
         & ((F.col("threshold") <= 0) | (F.col("score") >= F.col("threshold")))

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from quillrank.config import MAX_DEPTH, RetrievalConfig
 from quillrank.functions.text import clean_list, term_frequencies, tokenize, tokenize_list
 from quillrank.operators.fuzzy import expand_terms
-from quillrank.operators.pruning import pruned_scores
 from quillrank.operators.scoring import best_field, scored_parts, term_part
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed
@@ -184,19 +183,8 @@ def bm25_top(
 ) -> DataFrame:
     """The ``depth`` best documents of every query: ``(query_id, rank, doc_id, score)``.
 
-    Within a field the terms add up; over the fields the best one counts. When
-    the queries contain very frequent terms, documents that match nothing else
-    and cannot get into the result are left out before scoring; the result is
-    the same.
+    Within a field the terms add up; over the fields the best one counts.
     """
-    weights = store(
-        query_weights(queries, index, cfg), "query-weights",
-        totals={"matches": F.coalesce(F.sum("df"), F.lit(0))},
-    )
-    scores = None
-    if weights.totals["matches"] > cfg.exhaustive_matches:
-        scores = pruned_scores(weights, index.parts, cfg, depth)
-    if scores is None:
-        scores = bm25_scores(weights, index, cfg)
+    scores = bm25_scores(store(query_weights(queries, index, cfg), "query-weights"), index, cfg)
     ranked = top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)
     return ranked.select("query_id", "rank", "doc_id", "score")

@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.config import EMBEDDING_TTL_SECONDS
 from quillrank.functions.embedders import QUERY, Embedder
 from quillrank.functions.keys import embedding_key
 
 
-def entries(rows: DataFrame, key: Column, payload: Column, written_at: Column, ttl: int) -> DataFrame:
-    """Cache rows ``(key, payload, written_at, expires_at)`` ready to be appended."""
+def entries(
+    rows: DataFrame, key: Column, payload: Column, written_at: Column, ttl: int | Column
+) -> DataFrame:
+    """Cache rows ``(key, payload, written_at, expires_at)`` ready to be appended; ``ttl`` in seconds."""
     return rows.select(
         key.alias("key"), payload.alias("payload"), written_at.alias("written_at"),
-        (written_at + F.make_dt_interval(secs=F.lit(ttl))).alias("expires_at"),
+        (written_at + F.make_dt_interval(secs=ttl if isinstance(ttl, Column) else F.lit(ttl))).alias("expires_at"),
     )
 
 
@@ -32,15 +33,19 @@ def newest(cache: DataFrame) -> DataFrame:
     return cache.groupBy("key").agg(F.max(entry).alias("_entry")).select("key", "_entry.*")
 
 
-def live(cache: DataFrame, now: Column, longest_ttl: int = EMBEDDING_TTL_SECONDS) -> DataFrame:
-    """Newest entries that have not expired at ``now``.
+def live(cache: DataFrame, now: Column) -> DataFrame:
+    """Newest entries that have not expired at ``now``, whatever their time to live.
 
-    ``longest_ttl`` is the longest life of any entry of the table: what was
-    written before that is expired and need not be read.
+    An entry that was written later replaces an earlier one, even if it expires
+    sooner, so all entries written so far are looked at; ``purge`` keeps them few.
     """
-    oldest = now - F.make_dt_interval(secs=F.lit(longest_ttl))
-    recent = cache.where((F.col("written_at") <= now) & (F.col("written_at") > oldest))
-    return newest(recent).where(F.col("expires_at") > now)
+    return newest(cache.where(F.col("written_at") <= now)).where(F.col("expires_at") > now)
+
+
+def purge(cache: DataFrame, path: str, now: Column) -> None:
+    """Write what can still be asked for to a new folder: live entries and those written after ``now``."""
+    later = cache.where(F.col("written_at") > now).select("key", "payload", "written_at", "expires_at")
+    live(cache, now).select("key", "payload", "written_at", "expires_at").union(later).write.parquet(path)
 
 
 def lookup(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:

@@ -50,6 +50,14 @@ def judge_runs(qrels: DataFrame, runs: DataFrame) -> DataFrame:
 def evaluate(
     qrels: DataFrame, index: SearchIndex, cfg: RetrievalConfig, cutoffs: Sequence[int] = EVAL_CUTOFFS
 ) -> DataFrame:
-    """``(method, metric, value)`` for BM25, dense and fused retrieval."""
-    labelled = store(qrels, "qrels").df
+    """``(method, metric, value)`` for BM25, dense and fused retrieval.
+
+    An empty corpus or query set is an error, not a set of zeros.
+    """
+    if index.corpus.isEmpty():
+        raise ValueError("the corpus is empty; index documents first")
+    stored = store(qrels, "qrels")
+    if not stored.rows:
+        raise ValueError("there are no labelled queries to evaluate")
+    labelled = stored.df
     return metrics_long(judge_runs(labelled, ranked_runs(labelled, index, cfg, cutoffs)), cutoffs)

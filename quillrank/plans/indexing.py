@@ -31,20 +31,37 @@ class SearchIndex:
         return self.corpus.select("doc_id", "vector")
 
 
-def bulk_index(documents: DataFrame, embedder: Embedder, cfg: RetrievalConfig) -> SearchIndex:
+def bulk_index(
+    documents: DataFrame, embedder: Embedder, cfg: RetrievalConfig, order: list[str] | None = None
+) -> SearchIndex:
     """Embed normalised documents, store them, and index the stored rows.
 
     Every document moves once, to the task of its bucket; embedding, storing and
     analysing happen there. Documents that cannot be stored do not stop the job,
-    they are counted. Vectors that are already there are kept.
+    they are counted. Vectors that are already there are kept. Of rows with the
+    same id the last one counts: by the columns of ``order``, or else by all
+    columns as they stand.
     """
     buckets = bucket_count(documents.sparkSession, cfg.index_buckets)
-    placed = spread(documents, buckets)
+    placed = _last_written(spread(documents, buckets), order)
     vectors = placed if "vector" in documents.columns else embed(placed, embedder)
     corpus, counts = store_corpus(vectors, embedder.dim, buckets)
     return SearchIndex(corpus, build_lexical_index(corpus, cfg), embedder, counts)
 
 
+def _last_written(documents: DataFrame, order: list[str] | None) -> DataFrame:
+    """One row per id; rows without an id stay, to be counted as failed.
+
+    The rows of an id are in one task already, so nothing moves.
+    """
+    unnamed = F.coalesce(F.col("doc_id"), F.lit("")) == ""
+    columns = [c for c in documents.columns if c != "doc_id"]
+    position = F.struct(*(order or columns))
+    rows = documents.withColumn("_unnamed", F.when(unnamed, F.monotonically_increasing_id()))
+    newest = rows.groupBy("doc_id", "_unnamed").agg(F.max_by(F.struct(*columns), position).alias("_row"))
+    return newest.select("doc_id", "_row.*")
+
+
 def apply_changes(index: SearchIndex, documents: DataFrame, cfg: RetrievalConfig) -> SearchIndex:
     """The index after an upsert of ``documents``, at the cost of the changes.
 

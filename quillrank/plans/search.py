@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import (
-    DEFAULT_LIMIT, DEFAULT_THRESHOLD, MAX_DEPTH, MAX_LIMIT, MIN_LIMIT, RESULTS_TTL_SECONDS,
-    RetrievalConfig,
+    DEFAULT_LIMIT, DEFAULT_THRESHOLD, MIN_LIMIT, RESULTS_TTL_SECONDS, RetrievalConfig,
 )
 from quillrank.functions.embedders import QUERY, Scorer
 from quillrank.functions.keys import results_key
@@ -21,10 +20,12 @@ from quillrank.sources.tables import in_bounds, with_query_defaults
 from quillrank.sources.workspace import Stored, store
 
 
-def validate(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate(
+    requests: DataFrame, cfg: RetrievalConfig = RetrievalConfig()
+) -> tuple[DataFrame, DataFrame]:
     """Requests with defaults filled in, split into accepted and rejected ones."""
     complete = with_query_defaults(requests, limit=DEFAULT_LIMIT, threshold=DEFAULT_THRESHOLD)
-    ok = in_bounds(MIN_LIMIT, MAX_LIMIT)
+    ok = in_bounds(MIN_LIMIT, cfg.max_limit)
     return complete.where(ok), complete.where(~ok)
 
 
@@ -53,9 +54,9 @@ def hybrid_ranking(
     queries: Stored, index: SearchIndex, cfg: RetrievalConfig, scorer: Scorer | None = None
 ) -> DataFrame:
     """Fused (and reranked) rows of every accepted query before the final cut."""
-    lexical = within_depth(bm25_top(queries.df, index.lexical, cfg, MAX_DEPTH), queries.df)
+    lexical = within_depth(bm25_top(queries.df, index.lexical, cfg, cfg.max_depth), queries.df)
     dense = within_depth(
-        knn_exact(embed_queries(queries.df, index), index.vectors, cfg, MAX_DEPTH), queries.df
+        knn_exact(embed_queries(queries.df, index), index.vectors, cfg, cfg.max_depth), queries.df
     )
     ranked = rrf_fuse(lexical, dense, cfg.rrf_k)
     if scorer is None:
@@ -83,9 +84,9 @@ def hybrid_search(
     ``requests`` is ``(query_id, q, limit, threshold)``; limit and threshold may
     be NULL. Rejected requests yield no rows; ``validate`` tells them apart.
     """
-    accepted, _ = validate(requests)
+    accepted, _ = validate(requests, cfg)
     queries = store(accepted, "queries")
-    page = store(cut(hybrid_ranking(queries, index, cfg, scorer), queries.df), "page")
+    page = store(cut(hybrid_ranking(queries, index, cfg, scorer), queries.df, cfg.max_limit), "page")
     shown = _with_attributes(page.df, index.corpus, ["title", "book_picture"], page.rows, cfg)
     return shown.select(
         "query_id", "rank", F.col("doc_id").alias("id"),
@@ -104,7 +105,7 @@ def memoised_search(
     Returns ``(query_id, items, source)``. Equal requests are computed once; a
     request without results is remembered as such.
     """
-    accepted, _ = validate(requests)
+    accepted, _ = validate(requests, cfg)
     namespace = f"{index.embedder.name}|{scorer.name if scorer else 'none'}"
     keyed = store(accepted.withColumn(
         "key", results_key(F.col("q"), F.col("limit"), F.col("threshold"), namespace)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillrank import schema
 
@@ -51,13 +52,23 @@ def scan_corpus(corpus: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def write_query_set(qrels: DataFrame, path: str) -> None:
-    """Save labelled queries as JSON lines."""
-    qrels.select([f.name for f in schema.QRELS]).write.mode("overwrite").json(path)
+    """Save labelled queries with their ids as JSON lines."""
+    _with_query_id(qrels).select("query_id", *[f.name for f in schema.QRELS]).write.mode("overwrite").json(path)
 
 
 def read_query_set(spark: SparkSession, path: str, *, one_array: bool = False) -> DataFrame:
-    """Load labelled queries from JSON lines, or from files that hold one JSON array each."""
-    return spark.read.schema(schema.QRELS).option("multiLine", one_array).json(path)
+    """Load labelled queries from JSON lines, or from files that hold one JSON array each.
+
+    Queries that were saved without an id get one from their content.
+    """
+    saved = T.StructType([T.StructField("query_id", T.StringType()), *schema.QRELS.fields])
+    return _with_query_id(spark.read.schema(saved).option("multiLine", one_array).json(path))
+
+
+def _with_query_id(qrels: DataFrame) -> DataFrame:
+    content = F.sha2(F.to_json(F.struct(*[f.name for f in schema.QRELS])), 256)
+    known = F.col("query_id").cast("string") if "query_id" in qrels.columns else F.lit(None).cast("string")
+    return qrels.withColumn("query_id", F.coalesce(known, content))
 
 
 def with_query_defaults(requests: DataFrame, *, limit: int, threshold: float) -> DataFrame:

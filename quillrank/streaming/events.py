@@ -28,18 +28,24 @@ def read_event_files(spark: SparkSession, path: str, *, max_files: int = 10, fmt
 def read_event_topic(spark: SparkSession, servers: str, topic: str, *, max_offsets: int = 10_000) -> DataFrame:
     """Event envelopes from a Kafka topic; needs the Kafka connector jar.
 
-    The record key is the routing key; partition and offset give the order.
+    The record key is the routing key. Offsets repeat over partitions, so an event
+    is known by both: the partition in the high bits, the offset in the low 44.
     """
     records = (
         spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic).option("maxOffsetsPerTrigger", max_offsets).load()
     )
     return records.select(
-        F.col("offset").alias("event_id"), F.col("timestamp").alias("ts"),
+        topic_event_id(F.col("partition"), F.col("offset")).alias("event_id"), F.col("timestamp").alias("ts"),
         F.col("key").cast("string").alias("routing_key"), F.col("value").cast("string").alias("body"),
     )
 
 
+def topic_event_id(partition: Column, offset: Column) -> Column:
+    """One number for a record of a topic, in the order of offsets within a partition."""
+    return F.shiftleft(partition.cast("long"), 44).bitwiseOR(offset.cast("long"))
+
+
 def routed(events: DataFrame, routing_key: str = ROUTING_KEY) -> DataFrame:
     return events.where(F.col("routing_key") == routing_key)
 
@@ -77,8 +83,14 @@ def rejected(decoded: DataFrame) -> DataFrame:
 
 
 def without_redelivered(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Stream in which a repeated ``event_id`` within ``delay`` is let through once."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    """Stream in which an ``event_id`` that is repeated within ``delay`` is let through once.
+
+    ``delay`` counts from the arrival of an event, so no event is too late by its own
+    time, and ids are forgotten after it. A repeat that comes later passes; the
+    upsert makes it harmless.
+    """
+    arriving = events.withColumn("_arrived", F.current_timestamp())
+    return arriving.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("_arrived")
 
 
 def latest_by_key(documents: DataFrame) -> DataFrame:

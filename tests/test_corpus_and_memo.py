@@ -68,7 +68,10 @@ def test_scan_needs_id_and_title(spark):
 def test_query_sets_round_trip(spark, workdir):
     qrels = spark.createDataFrame([("q é", "1", "keyword", "t")], schema.QRELS)
     write_query_set(qrels, f"{workdir}/q")
-    assert read_query_set(spark, f"{workdir}/q").collect() == qrels.collect()
+    saved = read_query_set(spark, f"{workdir}/q")
+    assert saved.drop("query_id").collect() == qrels.collect() and saved.first()["query_id"]
+    write_query_set(qrels.withColumn("query_id", F.lit("own")), f"{workdir}/named")
+    assert [r["query_id"] for r in read_query_set(spark, f"{workdir}/named").collect()] == ["own"]
     with open(f"{workdir}/array.json", "w", encoding="utf-8") as out:
         out.write('[\n  {"query": "a", "relevant_id": "1", "style": "year", "title": "t"},\n'
                   '  {"query": "b", "relevant_id": "2", "style": "year", "title": "u"}\n]')
@@ -94,6 +97,17 @@ def test_cache_expiry_is_exact_and_newest_wins(spark):
     assert state("2024-01-01 00:06:00") == {}
 
 
+def test_cache_keeps_entries_of_any_life(spark, workdir):
+    rows = spark.createDataFrame(
+        [("day", 86400, "2024-01-01 00:00:00"), ("short", 60, "2024-01-01 00:00:00"),
+         ("replaced", 86400, "2024-01-01 00:00:00"), ("replaced", 60, "2024-01-01 01:00:00")], "k string, life int, t string")
+    cache = memo.entries(rows, F.col("k"), F.col("k"), F.col("t").cast("timestamp"), F.col("life"))
+    now = at("2024-01-01 05:00:00")
+    assert [r["key"] for r in memo.live(cache, now).collect()] == ["day"]
+    memo.purge(cache, f"{workdir}/purged", now)
+    assert [r["key"] for r in spark.read.parquet(f"{workdir}/purged").collect()] == ["day"]
+
+
 def test_only_unknown_texts_are_embedded(spark):
     texts = spark.createDataFrame([("a",), ("b",), ("a",)], "text string")
     now = at("2024-01-01 00:00:00")

@@ -101,3 +101,9 @@ def test_failed_scorer_keeps_fused_order(five):
     out = rerank_head(five, broken, top_k=3)
     assert order_of(out) == ["d1", "d2", "d3", "d4", "d5"]
     assert all(r["score"] == r["rrf_score"] for r in out.collect())
+
+
+def test_cut_keeps_long_pages(spark):
+    ranked = spark.createDataFrame([("q", i, f"d{i}", 1.0) for i in range(1, 81)], "query_id string, rank int, doc_id string, score double")
+    wanted = spark.createDataFrame([("q", 60, 0.0)], "query_id string, limit int, threshold double")
+    assert cut(ranked, wanted).count() == 60

@@ -90,6 +90,23 @@ def test_redelivered_events_pass_once(spark, workdir):
     assert spark.read.parquet(f"{workdir}/out").count() == len(FIRST)
 
 
+def test_late_events_are_let_through(spark, workdir):
+    source = f"{workdir}/in"
+    days = ["2024-01-20", "2024-01-01", "2024-01-25", "2024-01-02"]
+    for i, day in enumerate(days):
+        drop_file(source, str(i), [{**FIRST[0], "event_id": 500 + i, "ts": f"{day} 00:00:00"}])
+    stream = ev.without_redelivered(ev.read_event_files(spark, source, max_files=1))
+    (stream.writeStream.format("parquet").option("path", f"{workdir}/out")
+     .option("checkpointLocation", f"{workdir}/ck").trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{workdir}/out").collect()) == [500, 501, 502, 503]
+
+
+def test_topic_ids_differ_between_partitions(spark):
+    rows = spark.createDataFrame([(0, 7), (1, 7), (1, 8)], "partition int, offset long")
+    ids = [r[0] for r in rows.select(ev.topic_event_id(F.col("partition"), F.col("offset"))).collect()]
+    assert len(set(ids)) == 3 and ids == sorted(ids)
+
+
 def test_running_latest_per_key(spark, workdir):
     source = f"{workdir}/in"
     drop_file(source, "1", FIRST)

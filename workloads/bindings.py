@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank import HashingEmbedder, RetrievalConfig, SearchIndex, bulk_index
-from quillrank.config import MAX_DEPTH
 from quillrank.operators.corpus import assemble, normalize
-from quillrank.operators.topk import top_k
 
 EVENT_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -150,9 +148,12 @@ def order_lists(spark: SparkSession, sf: str, mirrored: bool) -> tuple[DataFrame
         F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("day"),
         F.col("o_orderpriority").alias("title"),
     )
-    first = top_k(rows, ["query_id"], [F.desc("price"), F.asc("doc_id")], MAX_DEPTH)
     other = [F.asc("price"), F.desc("doc_id")] if mirrored else [F.desc("day"), F.asc("doc_id")]
-    return first, top_k(rows, ["query_id"], other, MAX_DEPTH)
+
+    def ranked(order: list[Column]) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+    return ranked([F.desc("price"), F.asc("doc_id")]), ranked(other)
 
 
 # --- events -------------------------------------------------------------------

@@ -6,7 +6,15 @@ comparing all terms, neighbours by comparing all vectors.
 
 from __future__ import annotations
 
-from quillrank.config import FIELD_WEIGHTS, MAPPING_BOOSTS, STYLE_LABELS
+# Fixed values, written out so that a wrong constant in the library shows.
+FIELD_WEIGHTS = {"title": 3.0, "synopsis": 1.0, "authors": 2.0, "genres": 1.5, "publisher": 1.0}
+MAPPING_BOOSTS = {"title": 2.0}
+STYLE_LABELS = {
+    "keyword": "Title keywords",
+    "author": "Author-based",
+    "subject": "Subject/conceptual",
+    "year": "Year + subject",
+}
 
 TOKENS = r"'[\p{L}\p{M}\p{N}_]+(?:[''’.][\p{L}\p{M}\p{N}_]+)*'"
 SPACES = r"'[\s\p{Z}]+'"
@@ -307,6 +315,11 @@ WITH {ENVELOPES} SELECT doc_id, event_id, title, synopsis FROM newest"""
 ORACLES["stream_dedup"] = f"""
 WITH {ENVELOPES} SELECT event_id, routing_key, body FROM envelopes"""
 
+ORACLES["bulk_index_repeated_ids"] = f"""
+WITH {DOCUMENTS} SELECT doc_id, 'New ' || title AS title, count(*) OVER () AS n_docs FROM corpus"""
+
+ORACLES["stream_late_events"] = "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts FROM events"
+
 # --- requests -------------------------------------------------------------------
 
 EVENT_REQUESTS = """
@@ -414,11 +427,9 @@ rows_ AS (
   SELECT CAST(o_custkey AS VARCHAR) AS query_id, CAST(o_orderkey AS VARCHAR) AS doc_id,
          o_totalprice AS price, o_orderdate AS day, o_orderpriority AS title FROM orders),
 list_a AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY price DESC, doc_id) AS rank FROM rows_
-  QUALIFY rank <= 200),
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY price DESC, doc_id) AS rank FROM rows_),
 list_b AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {second}) AS rank FROM rows_
-  QUALIFY rank <= 200)"""
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {second}) AS rank FROM rows_)"""
 
 
 FUSED_COLUMNS = "query_id, rank, doc_id, round(score, 9) AS score, bm25_rank, knn_rank"
@@ -519,6 +530,16 @@ SELECT q, CASE WHEN value < 5 THEN 0 ELSE 1 END AS n_items, epoch_us(expires_at)
 ORACLES["cache_hits"] = f"""
 WITH {CACHE} SELECT key, q FROM asked WHERE key IN (SELECT key FROM live)"""
 
+ORACLES["cache_long_ttl"] = f"""
+WITH {CACHE},
+mixed AS (
+  SELECT key, q, event_id, written_at,
+         written_at + to_seconds(CASE event_id % 3 WHEN 0 THEN 60 WHEN 1 THEN 7200 ELSE 86400 END) AS expires_at
+  FROM log WHERE written_at <= TIMESTAMP '2024-01-15 12:00:00')
+SELECT q, epoch_us(expires_at) AS expires_at FROM (
+  SELECT * FROM mixed QUALIFY row_number() OVER (PARTITION BY key ORDER BY written_at DESC) = 1)
+WHERE expires_at > TIMESTAMP '2024-01-15 12:00:00'"""
+
 ORACLES["cache_misses"] = f"""
 WITH {CACHE} SELECT key, q FROM asked WHERE key NOT IN (SELECT key FROM live)"""
 
@@ -529,7 +550,7 @@ FROM events WHERE value >= 5"""
 ORACLES["memo_embeddings"] = f"""
 WITH {DOCUMENTS},
 texts AS (
-  SELECT title AS text, bool_or(publisher < 'src15') AS known FROM corpus GROUP BY title),
+  SELECT {DOC_TEXT} AS text, bool_or(publisher < 'src15') AS known FROM corpus GROUP BY 1),
 {hashed('texts', 'text', 'text', 'tvec')}
 SELECT text, CASE WHEN known THEN 'cache' ELSE 'model' END AS source, len(vec) AS dim,
        {CHECKSUM} AS vec_sum

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank import HashingEmbedder, OverlapScorer, apply_changes, hybrid_search, validate
+from quillrank import HashingEmbedder, OverlapScorer, apply_changes, bulk_index, hybrid_search, validate
 from quillrank.config import (
     DEFAULT_LIMIT, DEFAULT_THRESHOLD, EMBEDDING_TTL_SECONDS, EVAL_QUERY_COUNT, MAX_LIMIT, MIN_DEPTH,
-    MIN_LIMIT, RESULTS_TTL_SECONDS, STYLE_LABELS,
+    MIN_LIMIT, RERANK_TOP_K, RESULTS_TTL_SECONDS, STYLE_LABELS,
 )
 from quillrank.functions.embedders import QUERY
 from quillrank.functions.keys import embedding_key, results_key
@@ -137,6 +137,16 @@ def bulk_index_documents(spark, sf):
     )
 
 
+@query
+def bulk_index_repeated_ids(spark, sf):
+    """Every document twice, the second time with another title: the last one is stored and counted."""
+    documents = b.documents(spark, sf).withColumn("version", F.lit(1))
+    again = documents.withColumn("title", F.concat(F.lit("New "), F.col("title"))).withColumn("version", F.lit(2))
+    index = bulk_index(again.unionByName(documents), HashingEmbedder(), b.config(), ["version"])
+    n = index.lexical.field_stats.where("field = 'title'").select("n_docs")
+    return index.corpus.select("doc_id", "title").crossJoin(F.broadcast(n))
+
+
 @query
 def bulk_index_counts(spark, sf):
     """Events as documents: those without title or id cannot be embedded and fail."""
@@ -371,9 +381,13 @@ def rerank_head_tail(spark, sf):
     cfg = _plain(field_weights={"synopsis": 1.0}, mapping_boosts={})
     queries = b.free_queries(spark, sf)
     ranked = lexical.bm25_top(queries, index.lexical, cfg, MAX_LIMIT)
-    full = ranked.join(index.corpus.select("doc_id", "title", "synopsis"), "doc_id").join(queries, "query_id")
-    score = OverlapScorer().column(F.col("q"), F.col("title"), F.col("synopsis"))
-    return fuse.rerank_head(full, score).select("query_id", "rank", "doc_id", "score", "rrf_score")
+    # Only the head is scored, so only the head needs its text.
+    held = store(ranked, "ranked").df
+    head = held.where(F.col("rank") <= RERANK_TOP_K).select("query_id", "doc_id")
+    texts = head.join(index.corpus.select("doc_id", "title", "synopsis"), "doc_id").join(queries, "query_id")
+    score = OverlapScorer().column(F.col("q"), F.col("title"), F.col("synopsis")).alias("_model_score")
+    joined = held.join(texts.select("query_id", "doc_id", score), ["query_id", "doc_id"], "left")
+    return fuse.rerank_head(joined, F.col("_model_score")).select("query_id", "rank", "doc_id", "score", "rrf_score")
 
 
 @query_named("hybrid_search")
@@ -440,6 +454,17 @@ def cache_hits(spark, sf):
     return memo.hits(_cache_requests(spark, sf), _cache_log(spark, sf), _now(spark, sf))
 
 
+@query
+def cache_long_ttl(spark, sf):
+    """Entries that live from a minute to a day, next to each other under the same keys."""
+    rows = b.event_table(spark, sf).withColumn("q", F.concat_ws(" ", "event_type", "user_id"))
+    key = results_key(F.col("q"), F.lit(DEFAULT_LIMIT), F.lit(DEFAULT_THRESHOLD))
+    life = F.element_at(F.array(F.lit(60), F.lit(7200), F.lit(86400)), (F.col("event_id") % 3 + 1).cast("int"))
+    cache = memo.entries(rows, key, F.lit("[]"), F.col("ts").cast("timestamp"), life)
+    found = memo.lookup(_cache_requests(spark, sf), cache, _now(spark, sf))
+    return found.select("q", b.micros(F.col("expires_at")).alias("expires_at"))
+
+
 @query
 def cache_misses(spark, sf):
     return memo.misses(_cache_requests(spark, sf), _cache_log(spark, sf), _now(spark, sf))
@@ -454,7 +479,8 @@ def cache_roundtrip(spark, sf):
 @query
 def memo_embeddings(spark, sf):
     """Documents as texts; the first half of the sources was embedded before."""
-    texts = b.documents(spark, sf).select(F.col("title").alias("text"), "publisher")
+    whole = build_text(F.col("title"), F.col("synopsis"))
+    texts = b.documents(spark, sf).select(whole.alias("text"), "publisher")
     model = HashingEmbedder()
     known = texts.where(F.col("publisher") < "src15").select("text").distinct()
     now = _now(spark, sf)
@@ -603,3 +629,20 @@ def stream_dedup(spark, sf):
     )
     return spark.read.schema(unique.schema).parquet(f"{path}/events").select(
         "event_id", "routing_key", "body")
+
+
+@query
+def stream_late_events(spark, sf):
+    """Events in several micro-batches, the latest days first and each twice: none is lost for its age."""
+    path = new_folder(spark, "late")
+    events = b.event_table(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    day = F.dayofyear("ts")
+    for part in (3, 2, 1, 0):
+        events.where(day % 4 == part).union(events.where(day % 4 == part)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    (
+        ev.without_redelivered(stream).writeStream.format("parquet").option("path", f"{path}/events")
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        .start().awaitTermination()
+    )
+    return spark.read.schema(events.schema).parquet(f"{path}/events").select("event_id", "ts")
