@@ -15,27 +15,28 @@ from quillrank.sources.workspace import bucket_count
 KEYS_PER_WORD = 211
 
 
-def _placed(vocabulary: DataFrame) -> DataFrame:
-    """Vocabulary spread evenly over all cores, every term in one place.
+def keys_of(terms: DataFrame) -> DataFrame:
+    """``(_key, term)``: every indexed term under all keys by which it can be found.
 
-    The terms are small but each one is a lot of work, so the number of parts
-    follows the cores and not the size of the data.
+    The terms are small but each one is a lot of work, so they are spread over all
+    cores. Made once when an index is built; searches only read it.
     """
-    spark = vocabulary.sparkSession
+    spark = terms.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, bucket_count(spark))
-    return vocabulary.repartition(parts, "kind", "term")
+    distinct = terms.select("term").repartition(parts, "term").distinct()
+    return distinct.select(F.explode(vocabulary_keys(F.col("term"))).alias("_key"), "term")
 
 
 def similar_terms(
-    wanted: DataFrame, vocabulary: DataFrame, cfg: RetrievalConfig, wanted_rows: int
+    wanted: DataFrame, keys: DataFrame, cfg: RetrievalConfig, wanted_rows: int
 ) -> DataFrame:
     """Pairs ``(kind, q_term, term, edits)`` within the allowed number of edits.
 
-    ``wanted`` holds distinct ``(kind, q_term)``, ``vocabulary`` has ``(kind, term)``.
-    Both sides are turned into keys, joined on them, and the distance is computed
-    once per candidate pair. Few query words are copied to the tasks that hold the
-    vocabulary: its keys are not shuffled, and all candidates of a term stay in
-    its task.
+    ``wanted`` holds distinct ``(kind, q_term)``, ``keys`` is the table of an index.
+    Query words are turned into keys and joined with it, and the distance is computed
+    once per candidate pair. Few query words are copied to the tasks that read the
+    keys, which then are not shuffled. Whether a term exists in a field of the kind is
+    left to the join with the vocabulary.
     """
     probes = wanted.select(
         "kind", "q_term", allowed_edits(F.col("q_term")).alias("allowed"),
@@ -43,29 +44,30 @@ def similar_terms(
     )
     if wanted_rows * KEYS_PER_WORD <= cfg.broadcast_rows:
         probes = F.broadcast(probes)
-    terms = _placed(vocabulary).select("kind", "term").distinct()
-    indexed = terms.select("kind", "term", F.explode(vocabulary_keys(F.col("term"))).alias("_key"))
     close = F.abs(F.length("q_term") - F.length("term")) <= F.col("allowed")
     candidates = (
-        indexed.join(probes, ["kind", "_key"]).where(close)
+        keys.join(probes, "_key").where(close)
         .groupBy("kind", "term", "q_term").agg(F.first("allowed").alias("allowed"))
     )
+    # A one-element generator keeps the distance from being computed for the filter again.
+    edits = F.explode(F.array(edits_within_two(F.col("q_term"), F.col("term")))).alias("edits")
     return (
-        candidates.withColumn("edits", edits_within_two(F.col("q_term"), F.col("term")))
+        candidates.select("kind", "q_term", "term", "allowed", edits)
         .where(F.col("edits") <= F.col("allowed"))
         .select("kind", "q_term", "term", "edits")
     )
 
 
 def expand_terms(
-    wanted: DataFrame, vocabulary: DataFrame, cfg: RetrievalConfig, wanted_rows: int
+    wanted: DataFrame, vocabulary: DataFrame, keys: DataFrame, cfg: RetrievalConfig, wanted_rows: int
 ) -> DataFrame:
     """``(kind, field, q_term, term, edits, boost, df)``.
 
     Every query term keeps its ``max_expansions`` closest terms of each field;
-    equally close ones are taken in alphabetical order.
+    equally close ones are taken in alphabetical order. The number is part of the
+    definition of fuzzy matching, not a limit on work.
     """
-    pairs = similar_terms(wanted, vocabulary, cfg, wanted_rows)
+    pairs = similar_terms(wanted, keys, cfg, wanted_rows)
     shorter = F.least(F.length("q_term"), F.length("term"))
     boosted = pairs.join(vocabulary, ["kind", "term"]).withColumn(
         "boost", 1.0 - F.col("edits") / shorter

@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillrank.config import MAX_DEPTH, RetrievalConfig
 from quillrank.functions.text import clean_list, term_frequencies, tokenize, tokenize_list
-from quillrank.operators.fuzzy import expand_terms
+from quillrank.operators.fuzzy import expand_terms, keys_of
 from quillrank.operators.scoring import best_field, scored_parts, term_part
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed
@@ -53,7 +53,8 @@ def analyze(corpus: DataFrame, cfg: RetrievalConfig) -> DataFrame:
 
 
 def postings_of(analyzed: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    return analyzed.select("doc_id", "field", "dl", F.inline("terms")).select(
+    # The outer form infers no filter, which would compute the frequencies again.
+    return analyzed.select("doc_id", "field", "dl", F.inline_outer("terms")).select(
         "doc_id", "field", "term", "tf", "dl", term_part(cfg, F.col("term")).alias("term_part")
     )
 
@@ -83,24 +84,34 @@ class LexicalIndex:
     parts: tuple[DataFrame, ...]
     term_stats: DataFrame
     field_stats: DataFrame
+    keys: DataFrame
 
 
 def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig) -> LexicalIndex:
-    """Analyse the corpus once and store postings and statistics.
+    """Analyse the corpus once and store postings, statistics and fuzzy keys.
 
-    A corpus that is stored in buckets by document is read bucket by bucket and
-    needs no shuffle here; only the counts per term are exchanged.
+    Lengths are added up while the documents pass; only the counts per term are
+    exchanged.
     """
     spark = corpus.sparkSession
     used = corpus.select("doc_id", *cfg.field_weights)
-    postings = postings_of(analyze(used, cfg), cfg)
+    seen, names = Observation(), list(cfg.field_weights)
+    own = [F.col("field") == name for name in names]
+    analyzed = analyze(used, cfg).observe(
+        seen, *[F.count_if(is_own).alias(f"n_{i}") for i, is_own in enumerate(own)],
+        *[F.coalesce(F.sum(F.when(is_own, F.col("dl"))), F.lit(0)).alias(f"dl_{i}") for i, is_own in enumerate(own)],
+    )
+    postings = postings_of(analyzed, cfg)
     stored = store_bucketed(
         postings.write.partitionBy("term_part"), spark, "postings",
         bucket_count(spark, cfg.index_buckets), ["field", "term"],
     )
     term_stats = store(term_stats_of(stored), "term-stats").df
-    field_stats = store(with_average(length_totals(stored)), "field-stats").df
-    return LexicalIndex((stored,), term_stats, field_stats)
+    totals = [(name, seen.get[f"n_{i}"], seen.get[f"dl_{i}"]) for i, name in enumerate(names)]
+    lengths = spark.createDataFrame([t for t in totals if t[1]], "field string, n_docs long, total_dl long")
+    field_stats = store(with_average(lengths), "field-stats").df
+    keys = store(keys_of(term_stats), "fuzzy-keys").df
+    return LexicalIndex((stored,), term_stats, field_stats, keys)
 
 
 def query_terms(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
@@ -149,7 +160,7 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
     )
     distinct = wanted.select("kind", "q_term").distinct()
     if cfg.fuzzy:
-        expanded = expand_terms(distinct, vocabulary, cfg, stored.rows)
+        expanded = expand_terms(distinct, vocabulary, index.keys, cfg, stored.rows)
         # All expansions of a term share the frequency of the most frequent one.
         expansions = Window.partitionBy("field", "q_term")
         expanded = expanded.withColumn("shared_df", F.max("df").over(expansions))

@@ -84,10 +84,12 @@ def apply_changes(index: SearchIndex, documents: DataFrame, cfg: RetrievalConfig
         ["field"], ["n_docs", "total_dl"], [index.lexical.field_stats, new.field_stats], length_totals(old)
     ).where(F.col("n_docs") > 0)), "field-stats").df
 
+    # Keys of terms that are gone are harmless: the vocabulary no longer has them.
+    keys = index.lexical.keys.unionByName(new.keys)
     kept = tuple(part.join(changed, "doc_id", "left_anti") for part in index.lexical.parts)
     corpus = index.corpus.join(changed, "doc_id", "left_anti").unionByName(change.corpus)
     return SearchIndex(
-        corpus, LexicalIndex((*kept, *new.parts), term_stats, field_stats), index.embedder, change.counts
+        corpus, LexicalIndex((*kept, *new.parts), term_stats, field_stats, keys), index.embedder, change.counts
     )
 
 

@@ -13,6 +13,7 @@ from quillrank import schema
 from quillrank.functions.vectors import dot, l2_norm, l2_normalize
 from quillrank.operators.corpus import normalize
 from quillrank.operators.dense import build_cells, knn_approx, knn_exact
+from quillrank.operators.fuzzy import expand_terms
 from quillrank.operators.lexical import bm25_top
 from quillrank.operators.topk import top_k
 
@@ -328,3 +329,13 @@ def test_last_row_of_a_repeated_id_is_indexed(spark, corpus):
     assert sorted(found.corpus.collect()) == sorted(once.corpus.collect())
     stats = lambda index: sorted(index.lexical.term_stats.select("field", "term", "df").collect())
     assert stats(found) == stats(once)
+
+
+def test_a_fuzzy_search_reads_stored_keys_only(spark, index):
+    wanted = spark.createDataFrame([("text", "sofwtare")], "kind string, q_term string")
+    vocabulary = index.lexical.term_stats.where("field != 'genres'").withColumn("kind", F.lit("text"))
+    found = expand_terms(wanted, vocabulary, index.lexical.keys, RetrievalConfig(), 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # One generator for the keys of the query words, one for the distance; none over the vocabulary.
+    assert plan.count("Generate explode") == 2
+    assert {r["term"] for r in found.collect()} == {"software"}

@@ -259,9 +259,10 @@ def fuzzy_expand(spark, sf):
     cfg = b.config()
     wanted = store(
         lexical.query_terms(b.free_queries(spark, sf), cfg).select("kind", "q_term").distinct(), "wanted")
-    stats = b.document_index(spark, sf).lexical.term_stats
+    index = b.document_index(spark, sf).lexical
+    stats = index.term_stats
     kind = F.when(F.col("field") == "genres", lexical.KEYWORD).otherwise(lexical.TEXT)
-    expanded = expand_terms(wanted.df, stats.withColumn("kind", kind), cfg, wanted.rows)
+    expanded = expand_terms(wanted.df, stats.withColumn("kind", kind), index.keys, cfg, wanted.rows)
     return expanded.select("field", "q_term", "term", F.col("edits").cast("int").alias("edits"),
                            _digits("boost"), "df")
 
