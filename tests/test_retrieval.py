@@ -16,6 +16,7 @@ from quillrank.operators.dense import build_cells, knn_approx, knn_exact
 from quillrank.operators.fuzzy import expand_terms
 from quillrank.operators.lexical import bm25_top
 from quillrank.operators.topk import top_k
+from quillrank.plans.stored_index import open_index, save_index
 
 DOCS = [
     ("1", "Clean architecture", "a guide to software architecture", ["Robert Martin"], ["Software"], "Hall"),
@@ -339,3 +340,20 @@ def test_a_fuzzy_search_reads_stored_keys_only(spark, index):
     # One generator for the keys of the query words, one for the distance; none over the vocabulary.
     assert plan.count("Generate explode") == 2
     assert {r["term"] for r in found.collect()} == {"software"}
+
+
+def test_saved_index_opens_in_another_session(spark, index, workdir):
+    cfg = RetrievalConfig(k1=1.1)
+    asked = requests(spark, [("a", "software garden", 3, 0.0), ("b", "brids", 2, 0.0)])
+    want = sorted(hybrid_search(asked, index, cfg).collect())
+    save_index(index, f"{workdir}/books", RetrievalConfig())
+    save_index(index, f"{workdir}/books", cfg)
+    other = spark.newSession()
+    opened, settings = open_index(other, f"{workdir}/books", HashingEmbedder())
+    again = other.createDataFrame(asked.collect(), schema.QUERIES)
+    assert settings == cfg and opened.counts == index.counts
+    assert sorted(hybrid_search(again, opened, settings).collect()) == want
+    with pytest.raises(FileNotFoundError):
+        open_index(spark, f"{workdir}/nothing", HashingEmbedder())
+    with pytest.raises(ValueError):
+        open_index(spark, f"{workdir}/books", HashingEmbedder(2))

@@ -481,6 +481,8 @@ WHERE rank <= lim AND (threshold <= 0 OR score >= threshold)"""
 
 ORACLES["hybrid_search"] = f"WITH {HYBRID} {shown('fused')}"
 
+ORACLES["reopened_search"] = ORACLES["hybrid_search"]
+
 ORACLES["hybrid_search_reranked"] = f"""
 WITH {HYBRID},
 scored AS (

@@ -23,6 +23,7 @@ from quillrank.operators.corpus import assemble, assemble_fanout, embed, latest,
 from quillrank.operators.dense import build_cells, knn_approx, knn_exact
 from quillrank.operators.fuzzy import expand_terms
 from quillrank.plans.evaluation import judge_runs, ranked_runs
+from quillrank.plans.stored_index import open_index, save_index
 from quillrank.schema import RESULT_ITEMS
 from quillrank.sources.tables import in_bounds, scan_corpus, with_query_defaults
 from quillrank.sources.workspace import bucket_count, new_folder, store
@@ -396,6 +397,15 @@ def hybrid_search_documents(spark, sf):
     return hybrid_search(b.requests(spark, sf), b.document_index(spark, sf), b.config())
 
 
+@query
+def reopened_search(spark, sf):
+    """Hybrid search in an index that was saved and is opened by its path alone."""
+    path = new_folder(spark, "saved-index")
+    save_index(b.document_index(spark, sf), path, b.config())
+    index, cfg = open_index(spark, path, HashingEmbedder())
+    return hybrid_search(b.requests(spark, sf), index, cfg)
+
+
 @query
 def hybrid_search_reranked(spark, sf):
     return hybrid_search(b.requests(spark, sf), b.document_index(spark, sf), b.config(), OverlapScorer())
