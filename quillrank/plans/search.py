@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import (
-    DEFAULT_LIMIT, DEFAULT_THRESHOLD, MIN_LIMIT, RESULTS_TTL_SECONDS, RetrievalConfig,
+    DEFAULT_LIMIT, DEFAULT_THRESHOLD, EMBEDDING_TTL_SECONDS, MIN_LIMIT, RESULTS_TTL_SECONDS,
+    RetrievalConfig,
 )
 from quillrank.functions.embedders import QUERY, Scorer
-from quillrank.functions.keys import results_key
+from quillrank.functions.keys import embedding_key, results_key
 from quillrank.operators import memo
 from quillrank.operators.dense import knn_exact
 from quillrank.operators.fuse import cut, rerank_head, rrf_fuse, within_depth
@@ -51,12 +52,18 @@ def _with_attributes(
 
 
 def hybrid_ranking(
-    queries: Stored, index: SearchIndex, cfg: RetrievalConfig, scorer: Scorer | None = None
+    queries: Stored, index: SearchIndex, cfg: RetrievalConfig, scorer: Scorer | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Fused (and reranked) rows of every accepted query before the final cut."""
+    """Fused (and reranked) rows of every accepted query before the final cut.
+
+    ``vectors`` is ``(query_id, vector)`` where the queries are embedded already.
+    """
+    if vectors is None:
+        vectors = embed_queries(queries.df, index)
     lexical = within_depth(bm25_top(queries.df, index.lexical, cfg, cfg.max_depth), queries.df)
     dense = within_depth(
-        knn_exact(embed_queries(queries.df, index), index.vectors, cfg, cfg.max_depth), queries.df
+        knn_exact(vectors, index.vectors, cfg, cfg.max_depth), queries.df
     )
     ranked = rrf_fuse(lexical, dense, cfg.rrf_k)
     if scorer is None:
@@ -77,7 +84,8 @@ def hybrid_ranking(
 
 
 def hybrid_search(
-    requests: DataFrame, index: SearchIndex, cfg: RetrievalConfig, scorer: Scorer | None = None
+    requests: DataFrame, index: SearchIndex, cfg: RetrievalConfig, scorer: Scorer | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, rank, id, title, bookPicture, score)`` for accepted requests.
 
@@ -86,7 +94,7 @@ def hybrid_search(
     """
     accepted, _ = validate(requests, cfg)
     queries = store(accepted, "queries")
-    page = store(cut(hybrid_ranking(queries, index, cfg, scorer), queries.df, cfg.max_limit), "page")
+    page = store(cut(hybrid_ranking(queries, index, cfg, scorer, vectors), queries.df, cfg.max_limit), "page")
     shown = _with_attributes(page.df, index.corpus, ["title", "book_picture"], page.rows, cfg)
     return shown.select(
         "query_id", "rank", F.col("doc_id").alias("id"),
@@ -102,6 +110,7 @@ def memoised_search(
 ) -> DataFrame:
     """Search that answers from the cache where it can and adds what it computed.
 
+    Query texts that were embedded before are not embedded again.
     Returns ``(query_id, items, source)``. Equal requests are computed once; a
     request without results is remembered as such.
     """
@@ -117,7 +126,11 @@ def memoised_search(
     ), "cache-hits").df
     missing = store(memo.misses(keyed, cache, now), "cache-misses").df
     unique = missing.dropDuplicates(["key"]).select(F.col("key").alias("query_id"), "q", "limit", "threshold")
-    rows = hybrid_search(unique, index, cfg, scorer)
+    embedded = store(memo.memo_embeddings(
+        unique.select(F.col("q").alias("text")), cache, index.embedder, now, index.embedder.name
+    ), "query-embeddings").df
+    vectors = unique.join(embedded, unique["q"] == embedded["text"]).select("query_id", "vector")
+    rows = hybrid_search(unique, index, cfg, scorer, vectors)
     item = F.struct("rank", F.struct("id", "title", "bookPicture", "score").alias("item"))
     lists = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("ranked"))
     computed = store(
@@ -125,6 +138,10 @@ def memoised_search(
             F.col("query_id").alias("key"),
             F.coalesce(F.transform("ranked", lambda r: r["item"]), F.array().cast(RESULT_ITEMS)).alias("items"),
         ), "computed-results").df
+    fresh_vectors = embedded.where("source = 'model'")
+    memo.append(memo.entries(
+        fresh_vectors, embedding_key(F.col("text"), index.embedder.name), F.to_json("vector"), now,
+        EMBEDDING_TTL_SECONDS), cache_path)
     memo.append(
         memo.entries(computed, F.col("key"), F.to_json("items"), now, RESULTS_TTL_SECONDS), cache_path
     )

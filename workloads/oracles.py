@@ -483,6 +483,16 @@ ORACLES["hybrid_search"] = f"WITH {HYBRID} {shown('fused')}"
 
 ORACLES["reopened_search"] = ORACLES["hybrid_search"]
 
+ORACLES["memoised_search"] = f"""
+WITH {HYBRID},
+shown AS ({shown('fused')}),
+counts AS (SELECT query_id, count(*) AS n FROM shown GROUP BY query_id)
+SELECT r.query_id, coalesce(n, 0) AS n_items,
+       CASE WHEN EXISTS (SELECT 1 FROM requests o WHERE CAST(o.query_id AS BIGINT) % 2 = 0
+                         AND o.q = r.q AND o.lim = r.lim AND o.threshold = r.threshold)
+            THEN 'cache' ELSE 'search' END AS source
+FROM requests r LEFT JOIN counts USING (query_id)"""
+
 ORACLES["hybrid_search_reranked"] = f"""
 WITH {HYBRID},
 scored AS (

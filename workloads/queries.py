@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank import HashingEmbedder, OverlapScorer, apply_changes, bulk_index, hybrid_search, validate
+from quillrank import (
+    HashingEmbedder, OverlapScorer, apply_changes, bulk_index, hybrid_search, memoised_search, validate,
+)
 from quillrank.config import (
     DEFAULT_LIMIT, DEFAULT_THRESHOLD, EMBEDDING_TTL_SECONDS, EVAL_QUERY_COUNT, MAX_LIMIT, MIN_DEPTH,
     MIN_LIMIT, RERANK_TOP_K, RESULTS_TTL_SECONDS, STYLE_LABELS,
@@ -406,6 +408,20 @@ def reopened_search(spark, sf):
     return hybrid_search(b.requests(spark, sf), index, cfg)
 
 
+@query_named("memoised_search")
+def memoised_search_twice(spark, sf):
+    """All requests after every second one was answered before: what comes from the cache, and how much."""
+    path, now = new_folder(spark, "memo"), _now(spark, sf)
+    index, asked = b.document_index(spark, sf), b.requests(spark, sf)
+    nothing = memo.entries(asked.limit(0), F.col("q"), F.col("q"), now, 1)
+    memo.append(nothing, path)
+    cache = lambda: spark.read.schema(nothing.schema).parquet(path)
+    first = asked.where(F.col("query_id").cast("long") % 2 == 0)
+    memoised_search(first, index, b.config(), cache(), path, now).count()
+    found = memoised_search(asked, index, b.config(), cache(), path, now)
+    return found.select("query_id", "source", F.size("items").cast("long").alias("n_items"))
+
+
 @query
 def hybrid_search_reranked(spark, sf):
     return hybrid_search(b.requests(spark, sf), b.document_index(spark, sf), b.config(), OverlapScorer())
