@@ -148,15 +148,20 @@ class CellIndex:
 
 
 def build_cells(
-    vectors: DataFrame, cells: int, *, training_share: float = 1.0, seed: int = 42
+    vectors: DataFrame, cells: int | None = None, *, centers: list[list[float]] | None = None,
+    training_share: float = 1.0, seed: int = 42,
 ) -> CellIndex:
-    """Group the corpus vectors around ``cells`` centres and store one folder per cell.
+    """Group the corpus vectors around centres and store one folder per cell.
 
-    Only the centres are learned from the training share; every vector of the
-    corpus is stored. A cell that holds much of the corpus is several files, so
+    The centres are given, or ``cells`` of them are learned from the training
+    share; every vector of the corpus is stored. A cell that holds much of the corpus is several files, so
     its size never becomes the size of a task.
     """
     usable = vectors.where(F.col("vector").isNotNull())
+    if centers is not None:
+        home = _nearest_cells(centers, 1)("vector")[0].alias("cell")
+        stored = store(usable.select("doc_id", "vector", home), "cells", partition_by="cell")
+        return CellIndex(stored.df, centers, stored.path)
     features = array_to_vector(F.col("vector").cast("array<double>")).alias("features")
     training = usable if training_share >= 1.0 else usable.sample(training_share, seed)
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(training.select(features))

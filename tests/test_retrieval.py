@@ -205,6 +205,14 @@ def test_cells_find_a_subset_and_all_of_them_everything(spark, cloud):
     assert hits >= 50
 
 
+def test_given_centres_are_kept(spark, cloud):
+    data, vectors, queries = cloud
+    centers = [list(map(float, r["vector"])) for r in vectors.orderBy("doc_id").limit(3).collect()]
+    cells = build_cells(vectors, centers=centers)
+    assert cells.centers == centers and cells.vectors.count() == 400
+    assert as_lists(knn_approx(queries, cells, RetrievalConfig(), probes=3, depth=10)) == brute_neighbours(data, 10)
+
+
 def test_hashing_embedder_is_unit_length(spark):
     df = spark.createDataFrame([("one two two",), ("",)], "t string")
     rows = df.select(HashingEmbedder(16).column(F.col("t")).alias("v")).collect()

@@ -414,6 +414,21 @@ FROM dvec d JOIN qvec q USING (label)"""
 ORACLES["knn_exact"] = ORACLES["knn_all_cells_vectors"] = f"""
 WITH {CENTRES}, {knn(20)} SELECT * FROM knn"""
 
+ORACLES["knn_given_cells"] = f"""
+WITH {CENTRES},
+homes AS (
+  SELECT d.doc_id, d.vec, c.label AS cell FROM dvec d, qvec c
+  QUALIFY row_number() OVER (
+    PARTITION BY d.doc_id ORDER BY list_dot_product(d.vec, c.vec) DESC, c.label) = 1),
+probes AS (
+  SELECT q.query_id, q.vec, c.label AS cell FROM qvec q, qvec c
+  QUALIFY row_number() OVER (
+    PARTITION BY q.query_id ORDER BY list_dot_product(q.vec, c.vec) DESC, c.label) <= 3)
+SELECT query_id, doc_id, round(list_dot_product(p.vec, h.vec), 6) + 0 AS score,
+       row_number() OVER (PARTITION BY query_id
+         ORDER BY round(list_dot_product(p.vec, h.vec), 6) + 0 DESC, doc_id) AS rank
+FROM probes p JOIN homes h USING (cell) QUALIFY rank <= 20"""
+
 ORACLES["knn_exact_documents"] = f"""
 WITH {DOCUMENTS}, {FREE_QUERIES}, {hashed('corpus', 'doc_id', DOC_TEXT, 'dvec')},
 {hashed('queries', 'query_id', 'q', 'qvec')}, {knn(20)} SELECT * FROM knn"""

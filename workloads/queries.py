@@ -339,6 +339,14 @@ def knn_approx_vectors(spark, sf):
     return knn_approx(_centre_queries(spark, sf), cells, b.config(), probes=8, depth=MIN_DEPTH)
 
 
+@query
+def knn_given_cells(spark, sf):
+    """Neighbours from the three nearest of the cells around the label centres."""
+    centres = _centre_queries(spark, sf).orderBy(F.col("query_id").cast("int")).collect()
+    cells = build_cells(b.vectors(spark, sf), centers=[list(r["vector"]) for r in centres])
+    return knn_approx(_centre_queries(spark, sf), cells, b.config(), probes=3, depth=MIN_DEPTH)
+
+
 @query
 def knn_all_cells_vectors(spark, sf):
     cells = build_cells(b.vectors(spark, sf), 16)
