@@ -54,6 +54,8 @@ class RetrievalConfig:
     # Requests with a larger limit are refused; retrieval depth follows from it.
     max_limit: int = MAX_LIMIT
     score_digits: int = 6
+    # Cells that a query looks at in an index with cells; None searches all vectors.
+    probes: int | None = None
     # The bounds below decide between a broadcast and a shuffled plan. They
     # change how a result is computed, never what it is.
     broadcast_rows: int = 2_000_000

@@ -1,9 +1,13 @@
 """Nearest neighbours of query vectors.
 
-The corpus is never shuffled: every task scores its own documents against a
-block of query vectors, keeps the best ``k`` of them, and only those few rows
-are merged. A block has a fixed maximum size; larger query tables take several
+The exact search never shuffles the corpus: every task scores its own documents
+against a block of query vectors, keeps the best ``k`` of them, and only those few
+rows are merged. A block has a fixed maximum size; larger query tables take several
 passes over the vector column.
+
+The approximate search reads only the cells that some query probes. Cells are cut
+into slices of bounded size, and so are the queries of a cell; every slice meets the
+queries that probe its cell in one group and is multiplied with those alone.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import MAX_DEPTH, RetrievalConfig
@@ -24,26 +28,22 @@ from quillrank.schema import RANKED
 from quillrank.sources.workspace import Stored, store
 
 _SCORED = "query_id string, doc_id string, score double"
+#: Products held at once by a task.
+_PRODUCTS = 4_000_000
 
 
-def _score_batches(queries: pa.Table, k: int, digits: int, probing: bool):
+def _score_batches(queries: pa.Table, k: int, digits: int):
     """Task function: best ``k`` documents of the task for every query of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         names = queries.column("query_id").to_numpy()
-        flat = queries.column("vector").combine_chunks()
-        matrix = flat.flatten().to_numpy().astype("float64").reshape(len(names), -1)
-        probed = None
-        if probing:
-            lists = queries.column("cells").to_pylist()
-            probed = np.zeros((len(names), 1 + max(max(c) for c in lists)), dtype=bool)
-            for i, c in enumerate(lists):
-                probed[i, c] = True
-        step = max(1, 4_000_000 // max(1, len(names)))
+        matrix = _matrix(queries)
+        step = max(1, _PRODUCTS // max(1, len(names)))
         best_ids = [np.empty(0, dtype=object) for _ in names]
         best_scores = [np.empty(0) for _ in names]
+        floor = np.full(len(names), -np.inf)
 
         def keep(i, ids, scores):
             if len(scores) > k:
@@ -52,26 +52,17 @@ def _score_batches(queries: pa.Table, k: int, digits: int, probing: bool):
                 ids, scores = ids[near], scores[near]
             order = np.lexsort((ids.astype(str), -scores))[:k]
             best_ids[i], best_scores[i] = ids[order], scores[order]
+            if len(order) == k:
+                floor[i] = best_scores[i][-1]
 
         for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            rows = len(ids)
-            vectors = batch.column("vector").flatten().to_numpy().astype("float64")
-            scores = np.round(matrix @ vectors.reshape(rows, -1).T, digits)
-            if probing:
-                home = batch.column("cell").to_numpy()
-                known = home < probed.shape[1]
-            for i in range(len(names)):
-                row = scores[i]
-                wanted = np.ones(rows, dtype=bool)
-                if probing:
-                    wanted = known & probed[i, np.where(known, home, 0)]
-                if len(best_scores[i]) == k:
-                    wanted &= row >= best_scores[i][-1]
-                new = np.flatnonzero(wanted)
-                if len(new):
-                    keep(i, np.concatenate([best_ids[i], ids[new]]),
-                         np.concatenate([best_scores[i], row[new]]))
+            scores = np.round(matrix @ _matrix(batch).T, digits)
+            wanted = scores >= floor[:, None]
+            for i in np.flatnonzero(wanted.any(axis=1)):
+                new = np.flatnonzero(wanted[i])
+                keep(i, np.concatenate([best_ids[i], ids[new]]),
+                     np.concatenate([best_scores[i], scores[i, new]]))
 
         counts = [len(s) for s in best_scores]
         if sum(counts):
@@ -87,42 +78,29 @@ def _score_batches(queries: pa.Table, k: int, digits: int, probing: bool):
     return run
 
 
-def _query_blocks(queries: Stored, columns: list[str], cfg: RetrievalConfig) -> Iterator[pa.Table]:
+def _matrix(rows: pa.Table | pa.RecordBatch):
+    """The vectors of some rows, one below the other."""
+    column = rows.column("vector")
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(rows.num_rows, -1)
+
+
+def _query_blocks(queries: Stored, cfg: RetrievalConfig) -> Iterator[pa.Table]:
     """The stored query vectors in blocks of about ``query_block_rows`` rows, none of them empty."""
-    wanted = queries.df.select(columns)
     blocks = -(-queries.rows // cfg.query_block_rows)
     if blocks == 1:
-        yield wanted.toArrow()
+        yield queries.df.toArrow()
         return
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     for i in range(blocks):
-        part = wanted.where(block == i).toArrow()
+        part = queries.df.where(block == i).toArrow()
         if part.num_rows:
             yield part
 
 
-def _nearest(
-    queries: Stored, vectors: DataFrame, cfg: RetrievalConfig, depth: int, probing: bool
-) -> DataFrame:
-    extra = ["cells"] if probing else []
-    scan = vectors.where(F.col("vector").isNotNull()).select(
-        "doc_id", "vector", *(["cell"] if probing else [])
-    )
-    several = queries.rows > cfg.query_block_rows
-    passes = []
-    for block in _query_blocks(queries, ["query_id", "vector", *extra], cfg):
-        part = scan
-        if probing:
-            part = scan.where(F.col("cell").isin(sorted({c for row in block.column("cells").to_pylist()
-                                                         for c in row})))
-        scored = part.mapInArrow(_score_batches(block, depth, cfg.score_digits, probing), _SCORED)
-        ranked = top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth).select(
-            "query_id", "rank", "doc_id", "score")
-        # Finish a pass before the next block is fetched: the driver holds one at a time.
-        passes.append(store(ranked, "neighbours").df if several else ranked)
-    if not passes:
-        return vectors.sparkSession.createDataFrame([], RANKED)
-    return reduce(DataFrame.unionByName, passes)
+def _best(scored: DataFrame, depth: int) -> DataFrame:
+    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth).select(
+        "query_id", "rank", "doc_id", "score")
 
 
 def knn_exact(
@@ -135,41 +113,73 @@ def knn_exact(
     whole; a document without a vector is never found.
     """
     stored = store(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"), "query-vectors")
-    return _nearest(stored, vectors, cfg, depth, probing=False)
+    scan = vectors.where(F.col("vector").isNotNull()).select("doc_id", "vector")
+    several = stored.rows > cfg.query_block_rows
+    passes = []
+    for block in _query_blocks(stored, cfg):
+        ranked = _best(scan.mapInArrow(_score_batches(block, depth, cfg.score_digits), _SCORED), depth)
+        # Finish a pass before the next block is fetched: the driver holds one at a time.
+        passes.append(store(ranked, "neighbours").df if several else ranked)
+    if not passes:
+        return vectors.sparkSession.createDataFrame([], RANKED)
+    return reduce(DataFrame.unionByName, passes)
 
 
 @dataclass(frozen=True)
 class CellIndex:
-    """Corpus vectors stored by their nearest centre, and the centres."""
+    """Corpus vectors stored by their nearest centre, and the centres.
+
+    ``vectors`` is ``(doc_id, vector, slice, cell)``; ``slices`` says for every
+    cell into how many slices its documents are cut.
+    """
 
     vectors: DataFrame
     centers: list[list[float]]
-    path: str
+    slices: DataFrame
 
 
 def build_cells(
     vectors: DataFrame, cells: int | None = None, *, centers: list[list[float]] | None = None,
-    training_share: float = 1.0, seed: int = 42,
+    training_share: float = 1.0, seed: int = 42, slice_rows: int = 20_000,
 ) -> CellIndex:
     """Group the corpus vectors around centres and store one folder per cell.
 
     The centres are given, or ``cells`` of them are learned from the training
-    share; every vector of the corpus is stored. A cell that holds much of the corpus is several files, so
-    its size never becomes the size of a task.
+    share; every vector of the corpus is stored, in slices of about ``slice_rows``
+    documents, so the size of a cell never becomes the size of a task.
     """
-    usable = vectors.where(F.col("vector").isNotNull())
-    if centers is not None:
-        home = _nearest_cells(centers, 1)("vector")[0].alias("cell")
-        stored = store(usable.select("doc_id", "vector", home), "cells", partition_by="cell")
-        return CellIndex(stored.df, centers, stored.path)
-    features = array_to_vector(F.col("vector").cast("array<double>")).alias("features")
-    training = usable if training_share >= 1.0 else usable.sample(training_share, seed)
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(training.select(features))
-    assigned = model.transform(usable.select("doc_id", "vector", features)).select(
-        "doc_id", "vector", F.col("prediction").alias("cell")
-    )
-    stored = store(assigned, "cells", partition_by="cell")
-    return CellIndex(stored.df, [c.tolist() for c in model.clusterCenters()], stored.path)
+    spark = vectors.sparkSession
+    usable = vectors.where(F.col("vector").isNotNull()).select("doc_id", "vector")
+    if centers is None:
+        training = usable if training_share >= 1.0 else usable.sample(training_share, seed)
+        features = array_to_vector(F.col("vector").cast("array<double>")).alias("features")
+        model = KMeans(k=cells, seed=seed, maxIter=10).fit(training.select(features))
+        centers = [c.tolist() for c in model.clusterCenters()]
+    homes = usable.withColumn("cell", _nearest_cells(centers, 1)("vector")[0])
+    counted = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+    known = spark.range(len(centers)).select(F.col("id").cast("int").alias("cell"))
+    parts = F.greatest(F.lit(1), F.ceil(F.coalesce("rows", F.lit(0)) / slice_rows)).cast("int")
+    slices = store(known.join(counted, "cell", "left").select("cell", parts.alias("slices")), "cell-slices").df
+    placed = _sliced(homes, slices).repartition("cell", "slice")
+    return CellIndex(store(placed, "cells", partition_by="cell").df, centers, slices)
+
+
+def _sliced(homes: DataFrame, slices: DataFrame) -> DataFrame:
+    """Rows with the slice of their document; there is one row of ``slices`` per centre."""
+    number = F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")
+    return homes.join(F.broadcast(slices), "cell").select("doc_id", "vector", number.alias("slice"), "cell")
+
+
+def change_cells(index: CellIndex, changed: DataFrame, vectors: DataFrame) -> CellIndex:
+    """Cells after an upsert: ``changed`` ids leave their cells, ``vectors`` enter theirs.
+
+    The centres stay; build the cells again when the corpus no longer resembles them.
+    """
+    usable = vectors.where(F.col("vector").isNotNull()).select("doc_id", "vector")
+    homes = usable.withColumn("cell", _nearest_cells(index.centers, 1)("vector")[0])
+    kept = index.vectors.join(changed, "doc_id", "left_anti")
+    entered = store(_sliced(homes, index.slices), "cells", partition_by="cell").df
+    return CellIndex(kept.unionByName(entered), index.centers, index.slices)
 
 
 def _nearest_cells(centers: list[list[float]], probes: int):
@@ -188,6 +198,41 @@ def _nearest_cells(centers: list[list[float]], probes: int):
     return F.arrow_udf(choose, "array<int>")
 
 
+def _score_group(k: int, digits: int):
+    """Group function: best ``k`` documents of a slice for every query that meets it."""
+
+    def run(queries: pa.Table, documents: pa.Table) -> pa.Table:
+        import numpy as np
+
+        ids = np.asarray(documents.column("doc_id").to_pylist(), dtype=str)
+        order = np.argsort(ids, kind="stable")
+        ids, names = ids[order], np.asarray(queries.column("query_id").to_pylist(), dtype=object)
+        owners, found, values = [], [], []
+        if len(ids) and len(names):
+            asked, held = _matrix(queries), _matrix(documents)[order].T
+            step = max(1, _PRODUCTS // len(ids))
+            for at in range(0, len(names), step):
+                scores = np.round(asked[at : at + step] @ held, digits)
+                cut = np.full((len(scores), 1), -np.inf)
+                if len(ids) > k:
+                    cut = np.partition(scores, len(ids) - k, axis=1)[:, [len(ids) - k]]
+                row, column = np.nonzero(scores >= cut)  # ties at the cut included
+                value = scores[row, column]
+                best = np.lexsort((column, -value, row))
+                row, column, value = row[best], column[best], value[best]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                owners.append(names[at + row[place < k]])
+                found.append(ids[column[place < k]])
+                values.append(value[place < k])
+        join = np.concatenate if owners else (lambda _: np.empty(0))
+        return pa.table({
+            "query_id": pa.array(list(join(owners)), pa.string()), "doc_id": pa.array(list(join(found)), pa.string()),
+            "score": pa.array(join(values), pa.float64()),
+        })
+
+    return run
+
+
 def knn_approx(
     queries: DataFrame, index: CellIndex, cfg: RetrievalConfig, *, probes: int,
     depth: int = MAX_DEPTH,
@@ -196,10 +241,30 @@ def knn_approx(
 
     Other cells are not read. Found documents carry their exact score, so only
     completeness is approximate; with ``probes`` equal to the number of cells the
-    result is exact.
+    result is exact. Queries travel to the slices of their cells; the queries of a
+    cell are cut into parts of about ``query_block_rows``.
     """
     wanted = queries.where(F.col("vector").isNotNull())
-    probing = wanted.select(
-        "query_id", "vector", _nearest_cells(index.centers, probes)("vector").alias("cells")
+    cells = F.explode(_nearest_cells(index.centers, probes)("vector")).alias("cell")
+    asked = store(wanted.select("query_id", "vector", cells), "query-cells").df
+    # At most one row per centre.
+    parts = store(asked.groupBy("cell").agg(
+        F.ceil(F.count(F.lit(1)) / cfg.query_block_rows).cast("int").alias("parts")), "cell-parts").df
+    probed = [r["cell"] for r in parts.collect()]
+
+    def upto(column: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+
+    group = ["cell", "slice", "part"]
+    left = (
+        asked.join(F.broadcast(index.slices), "cell").join(F.broadcast(parts), "cell")
+        .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        .select("query_id", "vector", "cell", "part", upto("slices").alias("slice"))
+    )
+    right = (
+        index.vectors.where(F.col("cell").isin(probed)).join(F.broadcast(parts), "cell")
+        .select("doc_id", "vector", "cell", "slice", upto("parts").alias("part"))
     )
-    return _nearest(store(probing, "query-cells"), index.vectors, cfg, depth, probing=True)
+    scored = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
+        _score_group(depth, cfg.score_digits), _SCORED)
+    return _best(scored, depth)

@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import EVAL_CUTOFFS, RetrievalConfig
-from quillrank.operators.dense import knn_exact
 from quillrank.operators.evaluate import metrics_long
 from quillrank.operators.fuse import rrf_fuse
 from quillrank.operators.lexical import bm25_top
 from quillrank.plans.indexing import SearchIndex
-from quillrank.plans.search import embed_queries
+from quillrank.plans.search import embed_queries, nearest_documents
 from quillrank.sources.workspace import store
 
 METHODS = ("BM25", "Dense", "Hybrid-RRF")
@@ -30,7 +29,7 @@ def ranked_runs(
     depth = max(cutoffs)
     queries = qrels.select("query_id", F.col("query").alias("q"))
     lexical = store(bm25_top(queries, index.lexical, cfg, depth), "bm25-run").df
-    dense = store(knn_exact(embed_queries(queries, index), index.vectors, cfg, depth), "dense-run").df
+    dense = store(nearest_documents(embed_queries(queries, index), index, cfg, depth), "dense-run").df
     fused = rrf_fuse(lexical, dense, cfg.rrf_k, depth)
     runs = zip(METHODS, (lexical, dense, fused))
     return reduce(DataFrame.unionByName, [

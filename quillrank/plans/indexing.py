@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
 from quillrank.operators.corpus import embed, spread, store_corpus
+from quillrank.operators.dense import CellIndex, build_cells, change_cells
 from quillrank.operators.lexical import (
     LexicalIndex, build_lexical_index, length_totals, term_stats_of, with_average,
 )
@@ -19,12 +20,16 @@ from quillrank.sources.workspace import bucket_count, store
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Stored corpus with vectors, the lexical index over it, and the write counts."""
+    """Stored corpus with vectors, the lexical index over it, and the write counts.
+
+    ``cells`` are the vectors once more, grouped for approximate search.
+    """
 
     corpus: DataFrame
     lexical: LexicalIndex
     embedder: Embedder
     counts: dict[str, int]
+    cells: CellIndex | None = None
 
     @property
     def vectors(self) -> DataFrame:
@@ -49,6 +54,14 @@ def bulk_index(
     return SearchIndex(corpus, build_lexical_index(corpus, cfg), embedder, counts)
 
 
+def with_cells(index: SearchIndex, cells: int | None = None, **settings) -> SearchIndex:
+    """The index with its vectors grouped into cells; ``settings`` are those of ``build_cells``.
+
+    Searches use them when ``probes`` is set in their configuration.
+    """
+    return replace(index, cells=build_cells(index.vectors, cells, **settings))
+
+
 def _last_written(documents: DataFrame, order: list[str] | None) -> DataFrame:
     """One row per id; rows without an id stay, to be counted as failed.
 
@@ -88,8 +101,9 @@ def apply_changes(index: SearchIndex, documents: DataFrame, cfg: RetrievalConfig
     keys = index.lexical.keys.unionByName(new.keys)
     kept = tuple(part.join(changed, "doc_id", "left_anti") for part in index.lexical.parts)
     corpus = index.corpus.join(changed, "doc_id", "left_anti").unionByName(change.corpus)
+    cells = index.cells and change_cells(index.cells, changed, change.vectors)
     return SearchIndex(
-        corpus, LexicalIndex((*kept, *new.parts), term_stats, field_stats, keys), index.embedder, change.counts
+        corpus, LexicalIndex((*kept, *new.parts), term_stats, field_stats, keys), index.embedder, change.counts, cells
     )
 
 
@@ -102,5 +116,6 @@ def _signed_sum(
 
 
 def rebuild(index: SearchIndex, cfg: RetrievalConfig) -> SearchIndex:
-    """The same index in one part, with the vectors it already has."""
-    return bulk_index(index.corpus, index.embedder, cfg)
+    """The same index in one part, with the vectors and the centres it already has."""
+    whole = bulk_index(index.corpus, index.embedder, cfg)
+    return with_cells(whole, centers=index.cells.centers) if index.cells else whole

@@ -12,7 +12,7 @@ from quillrank.config import (
 from quillrank.functions.embedders import QUERY, Scorer
 from quillrank.functions.keys import embedding_key, results_key
 from quillrank.operators import memo
-from quillrank.operators.dense import knn_exact
+from quillrank.operators.dense import knn_approx, knn_exact
 from quillrank.operators.fuse import cut, rerank_head, rrf_fuse, within_depth
 from quillrank.operators.lexical import bm25_top
 from quillrank.plans.indexing import SearchIndex
@@ -51,6 +51,17 @@ def _with_attributes(
     return ranked.join(found, "doc_id", "left")
 
 
+def nearest_documents(
+    vectors: DataFrame, index: SearchIndex, cfg: RetrievalConfig, depth: int
+) -> DataFrame:
+    """Neighbours of embedded queries, from the probed cells if the settings ask for them."""
+    if cfg.probes is None:
+        return knn_exact(vectors, index.vectors, cfg, depth)
+    if index.cells is None:
+        raise ValueError("the index has no cells; add them by with_cells or leave probes unset")
+    return knn_approx(vectors, index.cells, cfg, probes=cfg.probes, depth=depth)
+
+
 def hybrid_ranking(
     queries: Stored, index: SearchIndex, cfg: RetrievalConfig, scorer: Scorer | None = None,
     vectors: DataFrame | None = None,
@@ -63,7 +74,7 @@ def hybrid_ranking(
         vectors = embed_queries(queries.df, index)
     lexical = within_depth(bm25_top(queries.df, index.lexical, cfg, cfg.max_depth), queries.df)
     dense = within_depth(
-        knn_exact(vectors, index.vectors, cfg, cfg.max_depth), queries.df
+        nearest_documents(vectors, index, cfg, cfg.max_depth), queries.df
     )
     ranked = rrf_fuse(lexical, dense, cfg.rrf_k)
     if scorer is None:
@@ -116,6 +127,8 @@ def memoised_search(
     """
     accepted, _ = validate(requests, cfg)
     namespace = f"{index.embedder.name}|{scorer.name if scorer else 'none'}"
+    if cfg.probes is not None:  # other results than those of the exact search
+        namespace += f"|{cfg.probes}"
     keyed = store(accepted.withColumn(
         "key", results_key(F.col("q"), F.col("limit"), F.col("threshold"), namespace)
     ), "keyed-queries").df

@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
+from quillrank.operators.dense import CellIndex
 from quillrank.operators.lexical import LexicalIndex
 from quillrank.plans.indexing import SearchIndex, rebuild
 from quillrank.sources.workspace import bucket_count
 
-_MANIFEST = "version string, number long, buckets int, embedder string, config string, counts string"
+_MANIFEST = "version string, number long, buckets int, embedder string, config string, counts string, centers string"
 _PLAIN = ("term_stats", "field_stats", "keys")
 
 
@@ -54,7 +55,11 @@ def save_index(index: SearchIndex, path: str, cfg: RetrievalConfig) -> None:
     _bucketed(spark, postings.write.partitionBy("term_part"), f"{version}/postings", buckets, ["field", "term"])
     for name in _PLAIN:
         getattr(index.lexical, name).write.parquet(f"{version}/{name}")
-    row = (version, number, buckets, index.embedder.name, json.dumps(asdict(cfg), sort_keys=True), json.dumps(index.counts))
+    if index.cells:
+        index.cells.vectors.repartition("cell", "slice").write.partitionBy("cell").parquet(f"{version}/cells")
+        index.cells.slices.write.parquet(f"{version}/slices")
+    centers = json.dumps(index.cells.centers if index.cells else None)
+    row = (version, number, buckets, index.embedder.name, json.dumps(asdict(cfg), sort_keys=True), json.dumps(index.counts), centers)
     spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
@@ -99,7 +104,11 @@ def open_index(spark: SparkSession, path: str, embedder: Embedder) -> tuple[Sear
     corpus = _opened(spark, f"{saved['version']}/corpus", saved["buckets"], None)
     postings = _opened(spark, f"{saved['version']}/postings", saved["buckets"], "term_part")
     plain = {name: spark.read.parquet(f"{saved['version']}/{name}") for name in _PLAIN}
+    cells, centers = None, json.loads(saved["centers"] or "null")
+    if centers:
+        vectors = spark.read.parquet(f"{saved['version']}/cells")
+        cells = CellIndex(vectors, centers, spark.read.parquet(f"{saved['version']}/slices"))
     return (
-        SearchIndex(corpus, LexicalIndex((postings,), **plain), embedder, json.loads(saved["counts"])),
+        SearchIndex(corpus, LexicalIndex((postings,), **plain), embedder, json.loads(saved["counts"]), cells),
         RetrievalConfig(**settings),
     )

@@ -1,5 +1,6 @@
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillrank import (
     HashingEmbedder, ModelEmbedder, ModelScorer, RetrievalConfig, apply_changes, bulk_index,
-    hybrid_search, memoised_search, rebuild, validate,
+    hybrid_search, memoised_search, rebuild, validate, with_cells,
 )
 from quillrank import schema
 from quillrank.functions.vectors import dot, l2_norm, l2_normalize
@@ -190,6 +191,33 @@ def test_vectors_that_are_missing_are_never_found(spark, cloud):
     assert found.groupBy("query_id").count().select("count").distinct().collect()[0][0] == 399
 
 
+@pytest.mark.parametrize("slice_rows, block, depth", [(20_000, 4096, 10), (30, 4096, 150), (7, 3, 1000)])
+def test_cells_in_slices_lose_no_neighbour(spark, cloud, slice_rows, block, depth):
+    data, vectors, queries = cloud
+    cells = build_cells(vectors, 4, slice_rows=slice_rows)
+    # The copies are in one cell, which is cut by document and not by vector.
+    most = max(r["slices"] for r in cells.slices.collect())
+    assert most >= 140 // slice_rows
+    cfg = RetrievalConfig(query_block_rows=block)
+    assert as_lists(knn_approx(queries, cells, cfg, probes=4, depth=depth)) == brute_neighbours(data, depth)
+
+
+def test_approximate_search_reads_probed_cells_only(spark, cloud):
+    _, vectors, queries = cloud
+    cells = build_cells(vectors, 6)
+    plan = knn_approx(queries.limit(1), cells, RetrievalConfig(), probes=1)._jdf.queryExecution().toString()
+    read = [line for line in plan.splitlines() if "FileScan parquet" in line and "cells" in line]
+    assert any("PartitionFilters" in line and "cell" in line.split("PartitionFilters")[1] for line in read)
+
+
+def test_no_query_and_no_vector_give_no_neighbour(spark, cloud):
+    _, vectors, queries = cloud
+    cells = build_cells(vectors, 2)
+    assert knn_approx(queries.limit(0), cells, RetrievalConfig(), probes=2).isEmpty()
+    nothing = build_cells(vectors.limit(0), centers=cells.centers)
+    assert knn_approx(queries, nothing, RetrievalConfig(), probes=2).isEmpty()
+
+
 def test_cells_find_a_subset_and_all_of_them_everything(spark, cloud):
     data, vectors, queries = cloud
     cells = build_cells(vectors, 6)
@@ -275,6 +303,25 @@ def test_changed_index_equals_a_new_one(spark, broadcast_rows):
     assert state(rebuild(updated, cfg)) == fresh
 
 
+def test_search_in_cells_follows_changes_and_is_saved(spark, workdir):
+    cfg = RetrievalConfig(keyword_fields=(), field_weights=WEIGHTS, mapping_boosts={}, probes=3)
+    _, first, asked = random_docs(spark, 120, 1)
+    _, second, _ = random_docs(spark, 40, 2)
+    model = HashingEmbedder()
+    whole = first.join(second, "doc_id", "left_anti").unionByName(second)
+    asked = requests(spark, [(q, text, 5, 0.0) for q, text in asked.items()])
+    # All cells are probed, so the result is the exact one.
+    want = sorted(hybrid_search(asked, bulk_index(whole, model, cfg), replace(cfg, probes=None)).collect())
+    changed = apply_changes(with_cells(bulk_index(first, model, cfg), 3), second, cfg)
+    assert sorted(hybrid_search(asked, changed, cfg).collect()) == want
+    save_index(changed, f"{workdir}/cells", cfg)
+    opened, settings = open_index(spark, f"{workdir}/cells", model)
+    assert settings == cfg
+    assert sorted(hybrid_search(asked, opened, settings).collect()) == want
+    with pytest.raises(ValueError):
+        hybrid_search(asked, replace(opened, cells=None), cfg)
+
+
 def requests(spark, rows):
     return spark.createDataFrame(rows, schema.QUERIES)
 

@@ -414,8 +414,7 @@ FROM dvec d JOIN qvec q USING (label)"""
 ORACLES["knn_exact"] = ORACLES["knn_all_cells_vectors"] = f"""
 WITH {CENTRES}, {knn(20)} SELECT * FROM knn"""
 
-ORACLES["knn_given_cells"] = f"""
-WITH {CENTRES},
+GIVEN_CELLS = """
 homes AS (
   SELECT d.doc_id, d.vec, c.label AS cell FROM dvec d, qvec c
   QUALIFY row_number() OVER (
@@ -423,11 +422,19 @@ homes AS (
 probes AS (
   SELECT q.query_id, q.vec, c.label AS cell FROM qvec q, qvec c
   QUALIFY row_number() OVER (
-    PARTITION BY q.query_id ORDER BY list_dot_product(q.vec, c.vec) DESC, c.label) <= 3)
-SELECT query_id, doc_id, round(list_dot_product(p.vec, h.vec), 6) + 0 AS score,
-       row_number() OVER (PARTITION BY query_id
-         ORDER BY round(list_dot_product(p.vec, h.vec), 6) + 0 DESC, doc_id) AS rank
-FROM probes p JOIN homes h USING (cell) QUALIFY rank <= 20"""
+    PARTITION BY q.query_id ORDER BY list_dot_product(q.vec, c.vec) DESC, c.label) <= 3),
+near AS (
+  SELECT query_id, doc_id, round(list_dot_product(p.vec, h.vec), 6) + 0 AS score,
+         row_number() OVER (PARTITION BY query_id
+           ORDER BY round(list_dot_product(p.vec, h.vec), 6) + 0 DESC, doc_id) AS rank
+  FROM probes p JOIN homes h USING (cell) QUALIFY rank <= 20)"""
+
+ORACLES["knn_given_cells"] = f"WITH {CENTRES}, {GIVEN_CELLS} SELECT * FROM near"
+
+ORACLES["knn_cells_recall"] = f"""
+WITH {CENTRES}, {knn(20)}, {GIVEN_CELLS}
+SELECT query_id, round(count(near.doc_id) / CAST(count(*) AS DOUBLE), 6) AS recall
+FROM knn LEFT JOIN near USING (query_id, doc_id) GROUP BY query_id"""
 
 ORACLES["knn_exact_documents"] = f"""
 WITH {DOCUMENTS}, {FREE_QUERIES}, {hashed('corpus', 'doc_id', DOC_TEXT, 'dvec')},
@@ -496,7 +503,7 @@ WHERE rank <= lim AND (threshold <= 0 OR score >= threshold)"""
 
 ORACLES["hybrid_search"] = f"WITH {HYBRID} {shown('fused')}"
 
-ORACLES["reopened_search"] = ORACLES["hybrid_search"]
+ORACLES["reopened_search"] = ORACLES["hybrid_search_cells"] = ORACLES["hybrid_search"]
 
 ORACLES["memoised_search"] = f"""
 WITH {HYBRID},

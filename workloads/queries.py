@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank import (
     HashingEmbedder, OverlapScorer, apply_changes, bulk_index, hybrid_search, memoised_search, validate,
+    with_cells,
 )
 from quillrank.config import (
     DEFAULT_LIMIT, DEFAULT_THRESHOLD, EMBEDDING_TTL_SECONDS, EVAL_QUERY_COUNT, MAX_LIMIT, MIN_DEPTH,
@@ -347,6 +349,15 @@ def knn_given_cells(spark, sf):
     return knn_approx(_centre_queries(spark, sf), cells, b.config(), probes=3, depth=MIN_DEPTH)
 
 
+@query
+def knn_cells_recall(spark, sf):
+    """Part of the exact neighbours of every query that three given cells find."""
+    exact, found = knn_exact_vectors(spark, sf), knn_given_cells(spark, sf)
+    hits = exact.join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return hits.groupBy("query_id").agg(
+        F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
+
+
 @query
 def knn_all_cells_vectors(spark, sf):
     cells = build_cells(b.vectors(spark, sf), 16)
@@ -407,6 +418,13 @@ def hybrid_search_documents(spark, sf):
     return hybrid_search(b.requests(spark, sf), b.document_index(spark, sf), b.config())
 
 
+@query
+def hybrid_search_cells(spark, sf):
+    """Hybrid search through the approximate neighbours, with all cells probed."""
+    index = with_cells(b.document_index(spark, sf), 8, slice_rows=500)
+    return hybrid_search(b.requests(spark, sf), index, replace(b.config(), probes=8))
+
+
 @query
 def reopened_search(spark, sf):
     """Hybrid search in an index that was saved and is opened by its path alone."""
