@@ -140,7 +140,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, cfg: ToxicityConfig =
 
     rows = (
         text_rows(documents).mapInArrow(extract, "doc_id long, toxic int, features binary")
-        .dropDuplicates(["doc_id", "features"]).coalesce(1).mapInArrow(learn, "at long, weight double").collect()
+        .groupBy("doc_id").agg(F.min(F.struct("features", "toxic")).alias("row"))
+        .select("doc_id", "row.toxic", "row.features").coalesce(1).mapInArrow(learn, "at long, weight double").collect()
     )
     found = {r["at"]: r["weight"] for r in rows}
     if not found:

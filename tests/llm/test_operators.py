@@ -130,6 +130,18 @@ def test_toxicity_learns_and_ignores_the_held_out_fold(spark):
     assert np.mean([found[i]["predicted"] == (i % 6 == 0) for i in held]) > 0.97
 
 
+def test_learning_takes_one_text_per_id(spark):
+    texts = [(i, f"{'bad vile' if i % 2 else 'kind calm'} words number{i} " * 20) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in texts], "doc_id long, quality int, toxic int")
+    bias, numbers, weights = toxicity.fit_toxicity(docs, labels)
+    again = toxicity.fit_toxicity(docs.union(docs).union(docs), labels)
+    assert again[0] == bias and (again[1] == numbers).all() and (again[2] == weights).all()
+    # Other texts under a labelled id add to the raw counts, and no second score to the threshold.
+    more = docs.union(docs.where("doc_id = 0"))
+    assert quality.fit_quality(more, labels) is not None
+
+
 def test_toxicity_ftrl_step_by_step():
     cfg = toxicity.ToxicityConfig(bits=3, epochs=1, alpha=0.5, l1=0.1, l2=0.2)
     sets, marks = [np.array([1, 4]), np.array([1]), np.array([4, 5])], np.array([1.0, 0.0, 1.0])
