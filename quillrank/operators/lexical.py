@@ -1,8 +1,8 @@
 """BM25 over several weighted fields.
 
-The index is a flat table of postings ``(term_part, doc_id, field, term, tf, dl)``.
-Stored, it is partitioned by a hash of the term, so a query reads only the
-folders of its own terms, and bucketed by document, so that all postings of one
+The index is a flat table of postings ``(term_part, doc_id, field, term, tf, dl, slot)``.
+Stored, it is partitioned by a hash of the term and sorted by a finer one, the slot,
+so a query reads only pages of its own terms' slots, and bucketed by document, so that all postings of one
 document meet in one task: scores are summed and cut to the best documents of
 every task without shuffling postings, and a word that occurs in every document
 is spread over all tasks.
@@ -20,10 +20,12 @@ from quillrank.functions.text import clean_list, term_frequencies, tokenize, tok
 from quillrank.operators.fuzzy import expand_terms, keys_of
 from quillrank.operators.scoring import best_field, scored_parts, term_part
 from quillrank.operators.topk import top_k
+from quillrank.sources.slots import slot_of
 from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed
 
 TEXT = "text"
 KEYWORD = "keyword"
+POSTINGS_ORDER = ["slot", "field", "term"]
 
 
 def _field_tokens(corpus: DataFrame, name: str, cfg: RetrievalConfig) -> Column:
@@ -55,7 +57,8 @@ def analyze(corpus: DataFrame, cfg: RetrievalConfig) -> DataFrame:
 def postings_of(analyzed: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     # The outer form infers no filter, which would compute the frequencies again.
     return analyzed.select("doc_id", "field", "dl", F.inline_outer("terms")).select(
-        "doc_id", "field", "term", "tf", "dl", term_part(cfg, F.col("term")).alias("term_part")
+        "doc_id", "field", "term", "tf", "dl", slot_of(F.col("term")).alias("slot"),
+        term_part(cfg, F.col("term")).alias("term_part"),
     )
 
 
@@ -104,7 +107,7 @@ def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig) -> LexicalIndex
     postings = postings_of(analyzed, cfg)
     stored = store_bucketed(
         postings.write.partitionBy("term_part"), spark, "postings",
-        bucket_count(spark, cfg.index_buckets), ["field", "term"],
+        bucket_count(spark, cfg.index_buckets), POSTINGS_ORDER,
     )
     term_stats = store(term_stats_of(stored), "term-stats").df
     totals = [(name, seen.get[f"n_{i}"], seen.get[f"dl_{i}"]) for i, name in enumerate(names)]

@@ -13,25 +13,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
+from quillrank.sources.slots import in_slots, slot_of
 from quillrank.sources.workspace import Stored
 
 
 def term_part(cfg: RetrievalConfig, term: Column) -> Column:
     """Folder of the index that holds a term."""
-    return F.pmod(F.xxhash64(term), F.lit(cfg.term_partitions)).cast("int")
+    return F.pmod(slot_of(term), F.lit(cfg.term_partitions)).cast("int")
 
 
-def folders_of(postings: DataFrame, weights: DataFrame) -> DataFrame:
-    """The part of the index that holds the weighted terms; other folders are not read."""
-    # At most one number per folder.
-    parts = [row[0] for row in weights.select("term_part").distinct().toLocalIterator()]
-    return postings.where(F.col("term_part").isin(parts))
+def postings_of_terms(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """The part of the index that can hold the weighted terms.
+
+    Other folders are not read. Files are sorted by the slot of the term, so the
+    scan also skips row groups and pages that hold other slots only.
+    """
+    # At most one row per slot.
+    rows = weights.select("term_part", slot_of(F.col("term")).alias("slot")).distinct().collect()
+    return postings.where(
+        F.col("term_part").isin(sorted({r["term_part"] for r in rows}))
+        & in_slots("slot", [r["slot"] for r in rows])
+    )
 
 
 def matches(postings: DataFrame, weights: Stored, cfg: RetrievalConfig) -> DataFrame:
     """Postings of the weighted terms, once per query that has the term."""
     keys = ["field", "term"]
-    read = folders_of(postings, weights.df)
+    read = postings_of_terms(postings, weights.df).drop("slot")
     weighted = weights.df.drop("term_part", "df")
     if weights.rows <= cfg.broadcast_rows:
         return read.join(F.broadcast(weighted), keys)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
 from quillrank.operators.dense import CellIndex
-from quillrank.operators.lexical import LexicalIndex
+from quillrank.operators.lexical import POSTINGS_ORDER, LexicalIndex
 from quillrank.plans.indexing import SearchIndex, rebuild
 from quillrank.sources.workspace import bucket_count
 
@@ -52,7 +52,7 @@ def save_index(index: SearchIndex, path: str, cfg: RetrievalConfig) -> None:
     version = f"{path}/version-{number}-{uuid.uuid4().hex}"
     _bucketed(spark, index.corpus.write, f"{version}/corpus", buckets, ["doc_id"])
     (postings,) = index.lexical.parts
-    _bucketed(spark, postings.write.partitionBy("term_part"), f"{version}/postings", buckets, ["field", "term"])
+    _bucketed(spark, postings.write.partitionBy("term_part"), f"{version}/postings", buckets, POSTINGS_ORDER)
     for name in _PLAIN:
         getattr(index.lexical, name).write.parquet(f"{version}/{name}")
     if index.cells:

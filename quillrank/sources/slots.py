@@ -1,0 +1,40 @@
+"""Slots: small numbers by which stored files are sorted, so that scans can skip.
+
+A slot is a hash of a key. There are few enough slots to list the wanted ones, and
+a list of slots becomes a few ranges, which the file reader compares with the
+smallest and largest slot of every row group and page.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+SLOTS = 4_096
+#: Ranges of a condition; closer slots share one.
+RANGES = 64
+
+
+def slot_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+
+
+def slot_ranges(slots: Iterable[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that contain all slots; only the widest gaps stay open."""
+    wanted = sorted(set(slots))
+    if not wanted:
+        return []
+    gaps = [i for i in range(1, len(wanted)) if wanted[i] - wanted[i - 1] > 1]
+    widest = sorted(gaps, key=lambda i: wanted[i - 1] - wanted[i])[: most - 1]
+    cuts = [0, *sorted(widest), len(wanted)]
+    return [(wanted[a], wanted[b - 1]) for a, b in zip(cuts, cuts[1:])]
+
+
+def in_slots(column: str, slots: Iterable[int]) -> Column:
+    """Condition that is true for all rows of the slots, and for few others."""
+    condition = F.lit(False)
+    for low, high in slot_ranges(slots):
+        condition = condition | F.col(column).between(low, high)
+    return condition

@@ -4,6 +4,8 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillrank import (
@@ -15,9 +17,11 @@ from quillrank.functions.vectors import dot, l2_norm, l2_normalize
 from quillrank.operators.corpus import normalize
 from quillrank.operators.dense import build_cells, knn_approx, knn_exact
 from quillrank.operators.fuzzy import expand_terms
-from quillrank.operators.lexical import bm25_top
+from quillrank.operators.lexical import bm25_scores, bm25_top, query_weights
 from quillrank.operators.topk import top_k
 from quillrank.plans.stored_index import open_index, save_index
+from quillrank.sources.slots import slot_of, slot_ranges
+from quillrank.sources.workspace import store
 
 DOCS = [
     ("1", "Clean architecture", "a guide to software architecture", ["Robert Martin"], ["Software"], "Hall"),
@@ -137,6 +141,25 @@ def test_scoring_plan_has_one_shuffle(spark, index):
     assert "WindowGroupLimit" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_a_short_query_skips_the_slots_of_other_terms(spark, index):
+    weights = store(query_weights(queries_of(spark, a="garden"), index.lexical, RetrievalConfig(fuzzy=False)), "weights")
+    plan = bm25_scores(weights, index.lexical, RetrievalConfig(fuzzy=False))._jdf.queryExecution().toString()
+    (scan,) = [line for line in plan.splitlines() if "FileScan parquet" in line and "postings" in line][-1:]
+    slot = weights.df.select(slot_of(F.col("term"))).distinct().collect()[0][0]
+    pushed = scan.split("PushedFilters")[1]
+    assert f"GreaterThanOrEqual(slot,{slot})" in pushed and f"LessThanOrEqual(slot,{slot})" in pushed
+
+
+@given(st.sets(st.integers(0, 4095), max_size=200), st.integers(1, 70))
+def test_slot_ranges_hold_all_slots(slots, most):
+    ranges = slot_ranges(slots, most)
+    assert len(ranges) <= most and all(a <= b for a, b in ranges)
+    assert all(any(a <= s <= b for a, b in ranges) for s in slots)
+    assert all(ranges[i][1] + 1 < ranges[i + 1][0] for i in range(len(ranges) - 1))
+    if len(slots) <= most:
+        assert sum(b - a + 1 for a, b in ranges) == len(slots)
+
+
 def test_top_k_is_the_same_for_any_merge_width(spark):
     df = spark.range(2000, numPartitions=7).select(
         (F.col("id") % 3).alias("g"), (F.hash("id") % 50).alias("s"), "id")
