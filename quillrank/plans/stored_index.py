@@ -11,15 +11,14 @@ import json
 import uuid
 from dataclasses import asdict
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession
 
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
 from quillrank.operators.dense import CellIndex
 from quillrank.operators.lexical import POSTINGS_ORDER, LexicalIndex
 from quillrank.plans.indexing import SearchIndex, rebuild
-from quillrank.sources.workspace import bucket_count
+from quillrank.sources.workspace import bucket_count, newest_row
 
 _MANIFEST = "version string, number long, buckets int, embedder string, config string, counts string, centers string"
 _PLAIN = ("term_stats", "field_stats", "keys")
@@ -63,15 +62,9 @@ def save_index(index: SearchIndex, path: str, cfg: RetrievalConfig) -> None:
     spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
-def _manifest(spark: SparkSession, path: str):
+def _manifest(spark: SparkSession, path: str) -> Row | None:
     """The row of the newest version, or None where nothing was saved."""
-    try:
-        versions = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return versions.orderBy("number", ascending=False).first()
+    return newest_row(spark, f"{path}/manifest", _MANIFEST, "number")
 
 
 def _opened(spark: SparkSession, path: str, buckets: int, partition: str | None) -> DataFrame:

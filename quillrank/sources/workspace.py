@@ -11,7 +11,8 @@ import uuid
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
@@ -82,6 +83,17 @@ def bucket_count(spark: SparkSession, wanted: int | None = None) -> int:
     return wanted or parts
 
 
+def newest_row(spark: SparkSession, path: str, schema: str, by: str) -> Row | None:
+    """The row with the largest ``by`` of a small table, or None where nothing was written yet."""
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.orderBy(by, ascending=False).first()
+
+
 def store_bucketed(writer: DataFrameWriter, spark: SparkSession, label: str, buckets: int,
                    sort_by: list[str]) -> DataFrame:
     """Write a table whose rows are grouped by document into ``buckets`` buckets.

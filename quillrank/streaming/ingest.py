@@ -2,18 +2,22 @@
 
 Every micro-batch owns one folder of the log and overwrites it when it is
 replayed, so a repeated batch changes nothing. The corpus is the newest version
-of every document in the log.
+of every document in the log. ``compact`` writes these versions out, so that later
+readers start from them and read only the batches that came after.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillrank import schema
 from quillrank.functions.embedders import Embedder
 from quillrank.operators.corpus import embed, latest
+from quillrank.sources.workspace import newest_row
 from quillrank.streaming.events import accepted, decode, rejected, routed
 
 LOG_SCHEMA = (
@@ -21,6 +25,8 @@ LOG_SCHEMA = (
     "authors array<string>, genres array<string>, publisher string, book_picture string, "
     "vector array<float>, batch_id bigint"
 )
+VERSION_SCHEMA = LOG_SCHEMA.removesuffix(", batch_id bigint")
+_COMPACTED = "through bigint, folder string"
 REJECTED_SCHEMA = "event_id bigint, ts timestamp, reason string, body string, batch_id bigint"
 
 
@@ -62,23 +68,59 @@ def read_rejected(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REJECTED_SCHEMA).parquet(f"{path}/rejected")
 
 
+def compact(spark: SparkSession, path: str, through: int) -> None:
+    """Write the newest version of every document in the batches up to ``through``.
+
+    These batches must be complete: ``lastProgress`` of a running query names the
+    last one. The versions keep their time, so an event that arrives later than a
+    newer one changes nothing. A snapshot counts once it is named in the table of
+    snapshots, which happens last; readers of an older one are not disturbed. The
+    log stays, for ``changes`` and patched snapshots.
+    """
+    base = _newest_snapshot(spark, path)
+    if base is not None and base["through"] >= through:
+        return
+    folder = f"{path}/snapshots/through-{through}-{uuid.uuid4().hex}"
+    kept = _versions(spark, path).where(F.col("batch_id") <= through).drop("batch_id")
+    latest(kept, "doc_id", ["ts", "event_id"]).write.parquet(folder)
+    row = spark.createDataFrame([(through, folder)], _COMPACTED)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/snapshots/known")
+
+
+def _newest_snapshot(spark: SparkSession, path: str) -> Row | None:
+    return newest_row(spark, f"{path}/snapshots/known", _COMPACTED, "through")
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """All versions that can still be the newest: the last snapshot and the batches after it."""
+    log = read_log(spark, path)
+    base = _newest_snapshot(spark, path)
+    if base is None:
+        return log
+    known = spark.read.schema(VERSION_SCHEMA).parquet(base["folder"])
+    return log.where(F.col("batch_id") > base["through"]).unionByName(
+        known.withColumn("batch_id", F.lit(base["through"])))
+
+
 def snapshot(spark: SparkSession, path: str, mode: str = "replace") -> DataFrame:
-    """The corpus as of the last completed micro-batch."""
+    """The corpus of all micro-batches in the log.
+
+    Patched documents need their whole history, so that mode reads the whole log.
+    """
     columns = [f.name for f in schema.CORPUS]
-    versions = read_log(spark, path).select(*columns, "ts", "event_id")
-    return latest(versions, "doc_id", ["ts", "event_id"], mode).select(columns)
+    versions = _versions(spark, path) if mode == "replace" else read_log(spark, path)
+    return latest(versions.select(*columns, "ts", "event_id"), "doc_id", ["ts", "event_id"], mode).select(columns)
 
 
 def changes(spark: SparkSession, path: str, after_batch: int) -> DataFrame:
     """Current versions of the documents that batches after ``after_batch`` touched.
 
     Feed them to ``apply_changes`` to make new events searchable. The version is
-    taken from the whole log, so an event that arrived late changes nothing.
+    taken from all batches, so an event that arrived late changes nothing.
     """
     columns = [f.name for f in schema.CORPUS]
-    log = read_log(spark, path)
-    touched = log.where(F.col("batch_id") > after_batch).select("doc_id").distinct()
-    versions = log.join(touched, "doc_id", "left_semi").select(*columns, "ts", "event_id")
+    touched = read_log(spark, path).where(F.col("batch_id") > after_batch).select("doc_id").distinct()
+    versions = _versions(spark, path).join(touched, "doc_id", "left_semi").select(*columns, "ts", "event_id")
     return latest(versions, "doc_id", ["ts", "event_id"]).select(columns)
 
 

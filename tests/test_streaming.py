@@ -68,6 +68,33 @@ def test_ingest_survives_restarts_and_late_events(spark, workdir):
     assert ingest.read_log(spark, target).count() == 5
 
 
+def test_compaction_changes_no_snapshot(spark, workdir):
+    source, target = f"{workdir}/in", f"{workdir}/out"
+
+    def rows(df):
+        return sorted(df.drop("vector").collect(), key=lambda r: r["doc_id"])
+
+    drop_file(source, "1", FIRST)
+    consume(spark, source, target)
+    before = rows(ingest.snapshot(spark, target))
+    ingest.compact(spark, target, 0)
+    assert rows(ingest.snapshot(spark, target)) == before
+    # A late event loses against the compacted version, a new one wins.
+    drop_file(source, "2", LATE)
+    after = consume(spark, source, target)
+    assert {d: r["title"] for d, r in after.items()} == {"a": "A3", "b": "B2", "12": "numeric id"}
+    plain = rows(ingest.snapshot(spark, target))
+    touched = rows(ingest.changes(spark, target, 0))
+    ingest.compact(spark, target, 1)
+    assert rows(ingest.snapshot(spark, target)) == plain
+    assert rows(ingest.changes(spark, target, 0)) == touched
+    # Compacting an earlier batch again does not go back.
+    ingest.compact(spark, target, 0)
+    assert rows(ingest.snapshot(spark, target)) == plain
+    # Three documents of the snapshot are read, and none of the five rows of the log.
+    assert ingest._versions(spark, target).count() == 3 and ingest.read_log(spark, target).count() == 5
+
+
 def test_replayed_batch_changes_nothing(spark, workdir):
     rows = spark.createDataFrame(
         [(m["event_id"], m["ts"], m["routing_key"], m["body"]) for m in FIRST],
