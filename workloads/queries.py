@@ -649,16 +649,32 @@ def rejected_events(spark, sf):
     return ev.rejected(decoded).select("event_id", "reason", "body")
 
 
-@query
-def stream_upsert(spark, sf):
+def _ingested(spark, sf) -> str:
     path = new_folder(spark, "ingest")
     stream = b.envelopes(b.event_stream(spark, sf))
     ingest.start_ingest(
         stream, HashingEmbedder(), path, routing_key=b.ROUTING_KEY, once=True).awaitTermination()
+    return path
+
+
+def _snapshot(spark, path) -> DataFrame:
     return ingest.snapshot(spark, path).select(
         "doc_id", "title", "synopsis", _joined("authors"), "publisher", "book_picture", _checksum())
 
 
+@query
+def stream_upsert(spark, sf):
+    return _snapshot(spark, _ingested(spark, sf))
+
+
+@query
+def stream_compacted(spark, sf):
+    """The same corpus, read from a snapshot of the log."""
+    path = _ingested(spark, sf)
+    ingest.compact(spark, path, 0)
+    return _snapshot(spark, path)
+
+
 @query
 def stream_latest_by_key(spark, sf):
     path = new_folder(spark, "latest")
