@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillrank.llm.encoding import encode_documents
 from quillrank.llm.language import fit_language, keep_identified
 from quillrank.llm.mixing import take
-from quillrank.llm.simhash import one_of_each
+from quillrank.llm.nearcopies import one_of_near
 from quillrank.llm.suffixes import without_repeats
 from quillrank.llm.tables import new_folder
 
@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-equal fingerprints: the one with the smallest id."""
-    return one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8): the one with the smallest id."""
+    return one_of_near(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

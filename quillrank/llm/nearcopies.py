@@ -1,0 +1,336 @@
+"""Near copies by exact Jaccard similarity of word shingles, proposed by trie joins.
+
+A text is the set of its shingles. A sketch of one set has ``prints`` independent
+SimHash fingerprints of ``bits`` bits. Candidates are pairs that differ by at most
+``budget`` bits in one of them, found by the trie join of ``simhash`` within equal
+fields of bits; a pair at the similarity asked for has many chances. Only
+candidates whose whole sketches are not far apart are compared, and a link is a
+candidate whose sets have the Jaccard similarity ``least`` or more.
+
+Large groups are linked in two passes. The first compares every set with the
+smallest and the largest one it is joined with. The second compares all candidates
+that the links of the first have left in different components, so nothing is
+skipped but pairs that are in one component anyway.
+
+The links of ``simhash`` (three-word fingerprints within two bits) are kept as well:
+they also hold texts that repeat themselves, whose sets differ more than the texts.
+
+Defined results: words, letters and row keys are those of ``simhash``. Texts of fewer
+words than a shingle are one shingle; texts without a word are copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillrank.llm import simhash
+from quillrank.llm.blocks import Block, blocks, mix
+from quillrank.llm.simhash import SimHashConfig, components, first_rows, forest, shingles, trie_join
+from quillrank.llm.tables import row_key, written
+
+_LANES = np.array([sum((i >> b & 1) << 8 * b for b in range(8)) for i in range(256)], np.uint64)
+
+
+@dataclass(frozen=True)
+class NearCopyConfig:
+    """``far``: part of the sketch bits from which a candidate is not compared any more.
+
+    At similarity 0.8 about 0.15 of the bits differ (standard deviation 0.01), at 0 half.
+    """
+
+    shingle: int = 5
+    least: float = 0.8
+    prints: int = 73
+    bits: int = 28
+    budget: int = 1
+    far: float = 0.3
+    task_rows: int = 100_000
+    equal: SimHashConfig = SimHashConfig()
+
+    @property
+    def words(self) -> int:
+        return -(-self.prints * self.bits // 64)
+
+
+def _sets(block: Block, cfg: NearCopyConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of every text, ascending, and where each text's begin."""
+    joined, starts, ends, count = shingles(block, cfg.shingle)
+    hashes = Block(0, np.array([0, len(joined)]), joined).hashes(starts, ends)
+    owner = np.repeat(np.arange(block.n), count)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(block.n + 1))
+
+
+def _sketches(hashes: np.ndarray, edge: np.ndarray, cfg: NearCopyConfig) -> np.ndarray:
+    """One row of bytes for each set: the bits that more than half of its hashes have."""
+    out = np.zeros((len(edge) - 1, cfg.words, 8, 8), np.uint8)
+    filled = np.flatnonzero(np.diff(edge))
+    if not len(filled):
+        return np.packbits(out.reshape(len(out), -1), axis=1)
+    n = np.diff(edge)[filled]
+    # Eight counters share a word; 255 hashes at most until they are taken apart.
+    pieces = -(-n // 255)
+    head = np.cumsum(pieces) - pieces
+    begin = np.repeat(edge[:-1][filled], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(head, pieces))
+    for k in range(cfg.words):
+        turned = mix(hashes + mix(np.array([k + 1], np.uint64)))
+        lanes = np.add.reduceat(_LANES[turned.view(np.uint8).reshape(-1, 8)], begin, axis=0)
+        ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8, 8).astype(np.int64), head, axis=0)
+        out[filled, k] = 2 * ones > n[:, None, None]
+    return np.packbits(out.reshape(len(out), -1), axis=1)
+
+
+def sketches(documents: DataFrame, cfg: NearCopyConfig = NearCopyConfig()) -> DataFrame:
+    """``doc_id, _id, _tx, node, fp, sketch`` for every row; ``node`` stands for the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                hashes, edge = _sets(block, cfg)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes))])
+                node = mix(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(np.uint64))
+                rows = batch.slice(block.first, block.n)
+                yield pa.RecordBatch.from_pydict({
+                    **{c: rows.column(c) for c in ("doc_id", "_id", "_tx")}, "node": node.view(np.int64),
+                    "fp": simhash.fingerprint_block(block, cfg.equal).view(np.int64),
+                    "sketch": pa.array([s.tobytes() for s in _sketches(hashes, edge, cfg)], pa.binary()),
+                })
+
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_key()
+    )
+    return rows.mapInArrow(run, "doc_id long, _id long, _tx long, node long, fp long, sketch binary")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint8).reshape(len(column), width)
+
+
+def _placed(nodes: DataFrame, cfg: NearCopyConfig) -> DataFrame:
+    """``key, value, node``: every fingerprint below each of its fields; ``value`` are its other bits."""
+    cuts = [round(i * cfg.bits / (cfg.budget + 1)) for i in range(cfg.budget + 2)]
+    wide = max(b - a for a, b in zip(cuts, cuts[1:]))
+    weight = (1 << np.arange(cfg.bits)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                node = part.column("node").to_numpy()
+                every = np.unpackbits(_matrix(part.column("sketch"), cfg.words * 8), axis=1)
+                every = every[:, : cfg.prints * cfg.bits].reshape(len(node), cfg.prints, cfg.bits)
+                for f, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    root = every[:, :, a:b] @ weight[: b - a]
+                    rest = np.concatenate([every[:, :, :a], every[:, :, b:]], axis=2) @ weight[: cfg.bits - b + a]
+                    key = (np.arange(cfg.prints) * (cfg.budget + 1) + f << wide) + root
+                    yield pa.RecordBatch.from_pydict({
+                        "key": key.ravel().astype(np.int64), "value": rest.ravel().astype(np.int64),
+                        "node": np.repeat(node, cfg.prints),
+                    })
+
+    return nodes.select("node", "sketch").mapInArrow(run, "key long, value long, node long")
+
+
+def _by_key(rows: DataFrame, solve, schema: str, cfg: NearCopyConfig) -> DataFrame:
+    """``solve(table)`` on pieces of bounded size that hold whole keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        limit = cfg.task_rows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < limit:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column("key").to_numpy()
+            other = np.flatnonzero(key != key[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from solve(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            limit = max(cfg.task_rows, 2 * (len(table) - cut))
+        if held:
+            yield from solve(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """First positions of runs of equal rows."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _value_links(key: np.ndarray, value: np.ndarray, cfg: NearCopyConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of the distinct values, sorted by (key, value)."""
+    left = cfg.bits - cfg.bits // (cfg.budget + 1)
+    turned = value.astype(np.uint64) << np.uint64(64 - left)
+    return trie_join(turned, key, np.zeros(len(key), np.int32), cfg.budget, left)
+
+
+def _joined(rows: DataFrame, cfg: NearCopyConfig) -> DataFrame:
+    """``key, value, node, low, high``: rows with a candidate, and the ends of what they are joined with."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, value, node = (table.column(c).to_numpy() for c in ("key", "value", "node"))
+        order = np.lexsort((value, key))
+        key, value, node = key[order], value[order], node[order]
+        head = _heads(key, value)
+        group = forest(len(head), *_value_links(key[head], value[head], cfg))
+        group = np.repeat(group, np.diff(np.append(head, len(key))))
+        size = np.bincount(group, minlength=len(head))
+        low, high = np.full(len(head), np.iinfo(np.int64).max), np.full(len(head), np.iinfo(np.int64).min)
+        np.minimum.at(low, group, node)
+        np.maximum.at(high, group, node)
+        at = np.flatnonzero(size[group] > 1)
+        yield pa.RecordBatch.from_pydict({
+            "key": key[at], "value": value[at], "node": node[at], "low": low[group[at]], "high": high[group[at]],
+        })
+
+    return _by_key(rows, solve, "key long, value long, node long, low long, high long", cfg)
+
+
+def _cross(a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions of the ranges that start at ``a`` and ``b``."""
+    total = a_n * b_n
+    at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+    width = np.repeat(b_n, total)
+    return np.repeat(a, total) + at // width, np.repeat(b, total) + at % width
+
+
+def _pairs(rows: DataFrame, cfg: NearCopyConfig) -> DataFrame:
+    """``u, v``: all candidates of different components ``part``."""
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, value, part, node = (table.column(c).to_numpy() for c in ("key", "value", "part", "node"))
+        order = np.lexsort((node, part, value, key))
+        key, value, part, node = (x[order] for x in (key, value, part, node))
+        heads = _heads(key, value, part)
+        sizes = np.diff(np.append(heads, len(key)))
+        tops = _heads(key[heads], value[heads])
+        counts = np.diff(np.append(tops, len(heads)))
+        a, b = _value_links(key[heads[tops]], value[heads[tops]], cfg)
+        own = np.arange(len(tops))
+        a, b = np.concatenate([a, own]), np.concatenate([b, own])
+        for lo, hi in _bounded(counts[a] * counts[b]):
+            i, j = _cross(tops[a[lo:hi]], counts[a[lo:hi]], tops[b[lo:hi]], counts[b[lo:hi]])
+            ok = (part[heads[i]] != part[heads[j]]) & ((i < j) | (value[heads[i]] != value[heads[j]]))
+            i, j = i[ok], j[ok]
+            for x, y in _bounded(sizes[i] * sizes[j]):
+                s, t = _cross(heads[i[x:y]], sizes[i[x:y]], heads[j[x:y]], sizes[j[x:y]])
+                u, v = np.minimum(node[s], node[t]), np.maximum(node[s], node[t])
+                yield pa.RecordBatch.from_pydict({"u": u, "v": v})
+
+    return _by_key(rows, solve, "u long, v long", cfg).distinct()
+
+
+def _bounded(sizes: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of ``sizes`` that add up to ``limit`` or are one entry."""
+    total = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        before = total[lo] - sizes[lo]
+        hi = max(int(np.searchsorted(total, before + limit, "right")), lo + 1)
+        yield lo, hi
+        lo = hi
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, cfg: NearCopyConfig) -> DataFrame:
+    """``u, v`` of the pairs whose sketches are not far apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (_matrix(batch.column(c), cfg.words * 8) for c in ("a", "b"))
+                bits = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+                yield batch.select(["u", "v"]).filter(pa.array(bits < cfg.far * 64 * cfg.words))
+
+    one = nodes.select(F.col("node").alias("u"), F.col("sketch").alias("a"))
+    two = nodes.select(F.col("node").alias("v"), F.col("sketch").alias("b"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, cfg: NearCopyConfig) -> DataFrame:
+    """``u, v`` of the pairs whose shingle sets have the Jaccard similarity ``least``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                hashes, edge = _sets(block, cfg)
+                yield pa.RecordBatch.from_pydict({
+                    "node": batch.column("node").slice(block.first, block.n),
+                    "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()),
+                })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("a"), batch.column("b")):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(both >= cfg.least * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    rows = nodes.join(wanted, "node").select("node", "best._id", "best._tx")
+    texts = documents.select(*row_key(), F.col("text").cast("string").alias("text"))
+    found = texts.join(rows, ["_id", "_tx"]).select("node", "text").mapInArrow(sets, "node long, hashes binary")
+    found = written(found.dropDuplicates(["node"]), "near-sets")
+    one = found.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    two = found.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _alike(rows: DataFrame, cfg: NearCopyConfig) -> DataFrame:
+    """``u, v``: edges between nodes whose components are those of the links of ``simhash``."""
+    both = written(rows.select("node", "fp").distinct(), "near-prints")
+    names = written(both.groupBy("fp").agg(F.min("node").alias("name")), "near-names")
+    own = both.join(names, "fp").select(F.col("node").alias("u"), F.col("name").alias("v"))
+    found = simhash.links(names.select("fp"), cfg.equal)
+    one, two = (names.select(F.col("fp").alias(c), F.col("name").alias(f"{c}_name")) for c in "uv")
+    across = found.join(one, "u").join(two, "v").select(F.col("u_name").alias("u"), F.col("v_name").alias("v"))
+    return written(own.union(across).where("u != v"), "near-alike")
+
+
+def links(nodes: DataFrame, documents: DataFrame, alike: DataFrame, cfg: NearCopyConfig) -> DataFrame:
+    """``u, v``: links whose components are those of ``alike`` and all candidates that are similar enough."""
+    joined = written(_joined(_placed(nodes, cfg), cfg), "near-joined")
+    ends = joined.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ends = ends.select("node", F.explode(F.array("low", "high")).alias("other")).where("node != other")
+    tried = written(ends.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "near-tried")
+    first = written(_similar(written(_near(tried, nodes, cfg), "near-first"), nodes, documents, cfg), "near-links")
+    first = first.union(alike)
+    parts = components(first)
+    rest = joined.select("key", "value", "node").join(parts, "node", "left").select(
+        "key", "value", "node", F.coalesce("root", "node").alias("part")
+    )
+    pairs = _pairs(rest, cfg).join(tried, ["u", "v"], "left_anti")
+    second = _similar(written(_near(pairs, nodes, cfg), "near-second"), nodes, documents, cfg)
+    return first.union(written(second, "near-links"))
+
+
+def one_of_near(documents: DataFrame, cfg: NearCopyConfig = NearCopyConfig()) -> DataFrame:
+    """The rows, unchanged, of the smallest id of each group of near copies, once each."""
+    rows = written(sketches(documents, cfg), "near-sketches")
+    best = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_id"), F.col("_tx"))
+    nodes = written(rows.groupBy("node").agg(F.min(best).alias("best"), F.min("sketch").alias("sketch")), "near-nodes")
+    named = nodes.join(components(links(nodes, documents, _alike(rows, cfg), cfg)), "node", "left").select(
+        F.coalesce("root", "node").alias("root"), "best"
+    )
+    kept = named.groupBy("root").agg(F.min("best").alias("first")).select(
+        F.col("first._id").alias("_ki"), F.col("first._tx").alias("_kt")
+    )
+    return first_rows(documents, written(kept, "near-kept"))

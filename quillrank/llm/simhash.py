@@ -46,30 +46,33 @@ class SimHashConfig:
     step: int = 8
 
 
-def _fingerprints(block: Block, cfg: SimHashConfig) -> np.ndarray:
+def shingles(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded words of the block, one space after each; starts and ends of shingles; number of each text."""
     data = LOWER[block.data]
     folded = Block(block.first, block.offsets, data)
     starts, ends, first = folded.tokens(~SPACE[data])
-    if not len(starts):
-        return np.zeros(block.n, np.uint64)
-    # Words of the block, one space after each, so that a shingle is one slice.
+    # One space after each word, so that a shingle is one slice.
     lengths = ends - starts
     begin = np.concatenate([[0], np.cumsum(lengths + 1)])
     joined = np.full(begin[-1], 32, np.uint8)
     at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     joined[at + np.repeat(begin[:-1], lengths)] = data[at + np.repeat(starts, lengths)]
-    text = joined.tobytes()
 
     n = np.diff(first)
-    count = np.where(n > 0, np.maximum(n - cfg.shingle + 1, 1), 0)
-    edge = np.concatenate([[0], np.cumsum(count)])
-    within = np.arange(edge[-1]) - np.repeat(edge[:-1], count)
+    count = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     head = np.repeat(first[:-1], count) + within
-    tail = np.minimum(head + cfg.shingle, np.repeat(first[1:], count))
+    tail = np.minimum(head + width, np.repeat(first[1:], count))
+    return joined, begin[head], begin[tail] - 1, count
+
+
+def fingerprint_block(block: Block, cfg: SimHashConfig) -> np.ndarray:
+    joined, starts, ends, count = shingles(block, cfg.shingle)
+    text = joined.tobytes()
+    edge = np.concatenate([[0], np.cumsum(count)])
     digest, seed = xxhash.xxh64_intdigest, cfg.seed
     hashes = np.fromiter(
-        (digest(text[a:b], seed) for a, b in zip(begin[head].tolist(), (begin[tail] - 1).tolist())),
-        np.uint64, len(head),
+        (digest(text[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts),
     )
     out = np.zeros(block.n, np.uint64)
     filled = np.flatnonzero(count)
@@ -86,7 +89,7 @@ def fingerprints(documents: DataFrame, cfg: SimHashConfig = SimHashConfig()) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                (fp,) = over_blocks(batch, "text", lambda block: [_fingerprints(block, cfg)])
+                (fp,) = over_blocks(batch, "text", lambda block: [fingerprint_block(block, cfg)])
                 yield pa.RecordBatch.from_pydict({
                     **{c: batch.column(c) for c in ("doc_id", "_id", "_tx")}, "fp": fp.view(np.int64),
                 })
@@ -107,12 +110,13 @@ def _rotate(x: np.ndarray, by: int) -> np.ndarray:
     return x if not by else (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def trie_join(values: np.ndarray, groups: np.ndarray, sides: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(values: np.ndarray, groups: np.ndarray, sides: np.ndarray, budget: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked pairs within each group, by walking pairs of trie nodes.
 
     Rows are sorted by (group, side, value), values are distinct within a group.
     A node of the trie is a range of the sorted rows. Groups whose rows are all
     of one side are joined with themselves, others one side with the other.
+    Only the first ``bits`` bits of the values are used.
     """
     n = len(values)
     if n < 2:
@@ -125,7 +129,7 @@ def trie_join(values: np.ndarray, groups: np.ndarray, sides: np.ndarray, budget:
     a_lo, a_hi = lo, np.where(split, mid, hi)
     b_lo, b_hi = np.where(split, mid, lo), hi
     left = np.full(len(lo), budget)
-    for depth in range(64):
+    for depth in range(bits):
         bit = (values >> np.uint64(63 - depth)) & np.uint64(1)
         count = np.concatenate([[0], np.cumsum(bit.astype(np.int64))])
         am = a_hi - (count[a_hi] - count[a_lo])
@@ -337,6 +341,11 @@ def near_duplicates(documents: DataFrame, cfg: SimHashConfig = SimHashConfig())
 def one_of_each(documents: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
     """The rows, unchanged, of the smallest id of each component, once each."""
     kept = near_duplicates(documents, cfg).where("_first").select(F.col("_id").alias("_ki"), F.col("_tx").alias("_kt")).distinct()
+    return first_rows(documents, kept)
+
+
+def first_rows(documents: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows with the keys ``_ki, _kt``, once each."""
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")
     keyed = documents.select(row, *row_key())
     match = (F.col("_id") == F.col("_ki")) & (F.col("_tx") == F.col("_kt"))

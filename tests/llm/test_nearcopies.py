@@ -1,0 +1,55 @@
+"""Near copies against the Jaccard similarity of all pairs."""
+
+import corpus_pipeline
+import numpy as np
+
+from quillrank.llm import nearcopies
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def planted():
+    rng = np.random.RandomState(11)
+    rows = []
+    for group in range(25):
+        base = [f"w{i}" for i in rng.randint(0, 5000, 300)]
+        rows.append(" ".join(base))
+        for edits in (1, 3, 6, 20):
+            words = list(base)
+            for at in rng.choice(300, edits, replace=False):
+                words[at] = f"x{rng.randint(5000)}"
+            rows.append(" ".join(words))
+    return rows
+
+
+def test_stage_keeps_one_of_each_group_of_near_copies(spark):
+    texts = planted()
+    sets = [shingle_set(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({find(i) for i in range(len(texts))})
+    assert 25 < len(kept) < 80
+
+
+def test_large_group_short_texts_and_no_words(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:7] + [f"y{i}"] + base[8:])) for i in range(10, 400)]
+    rows += [(500, "A b"), (501, "a  B "), (502, "a c"), (600, ""), (601, " "), (602, None), (10, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in nearcopies.one_of_near(docs).collect()) == [10, 500, 502, 600]
+    assert nearcopies.one_of_near(docs.limit(0)).count() == 0
