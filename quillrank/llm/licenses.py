@@ -75,11 +75,13 @@ class LicenseConfig:
     """``least``: words of a long match. ``coverage``: part of a template that must be covered.
 
     ``gap`` is the most words that may lie between two matches of a chain.
+    Templates of at most ``whole`` words count only if all their words stand in a row.
     """
 
     least: int = 3
     coverage: float = 0.6
     gap: int = 40
+    whole: int = 10
 
 
 def words_of(text: str) -> list[str]:
@@ -89,7 +91,8 @@ def words_of(text: str) -> list[str]:
 class LicenseAutomaton:
     """Suffix automaton of all templates and phrases, words as numbers; built once per task."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES,
+                 whole: int = LicenseConfig.whole):
         self.names = list(templates)
         self.sizes = {n: len(words_of(t)) for n, t in templates.items()}
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in [*templates.values(), *phrases] for w in words_of(t)}))}
@@ -113,8 +116,16 @@ class LicenseAutomaton:
             for i in ids:
                 state = self.next[state][i]
             self.phrase_at[state].append((len(ids), label))
+        self.short = {n for n, size in self.sizes.items() if size <= whole}
+        self.short_at: list[list[tuple[int, str]]] = [[] for _ in self.next]
+        for name in sorted(self.short):
+            ids, state = [self.vocabulary[w] for w in words_of(templates[name])], 0
+            for i in ids:
+                state = self.next[state][i]
+            self.short_at[state].append((len(ids), name))
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
             self.phrase_at[state] = self.phrase_at[state] + self.phrase_at[self.link[state]]
+            self.short_at[state] = self.short_at[state] + self.short_at[self.link[state]]
 
     def _state(self, length: int) -> int:
         self.next.append({})
@@ -185,13 +196,16 @@ class LicenseAutomaton:
             for n, label in self.phrase_at[state]:
                 if n <= size:
                     places.append((first + i + 1 - n, label))
+            for n, name in self.short_at[state]:
+                if n <= size:
+                    matches.append((first + i + 1 - n, n, [(name, 0)]))
         if before[1] >= least:
             self._record(matches, before, first + len(ids))
         return places, matches
 
     def _record(self, matches: list, found: tuple[int, int], stop: int) -> None:
         state, size = found
-        where = [(name, place + 1 - size) for name, place in self.ends[state]]
+        where = [(name, place + 1 - size) for name, place in self.ends[state] if name not in self.short]
         if where:
             matches.append((stop - size, size, where))
 
@@ -235,7 +249,7 @@ def scan_licenses(documents: DataFrame, cfg: LicenseConfig = LicenseConfig(), te
     span = pa.struct([("label", pa.string()), ("first", pa.int64()), ("stop", pa.int64()), ("covered", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = LicenseAutomaton(templates)
+        automaton = LicenseAutomaton(templates, whole=cfg.whole)
         for batch in batches:
             for block in blocks(batch.column("text")):
                 folded = Block(block.first, block.offsets, LOWER[block.data])
