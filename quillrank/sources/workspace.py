@@ -42,6 +42,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{workspace_root(spark)}/quillrank/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove written tables that no later stage reads."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(configuration).delete(folder, True)
+
+
 @dataclass(frozen=True)
 class Stored:
     """A written table together with its exact number of rows."""
