@@ -11,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.llm.codebooks import code_vectors
 from quillrank.llm.encoding import encode_documents
 from quillrank.llm.language import fit_language, identify_language
 from quillrank.llm.licenses import scan_licenses
 from quillrank.llm.mixing import mix
 from quillrank.llm.neighbours import nearest
+from quillrank.llm.packing import pack_documents
 from quillrank.llm.quality import fit_quality, judge_quality
 from quillrank.llm.simhash import near_duplicates
+from quillrank.llm.spelling import group_variants
 from quillrank.llm.suffixes import cut_repeats
 from quillrank.llm.tokencount import count_tokens
 from quillrank.llm.toxicity import fit_toxicity, score_toxicity
@@ -82,11 +85,27 @@ def op10_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(_table(spark, sf, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Product codes of every vector, with their errors and the digest of the codebooks."""
+    coded = code_vectors(_table(spark, sf, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens."""
+    return pack_documents(_table(spark, sf, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return group_variants(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_toxicity, op3_suffix_dedup, op4_simhash_near_duplicates,
         op5_source_mix, op6_license_scan, op7_token_counts, op8_language_id, op9_permutation_search,
-        op10_bpe_codec,
+        op10_bpe_codec, op11_vector_codes, op12_best_fit_packing, op13_spelling_variants,
     )
 }
 ORACLES: dict[str, str] = {}
