@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, Row, Sp
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
 def workspace_root(spark: SparkSession) -> str:
@@ -39,7 +42,22 @@ def workspace_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A folder name that no earlier run has used; Spark creates it on write."""
-    return f"{workspace_root(spark)}/quillrank/{label}-{uuid.uuid4().hex}"
+    path = f"{workspace_root(spark)}/quillrank/{label}-{uuid.uuid4().hex}"
+    for paths in _scratch:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders named inside the block are removed at its end, so its result must be written elsewhere by then."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch[:] = [other for other in _scratch if other is not paths]
+        discard(spark, *paths)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
