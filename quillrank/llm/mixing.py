@@ -5,7 +5,8 @@ the rest of its budget with second copies; a smaller target is filled with first
 copies. Which documents fill the budget is decided on the counts of documents by
 exact length: every length gives the same share of its documents, longer lengths
 give one more while it fits, and a bounded-knapsack dynamic program closes the
-remaining gap. The documents of a length are then chosen by a seeded order.
+remaining gap. Where it cannot close it, it gets more of the budget, all of it up to
+``exact`` words; up to there the sum is the nearest there is. The documents of a length are then chosen by a seeded order.
 
 Defined results: a null text has size 0 and is never taken beyond its one free
 copy (``taken`` is 0). A null source is a source of its own and comes last. Rows
@@ -34,14 +35,15 @@ class MixConfig:
     """``weights`` repeat over the sources in code-point order, nulls last.
 
     ``share`` is the size of the mix as a part of all words, ``copies`` the most
-    a source or document may be repeated. ``gap`` bounds the budget, in words,
-    that is left to the dynamic program.
+    a source or document may be repeated. ``gap`` is the budget, in words, that is
+    left to the dynamic program at first, ``exact`` what it gets if it misses.
     """
 
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     share: float = 1.5
     copies: int = 2
     gap: int = 20_000
+    exact: int = 500_000
     seed: int = 17
 
 
@@ -80,17 +82,28 @@ def targets(sizes: DataFrame, cfg: MixConfig) -> DataFrame:
     )
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int) -> np.ndarray:
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int, exact: int = 500_000) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest to ``budget``.
 
-    ``lengths`` are distinct and positive.
+    ``lengths`` are distinct and positive. Budgets up to ``exact`` get the nearest sum of all.
     """
     total = int((lengths * counts).sum())
     budget = min(max(budget, 0), total)
-    taken = np.zeros(len(lengths), np.int64)
-    if not total or not budget:
-        return taken
-    gap = min(gap, budget // 10)
+    nearest, miss = np.zeros(len(lengths), np.int64), budget
+    for part in sorted({min(gap, budget // 10), gap, max(gap, exact)}):
+        if not miss:
+            break
+        taken = _filled(lengths, counts, budget, part)
+        taken += _knapsack(lengths, counts - taken, budget - int((lengths * taken).sum()))
+        off = abs(budget - int((lengths * taken).sum()))
+        if off < miss:
+            nearest, miss = taken, off
+    return nearest
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int) -> np.ndarray:
+    """Documents of each length, in proportion, that leave about ``gap`` words of the budget."""
+    total, taken = int((lengths * counts).sum()), np.zeros(len(lengths), np.int64)
     # Keep about ``gap`` words, and all that a length's rounding leaves, for later.
     for i, (n, c) in enumerate(zip(lengths.tolist(), counts.tolist())):
         taken[i] = c * max(budget - gap, 0) // total
@@ -101,41 +114,43 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, gap: int) -
         more = min(int(counts[i] - taken[i]), (left - gap) // int(lengths[i]))
         taken[i] += more
         left -= more * int(lengths[i])
-    return taken + _knapsack(lengths, counts - taken, left)
+    return taken
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, left: int) -> np.ndarray:
-    """Bounded knapsack as a subset sum: a bit set of reachable sums for each part of a count.
+    """Bounded knapsack as a subset sum: for every sum, the part of a count that reached it first.
 
-    Sums up to one length beyond the budget are kept, as the nearest may lie above.
+    Sums up to twice the budget are kept, as the nearest may lie above. Memory is a few
+    bytes for each of them, however many documents there are.
     """
     taken = np.zeros(len(lengths), np.int64)
     usable = [int(i) for i in np.flatnonzero(counts > 0) if lengths[i] <= 2 * left]
     if not usable or left <= 0:
         return taken
-    bits = 2 * left + 1
-    mask = (1 << bits) - 1
-    reach, steps = 1, []
+    sums = 2 * left + 1
+    by = np.full(sums, -1, np.int32)  # -1: not reached
+    by[0] = 0
+    steps: list[tuple[int, int]] = []
+    top = 0
     for i in usable:
-        rest, part, n = min(int(counts[i]), bits // int(lengths[i])), 1, int(lengths[i])
+        rest, part, n = min(int(counts[i]), sums // int(lengths[i])), 1, int(lengths[i])
         while rest > 0:
             part = min(part, rest)
-            grown = (reach | (reach << (part * n))) & mask
-            if grown != reach:
-                steps.append((i, part, part * n, reach))
-                reach = grown
+            end = min(top + part * n, sums - 1) + 1  # no sum beyond is reached yet
+            new = np.flatnonzero((by[part * n : end] < 0) & (by[: max(end - part * n, 0)] >= 0)) + part * n
+            by[new] = len(steps)
+            steps.append((i, part))
+            top = max(top, int(new[-1])) if len(new) else top
             rest -= part
             part *= 2
-        if reach >> left & 1:
-            break
-    for off in range(left + 1):
-        hit = left - off if reach >> (left - off) & 1 else left + off if reach >> (left + off) & 1 else None
-        if hit is not None:
+        if by[left] >= 0:
             break
-    for i, part, words, before in reversed(steps):
-        if not before >> hit & 1:
-            taken[i] += part
-            hit -= words
+    reached = np.flatnonzero(by >= 0)
+    hit = int(reached[np.lexsort((reached, np.abs(reached - left)))[0]])
+    while hit:
+        i, part = steps[by[hit]]
+        taken[i] += part
+        hit -= part * int(lengths[i])
     return taken
 
 
@@ -148,7 +163,7 @@ def _quota(histogram: DataFrame, cfg: MixConfig) -> DataFrame:
         target, total = float(pdf["target"].iloc[0]), int((lengths * counts).sum())
         base = min(int(target // total), cfg.copies) if total else 0
         budget = int(round(target)) - base * total
-        extra = fit_counts(lengths, counts, budget, cfg.gap) if base < cfg.copies else np.zeros(len(pdf), np.int64)
+        extra = fit_counts(lengths, counts, budget, cfg.gap, cfg.exact) if base < cfg.copies else np.zeros(len(pdf), np.int64)
         return pdf[["source", "size"]].assign(base=np.int64(base), extra=extra)
 
     return histogram.groupBy("source").applyInPandas(fit, "source string, size long, base long, extra long")

@@ -10,10 +10,12 @@ array, sorted by that hash (its anchor) and the fingerprint of its content.
 Documents come in batches. Each batch gets its suffix array, is merge-scanned
 against the levels that exist, and becomes a level itself; two levels of equal
 rank are merged into one of the next rank, so there are never more levels than
-the logarithm of the number of batches. The scans find the anchors that occur
-twice. All other runs are finished: none of their windows repeats. Runs whose
+the logarithm of the number of batches. A scan looks up the anchors of the new batch
+alone and returns the entries of those that occur twice, its own and those of the
+levels; what no scan returns is finished: none of its windows repeats. Runs whose
 content occurs twice are finished as well: all of their windows repeat. The rest
 is compared window by window, in fingerprint order, among the runs of its anchor.
+A family can be taken up again later with the folders of its levels.
 Anchors with very many different contents are compared with one row per window
 instead, spread over all tasks by the window.
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.blocks import Block, blocks, mix
-from quillrank.llm.tables import new_folder, row_key, written
+from quillrank.llm.tables import row_key, written
+from quillrank.sources.workspace import discard, store
 
 _KEYS = ["_id", "_tx"]
 
@@ -135,52 +139,69 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 class SuffixFamily:
-    """Levels of sorted suffix entries in the shared folder, and the anchors found twice."""
+    """Levels of sorted suffix entries in the shared folder.
 
-    def __init__(self, spark: SparkSession):
+    ``levels`` are the ranks and folders of the levels, also of an earlier session.
+    """
+
+    def __init__(self, spark: SparkSession, levels: list[tuple[int, str]] | None = None):
         self.spark = spark
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.found: list[DataFrame] = []
-
-    def add(self, entries: DataFrame) -> None:
-        """Sort a batch into a suffix array, scan the levels, and let it become one."""
-        array = _array(entries.groupBy("anchor", "content").agg(
-            F.count(F.lit(1)).alias("n"), F.max("inside").alias("inside"), F.max("windows").alias("windows"),
-        ))
-        scans = [array.groupBy("anchor").agg(F.sum("n").alias("n"), F.max("inside").alias("inside")).where("n > 1 or inside").select("anchor")]
-        heads = array.select("anchor").distinct()
-        scans += [heads.join(level.select("anchor").distinct(), "anchor") for _, level in self.levels]
-        self.found += [written(scan, "suffix-matches") for scan in scans]
-        self.levels.append((0, array))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            rank, last = self.levels.pop()
-            _, other = self.levels.pop()
-            merged = last.union(other).groupBy("anchor", "content").agg(
-                F.sum("n").alias("n"), F.max("inside").alias("inside"), F.max("windows").alias("windows"),
-            )
-            self.levels.append((rank + 1, _array(merged)))
+        self.levels = list(levels or [])
 
-    def repeated(self) -> DataFrame:
-        """``anchor, content, n, inside, windows, contents``: entries of the anchors found twice.
+    def _level(self, path: str) -> DataFrame:
+        return self.spark.read.schema(_LEVEL).parquet(path)
 
-        ``contents`` is the number of different contents of the anchor.
+    def add(self, entries: DataFrame) -> DataFrame:
+        """Sort a batch into a suffix array, scan it against the levels, and let it become one.
+
+        Returns what the scan has found, ``anchor, content, n, inside, windows``: the entries,
+        old and new, of anchors of the batch that occur twice; ``n`` counts up to the batch.
         """
-        anchors = self.found[0]
-        for part in self.found[1:]:
-            anchors = anchors.union(part)
-        entries = self.levels[0][1]
-        for _, level in self.levels[1:]:
-            entries = entries.union(level)
-        entries = entries.join(anchors.distinct(), "anchor").groupBy("anchor", "content").agg(
-            F.sum("n").alias("n"), F.max("inside").alias("inside"), F.max("windows").alias("windows"),
-        )
-        entries = written(entries, "suffix-entries")
-        return entries.join(entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")), "anchor")
-
-
-def _array(entries: DataFrame) -> DataFrame:
+        new = store(_sorted(entries.withColumn("n", F.lit(1).cast("long"))), "suffix-level")
+        array = new.df
+        # A batch by itself, then its anchors in each level.
+        hits = array.groupBy("anchor").agg(F.sum("n").alias("n"), F.max("inside").alias("inside")).where(
+            "n > 1 or inside").select("anchor")
+        heads, all_rows = array.select("anchor").distinct(), array
+        for _, path in self.levels:
+            level = self._level(path)
+            hits = hits.union(heads.join(level, "anchor", "left_semi"))
+            all_rows = all_rows.union(level)
+        hits = written(hits.distinct(), "suffix-hits")
+        found = written(_summed(all_rows.join(hits, "anchor", "left_semi")), "suffix-matches")
+        self.levels.append((0, new.path))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, last), (_, other) = self.levels.pop(), self.levels.pop()
+            merged = store(_sorted(self._level(last).union(self._level(other))), "suffix-level")
+            self.levels.append((rank + 1, merged.path))
+            discard(self.spark, last, other)
+        return found
+
+
+_LEVEL = "anchor long, content long, n long, inside boolean, windows int"
+
+
+def _summed(entries: DataFrame) -> DataFrame:
+    """One entry for each content of an anchor."""
+    return entries.groupBy("anchor", "content").agg(
+        F.sum("n").alias("n"), F.max("inside").alias("inside"), F.max("windows").alias("windows"))
+
+
+def _sorted(entries: DataFrame) -> DataFrame:
     """A level: entries in order, dealt over tasks by anchor and content."""
-    return written(entries.sortWithinPartitions("anchor", "content"), "suffix-level")
+    return _summed(entries).sortWithinPartitions("anchor", "content")
+
+
+def matched_entries(found: list[DataFrame]) -> DataFrame:
+    """``anchor, content, n, inside, windows, contents`` of all scans, as the last scan of an anchor has them.
+
+    ``contents`` is the number of different contents of the anchor. A later scan has
+    counted what the earlier ones had, so the largest ``n`` is that of all batches.
+    """
+    every = reduce(DataFrame.union, found)
+    entries = written(every.groupBy("anchor", "content").agg(
+        F.max("n").alias("n"), F.max("inside").alias("inside"), F.max("windows").alias("windows")), "suffix-entries")
+    return entries.join(entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")), "anchor")
 
 
 def _pack(documents: DataFrame) -> DataFrame:
@@ -302,9 +323,8 @@ def repeated_spans(documents: DataFrame, cfg: RepeatConfig = RepeatConfig()) ->
     """``_id, _tx, spans``: byte spans of texts covered by repeated strings, not yet united."""
     entries = written(sparse_suffixes(documents, cfg), "suffix-runs")
     family = SuffixFamily(documents.sparkSession)
-    for number in range(cfg.batches):
-        family.add(entries.where(F.col("batch") == F.lit(number)))
-    repeated = written(family.repeated(), "suffix-repeated")
+    found = [family.add(entries.where(F.col("batch") == F.lit(number))) for number in range(cfg.batches)]
+    repeated = written(matched_entries(found), "suffix-repeated")
 
     # One run stands for each content that has to be looked into.
     open_ = repeated.where("contents > 1 or (inside and n = 1)")

@@ -196,12 +196,40 @@ def test_suffix_levels_merge_geometrically(spark, docs):
     cfg = suffixes.RepeatConfig(length=60, seed=16, batches=7)
     entries = suffixes.sparse_suffixes(docs, cfg).cache()
     family = suffixes.SuffixFamily(spark)
-    ranks = []
+    ranks, found = [], []
     for number in range(7):
-        family.add(entries.where(f"batch = {number}"))
+        if number == 4:  # taken up again by the folders of its levels
+            family = suffixes.SuffixFamily(spark, family.levels)
+        found.append(family.add(entries.where(f"batch = {number}")))
         ranks.append([rank for rank, _ in family.levels])
     assert ranks == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0]]
 
+    # What the scans have found are the entries of the anchors that occur twice.
+    held, marked = {}, set()
+    for r in entries.collect():
+        held.setdefault(r["anchor"], Counter())[r["content"]] += 1
+        marked |= {r["anchor"]} if r["inside"] else set()
+    want = {(a, c): (n, len(by)) for a, by in held.items() if sum(by.values()) > 1 or a in marked for c, n in by.items()}
+    got = {(r["anchor"], r["content"]): (r["n"], r["contents"]) for r in suffixes.matched_entries(found).collect()}
+    # An anchor that stays alone after its last scan keeps the number it had then.
+    assert got.keys() == want.keys()
+    assert all((got[k][0] > 1, got[k][1]) == (want[k][0] > 1, want[k][1]) for k in want)
+
+
+def test_suffix_long_passages_across_documents(spark):
+    rng = np.random.RandomState(4)
+    words = [f"v{i}" for i in rng.randint(0, 10**6, 4000)]
+    passages = [" ".join(words[i * 80 : i * 80 + 80]) for i in range(12)]
+    assert all(len(p) > 400 for p in passages)
+    rows = []
+    for i in range(80):
+        own = [f"u{x}" for x in rng.randint(0, 10**9, 200)]
+        rows.append((i, " ".join(own[:100]) + " " + (passages[i % 12] + " " if i < 40 else "") + " ".join(own[100:])))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = Counter(tuple(r) for r in suffixes.cut_repeats(table).collect())
+    assert got == Counter((i, *want) for (i, _), want in zip(rows, brute_repeats(rows, 400)))
+    assert all((r[2] >= len(passages[r[0] % 12])) == (r[0] < 40) for r in got)
+
 
 def test_suffix_cut_texts_keep_columns(docs):
     kept = suffixes.without_repeats(docs)
@@ -323,6 +351,16 @@ def test_mixing_budget_is_met_exactly_where_it_can_be():
         got = mixing._knapsack(lengths, counts, budget)
         assert (got <= counts).all()
         assert abs(int((got * lengths).sum()) - budget) == min(abs(s - budget) for s in sums if s <= 2 * budget)
+    for case in range(400):  # whole sources of 1 to 30 documents
+        sizes = rng.randint(1, 10 ** int(rng.randint(1, 4)) + 1, int(rng.randint(1, 31)))
+        lengths, counts = np.unique(sizes, return_counts=True)
+        budget = int(rng.randint(0, sizes.sum() + 1))
+        sums = {0}
+        for n in sizes.tolist():
+            sums |= {s + n for s in sums}
+        got = mixing.fit_counts(lengths, counts, budget, 20_000)
+        assert (got <= counts).all()
+        assert abs(int((got * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
     lengths, counts = np.arange(1, 400), np.full(399, 50)
     for budget in (7, 12_345, 1_000_003, 3_990_000):
         got = mixing.fit_counts(lengths, counts, budget, 20_000)
