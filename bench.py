@@ -47,6 +47,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="quillrank-wh-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillrank-shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -47,6 +47,8 @@ class RetrievalConfig:
     keyword_fields: tuple[str, ...] = KEYWORD_FIELDS
     k1: float = 1.2
     b: float = 0.75
+    # How text is cut into words: "spaced" or "unicode".
+    analyzer: str = "spaced"
     fuzzy: bool = True
     max_expansions: int = 50
     rrf_k: int = RRF_K
@@ -61,7 +63,14 @@ class RetrievalConfig:
     broadcast_rows: int = 2_000_000
     query_block_rows: int = 4_096
     join_salts: int = 32
-    term_partitions: int = 8
+    # Folders of postings and of fuzzy keys. A query reads those of its terms only;
+    # more of them pay off for large indexes, at the price of more files.
+    term_partitions: int = 64
+    key_partitions: int = 64
+    # Up to this many looked-up documents are named to the scan one by one.
+    lookup_rows: int = 1_000
+    # Rows of vectors that meet a block of queries in one group.
+    slice_rows: int = 20_000
     index_buckets: int | None = None
 
     @property

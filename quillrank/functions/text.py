@@ -15,15 +15,63 @@ YEAR_PATTERN = r"Published in (\d{4})"
 SUBJECTS_PATTERN = r"(?i)Subjects?: (.+?)\.?\s*$"
 
 
-def tokenize(text: Column) -> Column:
-    """Lower-cased words in reading order, repeats kept; NULL gives no words."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
+# Classes of the Unicode word boundary rules (fixed values).
+_EXTEND = r"[\p{M}\p{Cf}&&[^\x{200B}]]*"
+_UNSPACED = r"\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
+_KANA = r"\p{IsKatakana}\x{3031}-\x{3035}\x{309B}\x{309C}\x{30A0}\x{30FC}\x{FF70}"
+_LETTER = rf"[\p{{L}}\p{{Nl}}&&[^\p{{IsHan}}\p{{IsHiragana}}{_KANA}{_UNSPACED}]]{_EXTEND}"
+_DIGIT = rf"\p{{Nd}}{_EXTEND}"
+_EITHER = r".'\x{2018}\x{2019}\x{2024}\x{FE52}\x{FF07}\x{FF0E}"
+_BETWEEN_LETTERS = rf"[{_EITHER}:\x{{B7}}\x{{387}}\x{{55F}}\x{{5F4}}\x{{2027}}\x{{FE13}}\x{{FE55}}\x{{FF1A}}]{_EXTEND}"
+_BETWEEN_DIGITS = rf"[{_EITHER},;\x{{37E}}\x{{589}}\x{{60C}}\x{{66C}}\x{{FE10}}\x{{FE14}}\x{{FE50}}\x{{FE54}}\x{{FF0C}}\x{{FF1B}}]{_EXTEND}"
+_CONNECT = rf"[\p{{Pc}}\x{{202F}}]{_EXTEND}"
+
+
+def _word_pattern() -> str:
+    """Words by the Unicode rules: letters and digits with the marks allowed between
+    them, runs of katakana, and single ideographs and hiragana. Scripts of South East
+    Asia that need a dictionary stay in one piece."""
+    letters = rf"(?:{_LETTER})+(?:{_BETWEEN_LETTERS}(?:{_LETTER})+)*"
+    digits = rf"(?:{_DIGIT})+(?:{_BETWEEN_DIGITS}(?:{_DIGIT})+)*"
+    part = rf"(?:(?:{letters}|{digits})+|(?:[{_KANA}]{_EXTEND})+)"
+    joined = rf"(?:{_CONNECT})*{part}(?:(?:{_CONNECT})+{part})*(?:{_CONNECT})*"
+    single = rf"[\p{{IsHan}}\p{{IsHiragana}}]{_EXTEND}"
+    unspaced = rf"(?:[{_UNSPACED}&&[\p{{L}}\p{{M}}]]{_EXTEND})+"
+    return f"{joined}|{single}|{unspaced}"
+
+
+WORD_PATTERN = _word_pattern()
+LONGEST_WORD = 255
+ANALYZERS = ("spaced", "unicode")
+
+
+def tokenize(text: Column, analyzer: str = "spaced") -> Column:
+    """Lower-cased words in reading order, repeats kept; NULL gives no words.
+
+    ``spaced`` takes runs of letters and digits, which suits scripts that put spaces
+    between words. ``unicode`` follows the Unicode word boundary rules in all scripts
+    and cuts words after 255 characters.
+    """
+    if analyzer not in ANALYZERS:
+        raise ValueError(f"unknown analyzer {analyzer!r}")
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    if analyzer == "spaced":
+        return F.regexp_extract_all(lowered, F.lit(TOKEN_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(lowered, F.lit(WORD_PATTERN), F.lit(0))
+
+    def pieces(word: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(word), F.lit(LONGEST_WORD))
+        return F.transform(starts, lambda at: F.substring(word, at, F.lit(LONGEST_WORD)))
+
+    short = lambda w: F.length(w) <= LONGEST_WORD
+    return let(found, lambda words: F.when(F.forall(words, short), words).otherwise(
+        F.flatten(F.transform(words, pieces))))
 
 
-def tokenize_list(values: Column) -> Column:
+def tokenize_list(values: Column, analyzer: str = "spaced") -> Column:
     """Words of every element of a string array, one after the other."""
     present = F.coalesce(values, F.array().cast("array<string>"))
-    return F.flatten(F.transform(present, tokenize))
+    return F.flatten(F.transform(present, lambda text: tokenize(text, analyzer)))
 
 
 def build_text(title: Column, synopsis: Column) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillrank import schema
+from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import DOCUMENT, Embedder
 from quillrank.functions.text import build_text, clean_list, first_non_empty
-from quillrank.sources.workspace import store_bucketed
+from quillrank.sources.workspace import Stored, store_bucketed
 
 
 def _names_per_book(bridge: DataFrame, names: DataFrame, fk: str, name: str, out: str) -> DataFrame:
@@ -128,12 +129,25 @@ def write_corpus(documents: DataFrame, path: str, dim: int, mode: str = "overwri
 def store_corpus(documents: DataFrame, dim: int, buckets: int) -> tuple[DataFrame, dict[str, int]]:
     """Store the indexable documents in buckets by id, for indexing and lookup."""
     indexable, seen = _counted(documents, dim)
-    table = store_bucketed(
-        indexable.write, documents.sparkSession, "corpus", buckets, ["doc_id"]
-    )
+    # Look-ups of a few ids skip buckets by their number and row groups by these filters.
+    writer = indexable.write.options(**{
+        "parquet.bloom.filter.enabled#doc_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+    table = store_bucketed(writer, documents.sparkSession, "corpus", buckets, ["doc_id"])
     return table, dict(seen.get)
 
 
+def documents_named(corpus: DataFrame, ids: Stored, cfg: RetrievalConfig) -> DataFrame:
+    """The documents with the stored ids, which are distinct.
+
+    A few ids are named to the scan, which then reads their buckets only. More are copied
+    to the tasks that scan the corpus, very many are joined with it.
+    """
+    if ids.rows <= cfg.lookup_rows:
+        return corpus.where(F.col("doc_id").isin([r["doc_id"] for r in ids.df.select("doc_id").collect()]))
+    wanted = ids.df.select("doc_id")
+    return corpus.join(F.broadcast(wanted) if ids.rows <= cfg.broadcast_rows else wanted, "doc_id", "left_semi")
+
+
 def latest(versions: DataFrame, key: str, order: list[str], mode: str = "replace") -> DataFrame:
     """The last version of every document.
 

@@ -1,9 +1,9 @@
 """Nearest neighbours of query vectors.
 
-The exact search never shuffles the corpus: every task scores its own documents
-against a block of query vectors, keeps the best ``k`` of them, and only those few
-rows are merged. A block has a fixed maximum size; larger query tables take several
-passes over the vector column.
+The exact search is a grid: documents are cut into slices, queries into blocks, and
+each slice meets each block in one group, which keeps the best ``k`` documents of every
+query; only those few rows are merged. Both have a bounded size, and any number of
+queries is one job.
 
 The approximate search reads only the cells that some query probes. Cells are cut
 into slices of bounded size, and so are the queries of a cell; every slice meets the
@@ -12,70 +12,26 @@ queries that probe its cell in one group and is multiplied with those alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import MAX_DEPTH, RetrievalConfig
+from quillrank.functions.vectors import dot
 from quillrank.operators.topk import top_k
-from quillrank.schema import RANKED
-from quillrank.sources.workspace import Stored, store
+from quillrank.sources.workspace import store
 
 _SCORED = "query_id string, doc_id string, score double"
 #: Products held at once by a task.
 _PRODUCTS = 4_000_000
-
-
-def _score_batches(queries: pa.Table, k: int, digits: int):
-    """Task function: best ``k`` documents of the task for every query of the block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        names = queries.column("query_id").to_numpy()
-        matrix = _matrix(queries)
-        step = max(1, _PRODUCTS // max(1, len(names)))
-        best_ids = [np.empty(0, dtype=object) for _ in names]
-        best_scores = [np.empty(0) for _ in names]
-        floor = np.full(len(names), -np.inf)
-
-        def keep(i, ids, scores):
-            if len(scores) > k:
-                cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-                near = np.flatnonzero(scores >= cut)
-                ids, scores = ids[near], scores[near]
-            order = np.lexsort((ids.astype(str), -scores))[:k]
-            best_ids[i], best_scores[i] = ids[order], scores[order]
-            if len(order) == k:
-                floor[i] = best_scores[i][-1]
-
-        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            scores = np.round(matrix @ _matrix(batch).T, digits)
-            wanted = scores >= floor[:, None]
-            for i in np.flatnonzero(wanted.any(axis=1)):
-                new = np.flatnonzero(wanted[i])
-                keep(i, np.concatenate([best_ids[i], ids[new]]),
-                     np.concatenate([best_scores[i], scores[i, new]]))
-
-        counts = [len(s) for s in best_scores]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(names, counts), pa.string()),
-                    pa.array(np.concatenate(best_ids), pa.string()),
-                    pa.array(np.concatenate(best_scores), pa.float64()),
-                ],
-                ["query_id", "doc_id", "score"],
-            )
-
-    return run
+#: Slices of the exact search are not cut finer than this.
+_FEWEST_ROWS = 250
 
 
 def _matrix(rows: pa.Table | pa.RecordBatch):
@@ -85,19 +41,6 @@ def _matrix(rows: pa.Table | pa.RecordBatch):
     return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(rows.num_rows, -1)
 
 
-def _query_blocks(queries: Stored, cfg: RetrievalConfig) -> Iterator[pa.Table]:
-    """The stored query vectors in blocks of about ``query_block_rows`` rows, none of them empty."""
-    blocks = -(-queries.rows // cfg.query_block_rows)
-    if blocks == 1:
-        yield queries.df.toArrow()
-        return
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    for i in range(blocks):
-        part = queries.df.where(block == i).toArrow()
-        if part.num_rows:
-            yield part
-
-
 def _best(scored: DataFrame, depth: int) -> DataFrame:
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth).select(
         "query_id", "rank", "doc_id", "score")
@@ -112,17 +55,45 @@ def knn_exact(
     both of unit length. A corpus with fewer than ``depth`` vectors is returned
     whole; a document without a vector is never found.
     """
-    stored = store(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"), "query-vectors")
-    scan = vectors.where(F.col("vector").isNotNull()).select("doc_id", "vector")
-    several = stored.rows > cfg.query_block_rows
-    passes = []
-    for block in _query_blocks(stored, cfg):
-        ranked = _best(scan.mapInArrow(_score_batches(block, depth, cfg.score_digits), _SCORED), depth)
-        # Finish a pass before the next block is fetched: the driver holds one at a time.
-        passes.append(store(ranked, "neighbours").df if several else ranked)
-    if not passes:
-        return vectors.sparkSession.createDataFrame([], RANKED)
-    return reduce(DataFrame.unionByName, passes)
+    asked = store(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"), "query-vectors")
+    held = vectors.where(F.col("vector").isNotNull()).select("doc_id", "vector")
+    rows, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    # Small tables are cut finer, so that all cores have a part.
+    slices = max(1, min(-(-rows // _FEWEST_ROWS), max(-(-rows // cfg.slice_rows), 2 * cores)))
+    parts = max(1, -(-asked.rows // cfg.query_block_rows))
+    part, piece = (F.pmod(F.xxhash64(key), F.lit(n)).cast("int") for key, n in (("query_id", parts), ("doc_id", slices)))
+    left = asked.df.select("query_id", "vector", part.alias("part"), _upto(F.lit(slices)).alias("slice"))
+    right = held.select("doc_id", "vector", piece.alias("slice"), _upto(F.lit(parts)).alias("part"))
+    return _best(_scored(left, right, ["slice", "part"], depth, cfg), depth)
+
+
+def knn_lsh(
+    queries: DataFrame, vectors: DataFrame, cfg: RetrievalConfig, depth: int = MAX_DEPTH, *,
+    bucket_length: float = 0.25, tables: int = 16, least: float = -1.0, seed: int = 42,
+) -> DataFrame:
+    """Approximate neighbours by locality-sensitive hashing: ``(query_id, rank, doc_id, score)``.
+
+    Vectors are projected on ``tables`` random lines and fall into buckets of
+    ``bucket_length``; pairs that share a bucket in one of them are joined and scored.
+    Shorter buckets and fewer tables compare less and find less. ``least`` is the smallest
+    similarity that counts. Nothing is stored or trained beforehand.
+    """
+    def hashed(rows: DataFrame, key: str) -> DataFrame:
+        known = rows.where(F.col("vector").isNotNull())
+        return known.select(key, "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+
+    asked, held = hashed(queries, "query_id"), hashed(vectors, "doc_id")
+    model = BucketedRandomProjectionLSH(
+        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed,
+    ).fit(held)
+    # Of unit vectors; a little more, as the score decides in the end.
+    distance = math.sqrt(max(0.0, 2.0 - 2.0 * least)) + 1e-4
+    pairs = model.approxSimilarityJoin(asked, held, distance, "distance")
+    scored = pairs.select(
+        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.doc_id").alias("doc_id"),
+        F.round(dot(F.col("datasetA.vector"), F.col("datasetB.vector")), cfg.score_digits).alias("score"),
+    )
+    return _best(scored.where(F.col("score") >= least), depth)
 
 
 @dataclass(frozen=True)
@@ -233,6 +204,17 @@ def _score_group(k: int, digits: int):
     return run
 
 
+def _upto(number: Column) -> Column:
+    """One row for each of the numbers from 0."""
+    return F.explode(F.sequence(F.lit(0), number - 1).cast("array<int>"))
+
+
+def _scored(left: DataFrame, right: DataFrame, group: list[str], depth: int, cfg: RetrievalConfig) -> DataFrame:
+    """Best documents for every query in each group of queries and documents."""
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
+        _score_group(depth, cfg.score_digits), _SCORED)
+
+
 def knn_approx(
     queries: DataFrame, index: CellIndex, cfg: RetrievalConfig, *, probes: int,
     depth: int = MAX_DEPTH,
@@ -252,19 +234,14 @@ def knn_approx(
         F.ceil(F.count(F.lit(1)) / cfg.query_block_rows).cast("int").alias("parts")), "cell-parts").df
     probed = [r["cell"] for r in parts.collect()]
 
-    def upto(column: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
-
     group = ["cell", "slice", "part"]
     left = (
         asked.join(F.broadcast(index.slices), "cell").join(F.broadcast(parts), "cell")
         .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-        .select("query_id", "vector", "cell", "part", upto("slices").alias("slice"))
+        .select("query_id", "vector", "cell", "part", _upto(F.col("slices")).alias("slice"))
     )
     right = (
         index.vectors.where(F.col("cell").isin(probed)).join(F.broadcast(parts), "cell")
-        .select("doc_id", "vector", "cell", "slice", upto("parts").alias("part"))
+        .select("doc_id", "vector", "cell", "slice", _upto(F.col("parts")).alias("part"))
     )
-    scored = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
-        _score_group(depth, cfg.score_digits), _SCORED)
-    return _best(scored, depth)
+    return _best(_scored(left, right, group, depth, cfg), depth)

@@ -12,6 +12,7 @@ from quillrank.functions.lets import let
 from quillrank.functions.text import (
     split_words, synopsis_authors, synopsis_subjects, synopsis_year,
 )
+from quillrank.operators.topk import first_n
 
 
 def _draw(seed: int, *parts: Column) -> Column:
@@ -95,12 +96,9 @@ def generate_queries(documents: DataFrame, n: int, styles: Sequence[str], seed:
     pick = _choice(seed, F.lit(len(known)), F.col("doc_id"), F.lit("style"))
     made = documents.withColumn("style", F.element_at(F.array(*[F.lit(s) for s in known]), pick))
     text = F.coalesce(*[F.when(F.col("style") == s, STYLES[s](seed)) for s in known])
-    return _labelled(
-        made.withColumn("query", text)
-        .where(F.col("query").isNotNull() & (F.col("query") != ""))
-        .orderBy(_draw(seed, F.col("doc_id")), "doc_id")
-        .limit(n)
-    )
+    asked = made.withColumn("query", text).where(F.col("query").isNotNull() & (F.col("query") != ""))
+    drawn = asked.withColumn("_draw", _draw(seed, F.col("doc_id")))
+    return _labelled(first_n(drawn, [F.asc("_draw"), F.asc("doc_id")], n))
 
 
 def style_counts(qrels: DataFrame) -> DataFrame:
@@ -110,14 +108,6 @@ def style_counts(qrels: DataFrame) -> DataFrame:
     )
 
 
-def judged(qrels: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Every labelled query with the rank of its relevant document, NULL if not found."""
-    found = ranked.select("query_id", F.col("doc_id").alias("relevant_id"), "rank")
-    return qrels.select("query_id", "relevant_id", "style").join(
-        found, ["query_id", "relevant_id"], "left"
-    )
-
-
 def _share_within(k: int) -> Column:
     return F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))
 

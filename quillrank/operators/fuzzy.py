@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
 from quillrank.functions.edits import allowed_edits, edits_within_two, probe_keys, vocabulary_keys
 from quillrank.operators.topk import top_k
-from quillrank.sources.workspace import bucket_count
 
 
+KEY_PART = "_part"
 # No query word has more keys than this, so the number of words bounds the keys.
 KEYS_PER_WORD = 211
 
 
-def keys_of(terms: DataFrame) -> DataFrame:
-    """``(_key, term)``: every indexed term under all keys by which it can be found.
+def _key_part(parts: int) -> Column:
+    return F.pmod(F.col("_key"), F.lit(parts)).cast("int").alias(KEY_PART)
+
+
+def keys_of(terms: DataFrame, parts: int) -> DataFrame:
+    """``(_key, term, _part)``: every indexed term under all keys by which it can be found.
 
     The terms are small but each one is a lot of work, so they are spread over all
-    cores. Made once when an index is built; searches only read it.
+    cores. Made once when an index is built, one folder for each ``_part``; searches
+    only read it.
     """
-    spark = terms.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, bucket_count(spark))
-    distinct = terms.select("term").repartition(parts, "term").distinct()
-    return distinct.select(F.explode(vocabulary_keys(F.col("term"))).alias("_key"), "term")
+    cores = terms.sparkSession.sparkContext.defaultParallelism
+    distinct = terms.select("term").repartition(cores, "term").distinct()
+    keyed = distinct.select(F.explode(vocabulary_keys(F.col("term"))).alias("_key"), "term")
+    return in_key_folders(keyed.select("_key", "term", _key_part(parts)))
+
+
+def in_key_folders(keys: DataFrame) -> DataFrame:
+    """Keys as they are stored: those of a folder together, in order."""
+    return keys.repartition(KEY_PART).sortWithinPartitions(KEY_PART, "_key")
 
 
 def similar_terms(
@@ -35,18 +45,18 @@ def similar_terms(
     ``wanted`` holds distinct ``(kind, q_term)``, ``keys`` is the table of an index.
     Query words are turned into keys and joined with it, and the distance is computed
     once per candidate pair. Few query words are copied to the tasks that read the
-    keys, which then are not shuffled. Whether a term exists in a field of the kind is
+    keys, which then are not shuffled, and only the folders of their keys are read. Whether a term exists in a field of the kind is
     left to the join with the vocabulary.
     """
     probes = wanted.select(
         "kind", "q_term", allowed_edits(F.col("q_term")).alias("allowed"),
         F.explode(F.array_distinct(probe_keys(F.col("q_term")))).alias("_key"),
-    )
+    ).select("*", _key_part(cfg.key_partitions)).where(F.col(KEY_PART) >= 0)  # true; it allows pruning
     if wanted_rows * KEYS_PER_WORD <= cfg.broadcast_rows:
         probes = F.broadcast(probes)
     close = F.abs(F.length("q_term") - F.length("term")) <= F.col("allowed")
     candidates = (
-        keys.join(probes, "_key").where(close)
+        keys.join(probes, [KEY_PART, "_key"]).where(close)
         .groupBy("kind", "term", "q_term").agg(F.first("allowed").alias("allowed"))
     )
     # A one-element generator keeps the distance from being computed for the filter again.

@@ -1,8 +1,8 @@
 """BM25 over several weighted fields.
 
-The index is a flat table of postings ``(term_part, doc_id, field, term, tf, dl, slot)``.
-Stored, it is partitioned by a hash of the term and sorted by a finer one, the slot,
-so a query reads only pages of its own terms' slots, and bucketed by document, so that all postings of one
+The index is a flat table of postings ``(term_part, doc_id, field, term, tf, dl)``.
+Stored, it is partitioned by a hash of the term, so a query reads only the folders
+of its own terms, and bucketed by document, so that all postings of one
 document meet in one task: scores are summed and cut to the best documents of
 every task without shuffling postings, and a word that occurs in every document
 is spread over all tasks.
@@ -17,15 +17,14 @@ from pyspark.sql import functions as F
 
 from quillrank.config import MAX_DEPTH, RetrievalConfig
 from quillrank.functions.text import clean_list, term_frequencies, tokenize, tokenize_list
-from quillrank.operators.fuzzy import expand_terms, keys_of
+from quillrank.operators.fuzzy import KEY_PART, expand_terms, keys_of
 from quillrank.operators.scoring import best_field, scored_parts, term_part
 from quillrank.operators.topk import top_k
-from quillrank.sources.slots import slot_of
 from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed
 
 TEXT = "text"
 KEYWORD = "keyword"
-POSTINGS_ORDER = ["slot", "field", "term"]
+POSTINGS_ORDER = ["field", "term"]
 
 
 def _field_tokens(corpus: DataFrame, name: str, cfg: RetrievalConfig) -> Column:
@@ -34,7 +33,7 @@ def _field_tokens(corpus: DataFrame, name: str, cfg: RetrievalConfig) -> Column:
     if cfg.is_keyword(name):
         values = column if is_list else F.array(column)
         return F.array_distinct(clean_list(values))
-    return tokenize_list(column) if is_list else tokenize(column)
+    return tokenize_list(column, cfg.analyzer) if is_list else tokenize(column, cfg.analyzer)
 
 
 def analyze(corpus: DataFrame, cfg: RetrievalConfig) -> DataFrame:
@@ -57,8 +56,7 @@ def analyze(corpus: DataFrame, cfg: RetrievalConfig) -> DataFrame:
 def postings_of(analyzed: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     # The outer form infers no filter, which would compute the frequencies again.
     return analyzed.select("doc_id", "field", "dl", F.inline_outer("terms")).select(
-        "doc_id", "field", "term", "tf", "dl", slot_of(F.col("term")).alias("slot"),
-        term_part(cfg, F.col("term")).alias("term_part"),
+        "doc_id", "field", "term", "tf", "dl", term_part(cfg, F.col("term")).alias("term_part"),
     )
 
 
@@ -113,7 +111,7 @@ def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig) -> LexicalIndex
     totals = [(name, seen.get[f"n_{i}"], seen.get[f"dl_{i}"]) for i, name in enumerate(names)]
     lengths = spark.createDataFrame([t for t in totals if t[1]], "field string, n_docs long, total_dl long")
     field_stats = store(with_average(lengths), "field-stats").df
-    keys = store(keys_of(term_stats), "fuzzy-keys").df
+    keys = store(keys_of(term_stats, cfg.key_partitions), "fuzzy-keys", partition_by=KEY_PART).df
     return LexicalIndex((stored,), term_stats, field_stats, keys)
 
 
@@ -123,7 +121,7 @@ def query_terms(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     Text fields see the analysed words of the query, keyword fields see the
     whole query as one term.
     """
-    words = queries.select("query_id", F.inline(term_frequencies(tokenize(F.col("q"))))).select(
+    words = queries.select("query_id", F.inline(term_frequencies(tokenize(F.col("q"), cfg.analyzer)))).select(
         "query_id", F.lit(TEXT).alias("kind"), F.col("term").alias("q_term"),
         F.col("tf").alias("qtf"),
     )
@@ -161,16 +159,17 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
         index.term_stats.where(F.col("field").isin(list(cfg.field_weights)))
         .withColumn("kind", _field_kind(cfg))
     )
-    distinct = wanted.select("kind", "q_term").distinct()
+    distinct = store(wanted.select("kind", "q_term").distinct(), "wanted-terms")
     if cfg.fuzzy:
-        expanded = expand_terms(distinct, vocabulary, index.keys, cfg, stored.rows)
+        expanded = expand_terms(distinct.df, vocabulary, index.keys, cfg, distinct.rows)
         # All expansions of a term share the frequency of the most frequent one.
         expansions = Window.partitionBy("field", "q_term")
         expanded = expanded.withColumn("shared_df", F.max("df").over(expansions))
     else:
-        expanded = vocabulary.join(
-            distinct.withColumnRenamed("q_term", "term"), ["kind", "term"]
-        ).select("kind", "field", F.col("term").alias("q_term"), "term",
+        named = distinct.df.withColumnRenamed("q_term", "term")
+        # Spark moves the semi join below the sums of a changed index.
+        known = vocabulary.join(named.select("term"), "term", "left_semi")
+        expanded = known.join(named, ["kind", "term"]).select("kind", "field", F.col("term").alias("q_term"), "term",
                  F.lit(1.0).alias("boost"), "df", F.col("df").alias("shared_df"))
     stats = index.field_stats.select("field", "n_docs", "avgdl")
     n, df = F.col("n_docs"), F.col("shared_df")

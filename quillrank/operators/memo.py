@@ -1,7 +1,10 @@
 """Results and embeddings remembered in a table with expiry.
 
 The table is append-only: the newest entry of a key counts, and an entry counts
-until the second it expires. The current time is always an argument.
+until the second it expires. The current time is always an argument. Stored entries
+are in folders by the hour they were written in. Where no entry lives longer than a
+known time, neither a live entry nor one that replaces it can have been written before
+that, so look-ups list and read the folders of that time only.
 """
 
 from __future__ import annotations
@@ -23,8 +26,27 @@ def entries(
     )
 
 
+WRITTEN_HOUR = "written_hour"
+
+
+def _hour(ts: Column) -> Column:
+    return F.floor(F.unix_seconds(ts) / 3600).cast("long")
+
+
 def append(cache: DataFrame, path: str) -> None:
-    cache.write.mode("append").parquet(path)
+    """Add entries to a stored cache; their hour of writing becomes their folder."""
+    cache.withColumn(WRITTEN_HOUR, _hour(F.col("written_at"))).write.mode("append").partitionBy(WRITTEN_HOUR).parquet(path)
+
+
+def written_within(cache: DataFrame, now: Column, longest: int | None) -> DataFrame:
+    """Entries written up to ``now`` and, if no entry lives longer than ``longest`` seconds, not before that time."""
+    recent = F.col("written_at") <= now
+    if longest is not None:
+        first = now - F.make_dt_interval(secs=F.lit(longest))
+        recent = recent & (F.col("written_at") >= first)
+        if WRITTEN_HOUR in cache.columns:
+            recent = recent & F.col(WRITTEN_HOUR).between(_hour(first), _hour(now))
+    return cache.where(recent)
 
 
 def newest(cache: DataFrame) -> DataFrame:
@@ -33,43 +55,45 @@ def newest(cache: DataFrame) -> DataFrame:
     return cache.groupBy("key").agg(F.max(entry).alias("_entry")).select("key", "_entry.*")
 
 
-def live(cache: DataFrame, now: Column) -> DataFrame:
+def live(cache: DataFrame, now: Column, longest: int | None = None) -> DataFrame:
     """Newest entries that have not expired at ``now``, whatever their time to live.
 
     An entry that was written later replaces an earlier one, even if it expires
-    sooner, so all entries written so far are looked at; ``purge`` keeps them few.
+    sooner. ``longest`` is the longest time to live in the cache, in seconds; without it
+    all entries written so far are looked at.
     """
-    return newest(cache.where(F.col("written_at") <= now)).where(F.col("expires_at") > now)
+    return newest(written_within(cache, now, longest)).where(F.col("expires_at") > now)
 
 
 def purge(cache: DataFrame, path: str, now: Column) -> None:
     """Write what can still be asked for to a new folder: live entries and those written after ``now``."""
     later = cache.where(F.col("written_at") > now).select("key", "payload", "written_at", "expires_at")
-    live(cache, now).select("key", "payload", "written_at", "expires_at").union(later).write.parquet(path)
+    append(live(cache, now).select("key", "payload", "written_at", "expires_at").union(later), path)
 
 
-def lookup(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+def lookup(requests: DataFrame, cache: DataFrame, now: Column, longest: int | None = None) -> DataFrame:
     """Requests that have a live entry, with its payload. ``requests`` has a ``key`` column."""
-    return requests.join(live(cache, now).select("key", "payload", "expires_at"), "key")
+    return requests.join(live(cache, now, longest).select("key", "payload", "expires_at"), "key")
 
 
-def hits(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
-    return requests.join(live(cache, now), "key", "left_semi")
+def hits(requests: DataFrame, cache: DataFrame, now: Column, longest: int | None = None) -> DataFrame:
+    return requests.join(live(cache, now, longest), "key", "left_semi")
 
 
-def misses(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
-    return requests.join(live(cache, now), "key", "left_anti")
+def misses(requests: DataFrame, cache: DataFrame, now: Column, longest: int | None = None) -> DataFrame:
+    return requests.join(live(cache, now, longest), "key", "left_anti")
 
 
 def memo_embeddings(
-    texts: DataFrame, cache: DataFrame, embedder: Embedder, now: Column, namespace: str | None = None
+    texts: DataFrame, cache: DataFrame, embedder: Embedder, now: Column, namespace: str | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """``(text, vector, source)`` for distinct texts; only unknown ones are embedded."""
     wanted = texts.select("text").distinct().withColumn("key", embedding_key(F.col("text"), namespace))
-    known = lookup(wanted, cache, now).select(
+    known = lookup(wanted, cache, now, longest).select(
         "text", F.from_json("payload", "array<float>").alias("vector"), F.lit("cache").alias("source")
     )
-    fresh = misses(wanted, cache, now).select(
+    fresh = misses(wanted, cache, now, longest).select(
         "text", embedder.column(F.col("text"), QUERY).alias("vector"), F.lit("model").alias("source")
     )
     return known.unionByName(fresh)

@@ -13,40 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
-from quillrank.sources.slots import in_slots, slot_of
 from quillrank.sources.workspace import Stored
 
 
 def term_part(cfg: RetrievalConfig, term: Column) -> Column:
     """Folder of the index that holds a term."""
-    return F.pmod(slot_of(term), F.lit(cfg.term_partitions)).cast("int")
+    return F.pmod(F.xxhash64(term), F.lit(cfg.term_partitions)).cast("int")
 
 
-def postings_of_terms(postings: DataFrame, weights: DataFrame) -> DataFrame:
-    """The part of the index that can hold the weighted terms.
+def matches(postings: DataFrame, weights: Stored, cfg: RetrievalConfig) -> DataFrame:
+    """Postings of the weighted terms, once per query that has the term.
 
-    Other folders are not read. Files are sorted by the slot of the term, so the
-    scan also skips row groups and pages that hold other slots only.
+    The folder of the index that holds a term is one of the keys, so Spark takes the
+    wanted folders from the copied weights at run time and reads no others.
     """
-    # At most one row per slot.
-    rows = weights.select("term_part", slot_of(F.col("term")).alias("slot")).distinct().collect()
-    return postings.where(
-        F.col("term_part").isin(sorted({r["term_part"] for r in rows}))
-        & in_slots("slot", [r["slot"] for r in rows])
-    )
-
-
-def matches(postings: DataFrame, weights: Stored, cfg: RetrievalConfig) -> DataFrame:
-    """Postings of the weighted terms, once per query that has the term."""
-    keys = ["field", "term"]
-    read = postings_of_terms(postings, weights.df).drop("slot")
-    weighted = weights.df.drop("term_part", "df")
+    keys = ["term_part", "field", "term"]
+    # True for every row; Spark prunes only by a side that is filtered.
+    weighted = weights.df.drop("df").where(F.col("term_part") >= 0)
     if weights.rows <= cfg.broadcast_rows:
-        return read.join(F.broadcast(weighted), keys)
+        return postings.join(F.broadcast(weighted), keys)
     # Too many query terms to copy to every task: shuffle both sides and spread
     # the postings of a frequent term over several tasks.
     salts = cfg.join_salts
-    left = read.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    left = postings.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     right = weighted.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
     )

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
-from quillrank.operators.corpus import embed, spread, store_corpus
+from quillrank.operators.corpus import documents_named, embed, spread, store_corpus
 from quillrank.operators.dense import CellIndex, build_cells, change_cells
 from quillrank.operators.lexical import (
-    LexicalIndex, build_lexical_index, length_totals, term_stats_of, with_average,
+    LexicalIndex, analyze, build_lexical_index, length_totals, postings_of, term_stats_of, with_average,
 )
 from quillrank.sources.workspace import bucket_count, store
 
@@ -80,19 +80,24 @@ def apply_changes(index: SearchIndex, documents: DataFrame, cfg: RetrievalConfig
 
     New versions become a part of their own, older versions of the same documents
     are skipped while reading, and the statistics are corrected, so that results
-    equal those of an index built from scratch. ``rebuild`` merges the parts.
+    equal those of an index built from scratch. What the older versions counted is
+    taken from their stored texts, found by id; postings are not read. Term statistics
+    get signed rows for the difference, which a search sums for its own terms.
+    ``rebuild`` merges the parts.
     """
     change = bulk_index(documents, index.embedder, cfg)
     ids = store(change.corpus.select("doc_id"), "changed-ids")
     changed = F.broadcast(ids.df) if ids.rows <= cfg.broadcast_rows else ids.df
 
-    old = reduce(DataFrame.unionByName, [
-        part.join(changed, "doc_id", "left_semi") for part in index.lexical.parts
-    ])
+    replaced = documents_named(index.corpus, ids, cfg).select("doc_id", *cfg.field_weights)
+    old = store(postings_of(analyze(replaced, cfg), cfg), "replaced-postings").df
     new = change.lexical
-    term_stats = store(_signed_sum(
-        ["field", "term"], ["df"], [index.lexical.term_stats, new.term_stats], term_stats_of(old)
-    ).where(F.col("df") > 0), "term-stats").df
+    difference = store(_signed_sum(
+        ["field", "term"], ["df"], [new.term_stats], term_stats_of(old)).where(F.col("df") != 0), "term-changes").df
+    term_stats = (
+        index.lexical.term_stats.unionByName(difference).groupBy("field", "term")
+        .agg(F.sum("df").alias("df")).where(F.col("df") > 0)
+    )
     field_stats = store(with_average(_signed_sum(
         ["field"], ["n_docs", "total_dl"], [index.lexical.field_stats, new.field_stats], length_totals(old)
     ).where(F.col("n_docs") > 0)), "field-stats").df

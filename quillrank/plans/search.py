@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import (
-    DEFAULT_LIMIT, DEFAULT_THRESHOLD, EMBEDDING_TTL_SECONDS, MIN_LIMIT, RESULTS_TTL_SECONDS,
+    DEFAULT_LIMIT, DEFAULT_THRESHOLD, DEPTH_FACTOR, EMBEDDING_TTL_SECONDS, MIN_DEPTH, MIN_LIMIT, RESULTS_TTL_SECONDS,
     RetrievalConfig,
 )
 from quillrank.functions.embedders import QUERY, Scorer
 from quillrank.functions.keys import embedding_key, results_key
 from quillrank.operators import memo
+from quillrank.operators.corpus import documents_named
 from quillrank.operators.dense import knn_approx, knn_exact
 from quillrank.operators.fuse import cut, rerank_head, rrf_fuse, within_depth
 from quillrank.operators.lexical import bm25_top
@@ -21,6 +22,9 @@ from quillrank.sources.tables import in_bounds, with_query_defaults
 from quillrank.sources.workspace import Stored, store
 
 
+LONGEST_TTL_SECONDS = max(EMBEDDING_TTL_SECONDS, RESULTS_TTL_SECONDS)
+
+
 def validate(
     requests: DataFrame, cfg: RetrievalConfig = RetrievalConfig()
 ) -> tuple[DataFrame, DataFrame]:
@@ -38,16 +42,11 @@ def embed_queries(queries: DataFrame, index: SearchIndex) -> DataFrame:
 
 
 def _with_attributes(
-    ranked: DataFrame, corpus: DataFrame, columns: list[str], rows: int, cfg: RetrievalConfig
+    ranked: DataFrame, corpus: DataFrame, columns: list[str], cfg: RetrievalConfig
 ) -> DataFrame:
-    """Look up document columns for stored ranked rows, ``rows`` of them at most.
-
-    A short list is copied to the tasks that scan the corpus, which then is not
-    shuffled; a long one is joined by document id.
-    """
-    short = rows <= cfg.broadcast_rows
-    ids = ranked.select("doc_id").distinct()
-    found = corpus.select("doc_id", *columns).join(F.broadcast(ids) if short else ids, "doc_id", "left_semi")
+    """Look up document columns for stored ranked rows by the ids that occur in them."""
+    ids = store(ranked.select("doc_id").distinct(), "page-ids")
+    found = documents_named(corpus.select("doc_id", *columns), ids, cfg)
     return ranked.join(found, "doc_id", "left")
 
 
@@ -72,10 +71,10 @@ def hybrid_ranking(
     """
     if vectors is None:
         vectors = embed_queries(queries.df, index)
-    lexical = within_depth(bm25_top(queries.df, index.lexical, cfg, cfg.max_depth), queries.df)
-    dense = within_depth(
-        nearest_documents(vectors, index, cfg, cfg.max_depth), queries.df
-    )
+    # No query looks deeper than the one with the largest limit.
+    depth = min(cfg.max_depth, max(MIN_DEPTH, DEPTH_FACTOR * (queries.totals.get("most") or 0)))
+    lexical = within_depth(bm25_top(queries.df, index.lexical, cfg, depth), queries.df)
+    dense = within_depth(nearest_documents(vectors, index, cfg, depth), queries.df)
     ranked = rrf_fuse(lexical, dense, cfg.rrf_k)
     if scorer is None:
         return ranked
@@ -83,7 +82,7 @@ def hybrid_ranking(
     head = store(ranked, "fused")
     top = head.df.where(F.col("rank") <= cfg.rerank_top_k)
     texts = _with_attributes(
-        top, index.corpus, ["title", "synopsis"], queries.rows * cfg.rerank_top_k, cfg
+        top, index.corpus, ["title", "synopsis"], cfg
     ).join(queries.df.select("query_id", "q"), "query_id")
     scores = texts.select(
         "query_id", "doc_id",
@@ -104,9 +103,9 @@ def hybrid_search(
     be NULL. Rejected requests yield no rows; ``validate`` tells them apart.
     """
     accepted, _ = validate(requests, cfg)
-    queries = store(accepted, "queries")
+    queries = store(accepted, "queries", totals={"most": F.max("limit")})
     page = store(cut(hybrid_ranking(queries, index, cfg, scorer, vectors), queries.df, cfg.max_limit), "page")
-    shown = _with_attributes(page.df, index.corpus, ["title", "book_picture"], page.rows, cfg)
+    shown = _with_attributes(page.df, index.corpus, ["title", "book_picture"], cfg)
     return shown.select(
         "query_id", "rank", F.col("doc_id").alias("id"),
         F.coalesce("title", F.lit("")).alias("title"),
@@ -133,14 +132,14 @@ def memoised_search(
         "key", results_key(F.col("q"), F.col("limit"), F.col("threshold"), namespace)
     ), "keyed-queries").df
     # Both sides are settled before this search writes to the cache.
-    known = store(memo.lookup(keyed, cache, now).select(
+    known = store(memo.lookup(keyed, cache, now, LONGEST_TTL_SECONDS).select(
         "query_id", "key", F.from_json("payload", RESULT_ITEMS).alias("items"),
         F.lit("cache").alias("source"),
     ), "cache-hits").df
-    missing = store(memo.misses(keyed, cache, now), "cache-misses").df
+    missing = store(memo.misses(keyed, cache, now, LONGEST_TTL_SECONDS), "cache-misses").df
     unique = missing.dropDuplicates(["key"]).select(F.col("key").alias("query_id"), "q", "limit", "threshold")
     embedded = store(memo.memo_embeddings(
-        unique.select(F.col("q").alias("text")), cache, index.embedder, now, index.embedder.name
+        unique.select(F.col("q").alias("text")), cache, index.embedder, now, index.embedder.name, LONGEST_TTL_SECONDS
     ), "query-embeddings").df
     vectors = unique.join(embedded, unique["q"] == embedded["text"]).select("query_id", "vector")
     rows = hybrid_search(unique, index, cfg, scorer, vectors)

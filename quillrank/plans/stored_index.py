@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
 from quillrank.operators.dense import CellIndex
+from quillrank.operators.fuzzy import KEY_PART, in_key_folders
 from quillrank.operators.lexical import POSTINGS_ORDER, LexicalIndex
 from quillrank.plans.indexing import SearchIndex, rebuild
 from quillrank.sources.workspace import bucket_count, newest_row
 
 _MANIFEST = "version string, number long, buckets int, embedder string, config string, counts string, centers string"
-_PLAIN = ("term_stats", "field_stats", "keys")
+_PLAIN = ("term_stats", "field_stats")
 
 
 def _table_name() -> str:
@@ -54,6 +55,7 @@ def save_index(index: SearchIndex, path: str, cfg: RetrievalConfig) -> None:
     _bucketed(spark, postings.write.partitionBy("term_part"), f"{version}/postings", buckets, POSTINGS_ORDER)
     for name in _PLAIN:
         getattr(index.lexical, name).write.parquet(f"{version}/{name}")
+    in_key_folders(index.lexical.keys).write.partitionBy(KEY_PART).parquet(f"{version}/keys")
     if index.cells:
         index.cells.vectors.repartition("cell", "slice").write.partitionBy("cell").parquet(f"{version}/cells")
         index.cells.slices.write.parquet(f"{version}/slices")
@@ -96,7 +98,7 @@ def open_index(spark: SparkSession, path: str, embedder: Embedder) -> tuple[Sear
     settings["keyword_fields"] = tuple(settings["keyword_fields"])
     corpus = _opened(spark, f"{saved['version']}/corpus", saved["buckets"], None)
     postings = _opened(spark, f"{saved['version']}/postings", saved["buckets"], "term_part")
-    plain = {name: spark.read.parquet(f"{saved['version']}/{name}") for name in _PLAIN}
+    plain = {name: spark.read.parquet(f"{saved['version']}/{name}") for name in (*_PLAIN, "keys")}
     cells, centers = None, json.loads(saved["centers"] or "null")
     if centers:
         vectors = spark.read.parquet(f"{saved['version']}/cells")

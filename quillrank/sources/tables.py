@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrank import schema
+from quillrank.operators.topk import first_n
 
 
 def read_jdbc(
@@ -48,7 +49,7 @@ def scan_corpus(corpus: DataFrame, limit: int | None = None) -> DataFrame:
         F.col("doc_id").isNotNull() & (F.col("doc_id") != "")
         & F.col("title").isNotNull() & (F.col("title") != "")
     ).select("doc_id", "title", "synopsis")
-    return usable if limit is None else usable.orderBy("doc_id").limit(limit)
+    return usable if limit is None else first_n(usable, [F.asc("doc_id")], limit)
 
 
 def write_query_set(qrels: DataFrame, path: str) -> None:

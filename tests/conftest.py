@@ -17,6 +17,7 @@ def spark():
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="quillrank-wh-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillrank-shared-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -108,6 +108,25 @@ def test_cache_keeps_entries_of_any_life(spark, workdir):
     assert [r["key"] for r in spark.read.parquet(f"{workdir}/purged").collect()] == ["day"]
 
 
+def test_lookups_read_the_hours_that_can_be_alive(spark, workdir):
+    rows = spark.createDataFrame(
+        [(f"k{i}", 3600 if i % 2 else 600, f"2024-01-01 {i:02d}:30:00") for i in range(20)]
+        + [("k9", 60, "2024-01-01 10:10:00")], "k string, life int, t string")
+    cache = memo.entries(rows, F.col("k"), F.col("k"), F.col("t").cast("timestamp"), F.col("life"))
+    memo.append(cache, f"{workdir}/log")
+    stored = spark.read.parquet(f"{workdir}/log")
+    for now in ("2024-01-01 09:59:59", "2024-01-01 10:20:00", "2024-01-01 10:30:00", "2024-01-01 12:05:00"):
+        whole = sorted(r["key"] for r in memo.live(cache, at(now)).collect())
+        assert sorted(r["key"] for r in memo.live(stored, at(now), 3600).collect()) == whole
+    # Replaced by an entry that is gone already.
+    assert "k9" not in [r["key"] for r in memo.live(stored, at("2024-01-01 10:20:00"), 3600).collect()]
+    recent = memo.written_within(stored, at("2024-01-01 10:20:00"), 3600)
+    assert len(recent.inputFiles()) >= 20
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "written_hour" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert {r["written_hour"] % 24 for r in recent.select("written_hour").distinct().collect()} <= {9, 10}
+
+
 def test_only_unknown_texts_are_embedded(spark):
     texts = spark.createDataFrame([("a",), ("b",), ("a",)], "text string")
     now = at("2024-01-01 00:00:00")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from quillrank import HashingEmbedder, RetrievalConfig, bulk_index, evaluate
 from quillrank.operators.corpus import normalize
 from quillrank.operators.evaluate import (
-    generate_queries, judged, metrics_long, metrics_wide, style_counts, styled_queries,
+    generate_queries, metrics_long, metrics_wide, style_counts, styled_queries,
 )
+from quillrank.plans.evaluation import judge_runs
 
 BOOKS = [
     ("1", "Deep river crossing", "Deep river crossing by Ann Lee, Bob Ray. Published in 1999. Subjects: Rivers, Travel."),
@@ -49,7 +50,8 @@ def test_metrics_by_hand(spark):
         [(str(i), str(i), "keyword") for i in range(1, 5)], "query_id string, relevant_id string, style string")
     ranked = spark.createDataFrame(
         [("1", "1", 1), ("2", "x", 1), ("2", "2", 3), ("3", "3", 11)], "query_id string, doc_id string, rank int")
-    long = metrics_long(judged(qrels, ranked).withColumn("method", F.lit("m")))
+    runs = judge_runs(qrels, ranked.withColumn("method", F.lit("BM25")))
+    long = metrics_long(runs.where("method = 'BM25'").withColumn("method", F.lit("m")))
     got = {r["metric"]: r["value"] for r in long.collect()}
     assert got["Hit@1"] == 0.25 and got["Hit@5"] == 0.5 and got["Hit@10"] == 0.5
     assert got["MRR@10"] == pytest.approx((1 + 1 / 3) / 4)

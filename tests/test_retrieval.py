@@ -4,8 +4,6 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillrank import (
@@ -14,13 +12,13 @@ from quillrank import (
 )
 from quillrank import schema
 from quillrank.functions.vectors import dot, l2_norm, l2_normalize
-from quillrank.operators.corpus import normalize
-from quillrank.operators.dense import build_cells, knn_approx, knn_exact
-from quillrank.operators.fuzzy import expand_terms
+from quillrank.operators import topk
+from quillrank.operators.corpus import documents_named, normalize
+from quillrank.operators.dense import build_cells, knn_approx, knn_exact, knn_lsh
+from quillrank.operators.fuzzy import expand_terms, similar_terms
 from quillrank.operators.lexical import bm25_scores, bm25_top, query_weights
 from quillrank.operators.topk import top_k
 from quillrank.plans.stored_index import open_index, save_index
-from quillrank.sources.slots import slot_of, slot_ranges
 from quillrank.sources.workspace import store
 
 DOCS = [
@@ -141,23 +139,98 @@ def test_scoring_plan_has_one_shuffle(spark, index):
     assert "WindowGroupLimit" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_a_short_query_skips_the_slots_of_other_terms(spark, index):
-    weights = store(query_weights(queries_of(spark, a="garden"), index.lexical, RetrievalConfig(fuzzy=False)), "weights")
-    plan = bm25_scores(weights, index.lexical, RetrievalConfig(fuzzy=False))._jdf.queryExecution().toString()
-    (scan,) = [line for line in plan.splitlines() if "FileScan parquet" in line and "postings" in line][-1:]
-    slot = weights.df.select(slot_of(F.col("term"))).distinct().collect()[0][0]
-    pushed = scan.split("PushedFilters")[1]
-    assert f"GreaterThanOrEqual(slot,{slot})" in pushed and f"LessThanOrEqual(slot,{slot})" in pushed
-
-
-@given(st.sets(st.integers(0, 4095), max_size=200), st.integers(1, 70))
-def test_slot_ranges_hold_all_slots(slots, most):
-    ranges = slot_ranges(slots, most)
-    assert len(ranges) <= most and all(a <= b for a, b in ranges)
-    assert all(any(a <= s <= b for a, b in ranges) for s in slots)
-    assert all(ranges[i][1] + 1 < ranges[i + 1][0] for i in range(len(ranges) - 1))
-    if len(slots) <= most:
-        assert sum(b - a + 1 for a, b in ranges) == len(slots)
+def scans_of(df, label):
+    """Scans of a stored table in the plan that has run."""
+    seen, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if name.startswith("Scan parquet") and label in node.toString():
+            seen.append(node)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return seen
+
+
+def files_read(spark, df, label):
+    """Files that scans of a stored table have read, by the metrics of the run."""
+    df.collect()
+    return [scan.metrics().apply("numFiles").value() for scan in scans_of(df, label)]
+
+
+def test_a_short_query_reads_the_folders_of_its_terms(spark, index):
+    cfg = RetrievalConfig(fuzzy=False)
+    weights = store(query_weights(queries_of(spark, a="garden software birds"), index.lexical, cfg), "weights")
+    scores = bm25_scores(weights, index.lexical, cfg)
+    (scan,) = [line for line in scores._jdf.queryExecution().toString().splitlines()
+               if "FileScan parquet" in line and "postings" in line][-1:]
+    assert "dynamicpruning" in scan.split("PartitionFilters")[1]
+    folders = weights.df.select("term_part").distinct().count()
+    assert folders <= 3 and scores.count() > 0
+
+
+def test_a_short_query_reads_few_postings(spark):
+    cfg, (_, docs, _) = RetrievalConfig(
+        fuzzy=False, keyword_fields=(), field_weights=WEIGHTS, mapping_boosts={}, index_buckets=2), random_docs(spark, 200, 4)
+    index = bulk_index(docs, HashingEmbedder(), cfg)
+    words = [r["term"] for r in index.lexical.term_stats.select("term").distinct().orderBy("term").limit(2).collect()]
+    weights = store(query_weights(queries_of(spark, a=" ".join(words)), index.lexical, cfg), "weights")
+    scores = bm25_scores(weights, index.lexical, cfg)
+    whole = index.lexical.parts[0]
+    (some,), (every,) = files_read(spark, scores, "postings"), files_read(spark, whole, "postings")
+    assert 0 < some <= 2 * len(words) and every > some
+
+
+def test_a_short_query_reads_some_fuzzy_keys_only(spark, index):
+    wanted = store(spark.createDataFrame([("text", "brids")], "kind string, q_term string"), "wanted")
+    pairs = similar_terms(wanted.df, index.lexical.keys, RetrievalConfig(), wanted.rows)
+    assert {r["term"] for r in pairs.collect()} == {"birds"}
+    (some,), (every,) = files_read(spark, pairs, "fuzzy-keys"), files_read(spark, index.lexical.keys, "fuzzy-keys")
+    assert 0 < some < every / 3
+
+
+def test_a_page_of_documents_reads_their_buckets(spark):
+    cfg = RetrievalConfig(keyword_fields=(), field_weights=WEIGHTS, mapping_boosts={}, index_buckets=12)
+    _, docs, _ = random_docs(spark, 200, 5)
+    index = bulk_index(docs, HashingEmbedder(), cfg)
+    some = [r["doc_id"] for r in index.corpus.select("doc_id").orderBy("doc_id").limit(2).collect()]
+    ids = store(spark.createDataFrame([(i,) for i in some], "doc_id string"), "ids")
+    want = sorted(index.corpus.where(F.col("doc_id").isin(some)).collect())
+    for settings in ({}, {"lookup_rows": 0}, {"lookup_rows": 0, "broadcast_rows": 0}):
+        found = documents_named(index.corpus, ids, replace(cfg, **settings))
+        assert sorted(found.collect()) == want and len(want) == 2
+    found = documents_named(index.corpus, ids, cfg)
+    found.collect()
+    (scan,) = scans_of(found, "corpus")
+    assert scan.optionalBucketSet().get().cardinality() <= 2
+
+
+def test_changes_do_not_read_postings(spark):
+    cfg = RetrievalConfig(keyword_fields=(), field_weights=WEIGHTS, mapping_boosts={}, index_buckets=2)
+    _, docs, _ = random_docs(spark, 60, 6)
+    index = bulk_index(docs, HashingEmbedder(), cfg)
+    hidden = replace(index, lexical=replace(index.lexical, parts=(index.lexical.parts[0].where(
+        F.raise_error(F.lit("postings were read")).isNull()),)))
+    changed = apply_changes(hidden, docs.limit(5), cfg)
+    want = sorted(bulk_index(docs, HashingEmbedder(), cfg).lexical.term_stats.collect())
+    assert sorted(changed.lexical.term_stats.collect()) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 137, 499, 500, 900])
+def test_first_rows_of_ranges(spark, monkeypatch, n):
+    df = spark.range(500, numPartitions=6).select((F.col("id") * 7919 % 500).alias("a"), F.lit("x").alias("_range_"))
+    want = [(i, "x") for i in range(499, 499 - min(n, 500), -1)]
+    monkeypatch.setattr(topk, "SELECTED_ROWS", -1)
+    got = topk.first_n(df, [F.desc("a")], n)
+    assert sorted(map(tuple, got.collect()), reverse=True) == want and got.columns == df.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.replace("_cut", "") or "TakeOrdered" not in plan
 
 
 def test_top_k_is_the_same_for_any_merge_width(spark):
@@ -206,6 +279,25 @@ def test_exact_neighbours(spark, cloud, k, block):
     assert got == brute_neighbours(data, k)
 
 
+def test_exact_neighbours_are_one_job_for_any_number_of_queries(spark, cloud):
+    _, vectors, queries = cloud
+    small = knn_exact(queries, vectors, RetrievalConfig(query_block_rows=2, slice_rows=40), 5)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "Union" not in plan and "Cartesian" not in plan
+    assert as_lists(small) == as_lists(knn_exact(queries, vectors, RetrievalConfig(), 5))
+
+
+def test_hashed_neighbours(spark, cloud):
+    data, vectors, queries = cloud
+    wide = knn_lsh(queries, vectors, RetrievalConfig(), 10, bucket_length=50.0, tables=30)
+    assert as_lists(wide) == brute_neighbours(data, 10)
+    near = as_lists(knn_lsh(queries, vectors, RetrievalConfig(), 400, bucket_length=50.0, tables=30, least=0.5))
+    exact = as_lists(knn_exact(queries, vectors, RetrievalConfig(), 400))
+    assert near == {q: [(d, s) for d, s in rows if s >= 0.5] for q, rows in exact.items()}
+    some = as_lists(knn_lsh(queries, vectors, RetrievalConfig(), 10, bucket_length=0.3, tables=6))
+    assert all(dict(exact[q])[d] == s for q, rows in some.items() for d, s in rows)
+
+
 def test_vectors_that_are_missing_are_never_found(spark, cloud):
     _, vectors, queries = cloud
     holes = vectors.withColumn("vector", F.when(F.col("doc_id") != "v000", F.col("vector")))
@@ -415,8 +507,9 @@ def test_a_fuzzy_search_reads_stored_keys_only(spark, index):
     vocabulary = index.lexical.term_stats.where("field != 'genres'").withColumn("kind", F.lit("text"))
     found = expand_terms(wanted, vocabulary, index.lexical.keys, RetrievalConfig(), 1)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    # One generator for the keys of the query words, one for the distance; none over the vocabulary.
-    assert plan.count("Generate explode") == 2
+    # One generator for the keys of the query words, which also prune the folders, one for the
+    # distance; none over the vocabulary.
+    assert plan.count("Generate explode") == 3 and plan.count("dynamicpruning") == 1
     assert {r["term"] for r in found.collect()} == {"software"}
 
 

@@ -1,10 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quillrank.functions.edits import edits_within_two, probe_keys, vocabulary_keys
 from quillrank.functions.keys import decimal_text, embedding_key, results_key
 from quillrank.functions.text import (
     build_text, clean_list, first_non_empty, split_words, synopsis_authors, synopsis_subjects,
-    synopsis_year, term_frequencies, tokenize,
+    synopsis_year, term_frequencies, tokenize, tokenize_list,
 )
 
 
@@ -24,6 +25,28 @@ def test_tokens_keep_order_repeats_and_inner_marks(spark):
     assert one(spark, tokenize(F.col("s")), s=("string", " .,;")) == []
 
 
+# Cases of the Unicode word boundary rules.
+SEGMENTED = [
+    ("can't stop", ["can't", "stop"]), ("3.14 and 1,234.5", ["3.14", "and", "1,234.5"]), ("a.b a:b", ["a.b", "a:b"]),
+    ("ab''c", ["ab", "c"]), ("1a2 a1.2b", ["1a2", "a1.2b"]), ("a.1 1.a", ["a", "1", "1", "a"]), ("x,y", ["x", "y"]),
+    ("snake_case _x_ _", ["snake_case", "_x_"]), ("漢字かな", ["漢", "字", "か", "な"]), ("カタカナ漢", ["カタカナ", "漢"]),
+    ("東京タワー", ["東", "京", "タワー"]), ("テキストabc", ["テキスト", "abc"]), ("テキスト_abc", ["テキスト_abc"]),
+    ("한국어 텍스트", ["한국어", "텍스트"]), ("Привет, мир!", ["привет", "мир"]), ("e\u0301te\u0301", ["e\u0301te\u0301"]),
+    ("co\u00adop", ["co\u00adop"]), ("ภาษาไทย x", ["ภาษาไทย", "x"]), ("", []), (None, []), ("- . ! ", []),
+    ("a\u200bb", ["a", "b"]), ("l’été d'or", ["l’été", "d'or"]), ("w" * 600, ["w" * 255, "w" * 255, "w" * 90]),
+]
+
+
+def test_words_by_the_unicode_rules(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SEGMENTED)], "i int, t string")
+    found = {r["i"]: r["w"] for r in rows.select("i", tokenize(F.col("t"), "unicode").alias("w")).collect()}
+    assert found == {i: words for i, (_, words) in enumerate(SEGMENTED)}
+    lists = rows.select(tokenize_list(F.array(F.lit("漢字"), F.lit(None), F.lit("a b")), "unicode").alias("w")).first()["w"]
+    assert lists == ["漢", "字", "a", "b"]
+    with pytest.raises(ValueError):
+        tokenize(F.col("t"), "other")
+
+
 def test_term_frequencies_count_runs(spark):
     got = one(spark, term_frequencies(F.col("a")), a=("array<string>", list("abacaba")))
     assert [(r["term"], r["tf"]) for r in got] == [("a", 4), ("b", 2), ("c", 1)]

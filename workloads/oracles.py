@@ -231,7 +231,7 @@ FROM corpus"""
 ORACLES["build_text"] = f"""
 WITH {DOCUMENTS} SELECT doc_id, {DOC_TEXT} AS text FROM corpus"""
 
-ORACLES["corpus_scan"] = f"""
+ORACLES["corpus_scan"] = ORACLES["corpus_created"] = f"""
 WITH {DOCUMENTS}
 SELECT doc_id, title, synopsis FROM corpus WHERE doc_id <> '' AND title <> ''"""
 
@@ -240,6 +240,14 @@ WITH {BOOKS}
 SELECT CAST(id AS VARCHAR) AS doc_id, title, synopsis
 FROM books JOIN customer ON c_custkey = o_custkey ORDER BY doc_id LIMIT 2000"""
 
+ORACLES["corpus_half"] = f"""
+WITH {BOOKS},
+numbered AS (
+  SELECT CAST(id AS VARCHAR) AS doc_id, title, synopsis, row_number() OVER (ORDER BY CAST(id AS VARCHAR)) AS n,
+         count(*) OVER () AS total
+  FROM books JOIN customer ON c_custkey = o_custkey)
+SELECT doc_id, title, synopsis FROM numbered WHERE n <= total // 2"""
+
 ORACLES["corpus_count"] = "SELECT count(*) AS n_documents FROM documents"
 
 ORACLES["embed_documents"] = f"""
@@ -303,7 +311,7 @@ FROM arrived WHERE reason IS NULL"""
 ORACLES["rejected_events"] = f"""
 WITH {ENVELOPES} SELECT event_id, reason, body FROM arrived WHERE reason IS NOT NULL"""
 
-ORACLES["stream_upsert"] = ORACLES["stream_compacted"] = f"""
+ORACLES["stream_upsert"] = ORACLES["stream_compacted"] = ORACLES["stream_restarted"] = ORACLES["stream_replayed"] = f"""
 WITH {ENVELOPES}, {hashed('newest', 'doc_id', DOC_TEXT, 'dvec')}
 SELECT doc_id, title, synopsis, '' AS authors, '' AS publisher, '' AS book_picture,
        {CHECKSUM} AS vec_sum
@@ -347,6 +355,17 @@ WITH {DOCUMENTS}
 SELECT doc_id, len({words('synopsis')}) AS n_tokens, array_to_string({words('synopsis')}, ' ') AS tokens
 FROM corpus"""
 
+# Words of the scripts that occur: letters with marks between them, digits likewise.
+SEGMENTS = (
+    r"'_*(?:(?:[\p{Latin}µ]\p{M}*)+(?:[.:''’‘·](?:[\p{Latin}µ]\p{M}*)+)*|\p{Nd}+(?:[.,;''’‘]\p{Nd}+)*)+"
+    r"(?:_+(?:(?:[\p{Latin}µ]\p{M}*)+(?:[.:''’‘·](?:[\p{Latin}µ]\p{M}*)+)*|\p{Nd}+(?:[.,;''’‘]\p{Nd}+)*)+)*_*"
+    r"|[\p{Katakana}ー]+|\p{Han}|\p{Hiragana}'"
+)
+SEGMENTED = f"regexp_extract_all(lower('東京タワー と ' || synopsis || ' データ処理 snake_case 3.14 1,000 a:b'), {SEGMENTS})"
+ORACLES["tokenize_unicode"] = f"""
+WITH {DOCUMENTS}
+SELECT doc_id, len({SEGMENTED}) AS n_tokens, array_to_string({SEGMENTED}, ' ') AS tokens FROM corpus"""
+
 ORACLES["term_stats"] = f"""
 WITH {DOCUMENTS}, {POSTINGS} SELECT field, term, df FROM term_stats"""
 
@@ -411,7 +430,7 @@ WITH {CENTRES}
 SELECT d.doc_id, d.label, round(list_dot_product(d.vec, q.vec), 6) AS score
 FROM dvec d JOIN qvec q USING (label)"""
 
-ORACLES["knn_exact"] = ORACLES["knn_all_cells_vectors"] = f"""
+ORACLES["knn_exact"] = ORACLES["knn_all_cells_vectors"] = ORACLES["knn_lsh"] = f"""
 WITH {CENTRES}, {knn(20)} SELECT * FROM knn"""
 
 GIVEN_CELLS = """
@@ -436,6 +455,9 @@ WITH {CENTRES}, {knn(20)}, {GIVEN_CELLS}
 SELECT query_id, round(count(near.doc_id) / CAST(count(*) AS DOUBLE), 6) AS recall
 FROM knn LEFT JOIN near USING (query_id, doc_id) GROUP BY query_id"""
 
+ORACLES["knn_lsh_recall"] = f"""
+WITH {CENTRES}, {knn(20)} SELECT count(*) AS neighbours, 1 AS enough FROM knn"""
+
 ORACLES["knn_exact_documents"] = f"""
 WITH {DOCUMENTS}, {FREE_QUERIES}, {hashed('corpus', 'doc_id', DOC_TEXT, 'dvec')},
 {hashed('queries', 'query_id', 'q', 'qvec')}, {knn(20)} SELECT * FROM knn"""
@@ -557,7 +579,7 @@ SELECT key, CASE WHEN value >= 5 THEN CAST(event_id AS VARCHAR) END AS first_id,
        epoch_us(written_at) AS written_at, epoch_us(expires_at) AS expires_at
 FROM newest"""
 
-ORACLES["cache_lookup"] = f"""
+ORACLES["cache_lookup"] = ORACLES["cache_recent"] = f"""
 WITH {CACHE}
 SELECT q, CASE WHEN value < 5 THEN 0 ELSE 1 END AS n_items, epoch_us(expires_at) AS expires_at FROM live"""
 
@@ -671,7 +693,7 @@ qrels AS (
                     WHEN 'subject' THEN subject_query ELSE year_query END <> ''
   ORDER BY {draw('doc_id')}, doc_id LIMIT 100)"""
 
-ORACLES["gen_queries_mixed"] = f"""
+ORACLES["gen_queries_mixed"] = ORACLES["query_set_saved"] = f"""
 WITH {BOOKS}, {MIXED} SELECT query_id, query, relevant_id, style, title FROM qrels"""
 
 LABELS = ", ".join(f"('{s}', '{label}')" for s, label in STYLE_LABELS.items())

@@ -24,12 +24,14 @@ from quillrank.functions.text import (
 from quillrank.functions.vectors import dot, l2_norm, l2_normalize
 from quillrank.operators import evaluate, fuse, lexical, memo
 from quillrank.operators.corpus import assemble, assemble_fanout, embed, latest, spread, write_corpus
-from quillrank.operators.dense import build_cells, knn_approx, knn_exact
+from quillrank.operators.dense import build_cells, knn_approx, knn_exact, knn_lsh
 from quillrank.operators.fuzzy import expand_terms
 from quillrank.plans.evaluation import judge_runs, ranked_runs
 from quillrank.plans.stored_index import open_index, save_index
 from quillrank.schema import RESULT_ITEMS
-from quillrank.sources.tables import in_bounds, scan_corpus, with_query_defaults
+from quillrank.sources.tables import (
+    create_corpus_if_absent, in_bounds, read_corpus, read_query_set, scan_corpus, with_query_defaults, write_query_set,
+)
 from quillrank.sources.workspace import bucket_count, new_folder, store
 from quillrank.streaming import events as ev
 from quillrank.streaming import ingest
@@ -111,6 +113,23 @@ def corpus_page(spark, sf):
     return scan_corpus(b.order_documents(spark, sf), limit=2000)
 
 
+@query
+def corpus_created(spark, sf):
+    """A corpus that is created where there is none, filled, and left as it is when it is created again."""
+    path = new_folder(spark, "corpus")
+    create_corpus_if_absent(spark, path)
+    b.document_index(spark, sf).corpus.write.mode("append").parquet(path)
+    create_corpus_if_absent(spark, path)
+    return scan_corpus(read_corpus(spark, path))
+
+
+@query
+def corpus_half(spark, sf):
+    """The first half of all documents by id, a page too long for one task."""
+    books = b.order_documents(spark, sf)
+    return scan_corpus(books, limit=books.count() // 2)
+
+
 @query
 def corpus_count(spark, sf):
     return b.documents(spark, sf).agg(F.count(F.lit(1)).alias("n_documents"))
@@ -227,6 +246,14 @@ def tokenize_documents(spark, sf):
                        F.array_join("tokens", " ").alias("tokens"))
 
 
+@query
+def tokenize_unicode(spark, sf):
+    """Words of every document between pieces of scripts without spaces, by the Unicode rules."""
+    text = F.concat_ws(" ", F.lit("東京タワー と"), "synopsis", F.lit("データ処理 snake_case 3.14 1,000 a:b"))
+    docs = b.documents(spark, sf).select("doc_id", tokenize(text, "unicode").alias("tokens"))
+    return docs.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
 @query
 def term_stats(spark, sf):
     return b.document_index(spark, sf).lexical.term_stats
@@ -358,6 +385,23 @@ def knn_cells_recall(spark, sf):
         F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
 
 
+@query_named("knn_lsh")
+def knn_lsh_vectors(spark, sf):
+    """Neighbours by hashing with buckets so wide that none is missed."""
+    return knn_lsh(_centre_queries(spark, sf), b.vectors(spark, sf), b.config(), MIN_DEPTH, bucket_length=1.0)
+
+
+@query
+def knn_lsh_recall(spark, sf):
+    """Whether hashing with short buckets finds nine of ten exact neighbours of all queries together."""
+    queries, vectors = _centre_queries(spark, sf), b.vectors(spark, sf)
+    exact = knn_exact(queries, vectors, b.config(), MIN_DEPTH)
+    found = knn_lsh(queries, vectors, b.config(), MIN_DEPTH, bucket_length=0.15, tables=12)
+    hits = exact.join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("neighbours"),
+                    (F.count("hit") >= 0.9 * F.count(F.lit(1))).cast("int").alias("enough"))
+
+
 @query
 def knn_all_cells_vectors(spark, sf):
     cells = build_cells(b.vectors(spark, sf), 16)
@@ -502,6 +546,16 @@ def cache_lookup(spark, sf):
     return found.select("q", F.size(items).alias("n_items"), b.micros(F.col("expires_at")).alias("expires_at"))
 
 
+@query
+def cache_recent(spark, sf):
+    """The same lookup in a stored cache: no entry lives longer than an hour, older folders are not read."""
+    path = new_folder(spark, "memo-log")
+    memo.append(_cache_log(spark, sf), path)
+    found = memo.lookup(_cache_requests(spark, sf), spark.read.parquet(path), _now(spark, sf), 12 * RESULTS_TTL_SECONDS)
+    items = F.from_json("payload", RESULT_ITEMS)
+    return found.select("q", F.size(items).alias("n_items"), b.micros(F.col("expires_at")).alias("expires_at"))
+
+
 @query
 def cache_hits(spark, sf):
     return memo.hits(_cache_requests(spark, sf), _cache_log(spark, sf), _now(spark, sf))
@@ -592,15 +646,30 @@ def gen_queries_mixed(spark, sf):
     return _mixed(spark, sf)
 
 
+@query
+def query_set_saved(spark, sf):
+    """The mixed queries, saved as JSON lines and loaded again."""
+    path = new_folder(spark, "query-set")
+    write_query_set(_mixed(spark, sf), path)
+    return read_query_set(spark, path)
+
+
 @query
 def query_style_counts(spark, sf):
     return evaluate.style_counts(_mixed(spark, sf))
 
 
+_judgements: dict[tuple[str, str], DataFrame] = {}
+
+
 def _judged(spark, sf) -> DataFrame:
-    qrels = store(_mixed(spark, sf), "qrels").df
-    runs = ranked_runs(qrels, b.order_index(spark, sf), b.config())
-    return judge_runs(qrels, runs)
+    """Judged runs of all methods, made when a session first asks for them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _judgements:
+        qrels = store(_mixed(spark, sf), "qrels").df
+        runs = ranked_runs(qrels, b.order_index(spark, sf), b.config())
+        _judgements[key] = store(judge_runs(qrels, runs), "judged").df
+    return _judgements[key]
 
 
 @query
@@ -667,6 +736,31 @@ def stream_upsert(spark, sf):
     return _snapshot(spark, _ingested(spark, sf))
 
 
+@query
+def stream_restarted(spark, sf):
+    """Events that arrive in four files, the latest days first, one file in each micro-batch; the
+    ingest is started anew after every two of them and goes on where it stopped."""
+    path = new_folder(spark, "restarted")
+    events = b.envelopes(b.event_table(spark, sf))
+    for parts in ((3, 2), (1, 0)):
+        for part in parts:
+            events.where(F.dayofyear("ts") % 4 == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = ev.read_event_files(spark, f"{path}/in", max_files=1, fmt="parquet")
+        ingest.start_ingest(
+            stream, HashingEmbedder(), f"{path}/out", routing_key=b.ROUTING_KEY, once=True).awaitTermination()
+    return _snapshot(spark, f"{path}/out")
+
+
+@query
+def stream_replayed(spark, sf):
+    """The same micro-batch delivered twice, as after a failure before its commit."""
+    path = new_folder(spark, "replayed")
+    decoded = ev.decode(ev.routed(b.envelopes(b.event_table(spark, sf)), b.ROUTING_KEY))
+    for _ in range(2):
+        ingest.write_batch(decoded, 0, HashingEmbedder(), path)
+    return _snapshot(spark, path)
+
+
 @query
 def stream_compacted(spark, sf):
     """The same corpus, read from a snapshot of the log."""
