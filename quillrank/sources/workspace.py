@@ -13,7 +13,6 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,13 +110,10 @@ def bucket_count(spark: SparkSession, wanted: int | None = None) -> int:
 
 def newest_row(spark: SparkSession, path: str, schema: str, by: str) -> Row | None:
     """The row with the largest ``by`` of a small table, or None where nothing was written yet."""
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return None
-    return rows.orderBy(by, ascending=False).first()
+    return spark.read.schema(schema).parquet(path).orderBy(by, ascending=False).first()
 
 
 def store_bucketed(writer: DataFrameWriter, spark: SparkSession, label: str, buckets: int,
