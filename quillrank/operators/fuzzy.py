@@ -23,18 +23,13 @@ def keys_of(terms: DataFrame, parts: int) -> DataFrame:
     """``(_key, term, _part)``: every indexed term under all keys by which it can be found.
 
     The terms are small but each one is a lot of work, so they are spread over all
-    cores. Made once when an index is built, one folder for each ``_part``; searches
-    only read it.
+    cores, which write their keys where they are. Made once when an index is built, one
+    folder for each ``_part``; searches only read it.
     """
     cores = terms.sparkSession.sparkContext.defaultParallelism
     distinct = terms.select("term").repartition(cores, "term").distinct()
     keyed = distinct.select(F.explode(vocabulary_keys(F.col("term"))).alias("_key"), "term")
-    return in_key_folders(keyed.select("_key", "term", _key_part(parts)))
-
-
-def in_key_folders(keys: DataFrame) -> DataFrame:
-    """Keys as they are stored: those of a folder together, in order."""
-    return keys.repartition(KEY_PART).sortWithinPartitions(KEY_PART, "_key")
+    return keyed.select("_key", "term", _key_part(parts))
 
 
 def similar_terms(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
 from quillrank.operators.dense import CellIndex
-from quillrank.operators.fuzzy import KEY_PART, in_key_folders
+from quillrank.operators.fuzzy import KEY_PART
 from quillrank.operators.lexical import POSTINGS_ORDER, LexicalIndex
 from quillrank.plans.indexing import SearchIndex, rebuild
 from quillrank.sources.workspace import bucket_count, newest_row
@@ -55,7 +55,7 @@ def save_index(index: SearchIndex, path: str, cfg: RetrievalConfig) -> None:
     _bucketed(spark, postings.write.partitionBy("term_part"), f"{version}/postings", buckets, POSTINGS_ORDER)
     for name in _PLAIN:
         getattr(index.lexical, name).write.parquet(f"{version}/{name}")
-    in_key_folders(index.lexical.keys).write.partitionBy(KEY_PART).parquet(f"{version}/keys")
+    index.lexical.keys.write.partitionBy(KEY_PART).parquet(f"{version}/keys")
     if index.cells:
         index.cells.vectors.repartition("cell", "slice").write.partitionBy("cell").parquet(f"{version}/cells")
         index.cells.slices.write.parquet(f"{version}/slices")
