@@ -145,7 +145,7 @@ def documents_named(corpus: DataFrame, ids: Stored, cfg: RetrievalConfig) -> Dat
     if ids.rows <= cfg.lookup_rows:
         return corpus.where(F.col("doc_id").isin([r["doc_id"] for r in ids.df.select("doc_id").collect()]))
     wanted = ids.df.select("doc_id")
-    return corpus.join(F.broadcast(wanted) if ids.rows <= cfg.broadcast_rows else wanted, "doc_id", "left_semi")
+    return corpus.join(F.broadcast(wanted) if ids.weight <= cfg.broadcast_rows else wanted, "doc_id", "left_semi")
 
 
 def latest(versions: DataFrame, key: str, order: list[str], mode: str = "replace") -> DataFrame:

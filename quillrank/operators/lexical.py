@@ -153,15 +153,15 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
     number of documents that have the term in that field, ``avgdl`` the average
     length of the field.
     """
-    stored = store(query_terms(queries, cfg), "query-terms")
-    wanted = stored.df
+    wanted = store(query_terms(queries, cfg), "query-terms").df
     vocabulary = (
         index.term_stats.where(F.col("field").isin(list(cfg.field_weights)))
         .withColumn("kind", _field_kind(cfg))
     )
-    distinct = store(wanted.select("kind", "q_term").distinct(), "wanted-terms")
+    distinct = store(wanted.select("kind", "q_term").distinct(), "wanted-terms",
+                     totals={"chars": F.sum(F.length("q_term"))})
     if cfg.fuzzy:
-        expanded = expand_terms(distinct.df, vocabulary, index.keys, cfg, distinct.rows)
+        expanded = expand_terms(distinct.df, vocabulary, index.keys, cfg, distinct.weight)
         # All expansions of a term share the frequency of the most frequent one.
         expansions = Window.partitionBy("field", "q_term")
         expanded = expanded.withColumn("shared_df", F.max("df").over(expansions))
@@ -198,6 +198,7 @@ def bm25_top(
 
     Within a field the terms add up; over the fields the best one counts.
     """
-    scores = bm25_scores(store(query_weights(queries, index, cfg), "query-weights"), index, cfg)
+    weights = store(query_weights(queries, index, cfg), "query-weights", totals={"chars": F.sum(F.length("term"))})
+    scores = bm25_scores(weights, index, cfg)
     ranked = top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)
     return ranked.select("query_id", "rank", "doc_id", "score")

@@ -30,7 +30,7 @@ def matches(postings: DataFrame, weights: Stored, cfg: RetrievalConfig) -> DataF
     keys = ["term_part", "field", "term"]
     # True for every row; Spark prunes only by a side that is filtered.
     weighted = weights.df.drop("df").where(F.col("term_part") >= 0)
-    if weights.rows <= cfg.broadcast_rows:
+    if weights.weight <= cfg.broadcast_rows:
         return postings.join(F.broadcast(weighted), keys)
     # Too many query terms to copy to every task: shuffle both sides and spread
     # the postings of a frequent term over several tasks.

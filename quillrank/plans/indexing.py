@@ -86,8 +86,8 @@ def apply_changes(index: SearchIndex, documents: DataFrame, cfg: RetrievalConfig
     ``rebuild`` merges the parts.
     """
     change = bulk_index(documents, index.embedder, cfg)
-    ids = store(change.corpus.select("doc_id"), "changed-ids")
-    changed = F.broadcast(ids.df) if ids.rows <= cfg.broadcast_rows else ids.df
+    ids = store(change.corpus.select("doc_id"), "changed-ids", totals={"chars": F.sum(F.length("doc_id"))})
+    changed = F.broadcast(ids.df) if ids.weight <= cfg.broadcast_rows else ids.df
 
     replaced = documents_named(index.corpus, ids, cfg).select("doc_id", *cfg.field_weights)
     old = store(postings_of(analyze(replaced, cfg), cfg), "replaced-postings").df

@@ -45,7 +45,7 @@ def _with_attributes(
     ranked: DataFrame, corpus: DataFrame, columns: list[str], cfg: RetrievalConfig
 ) -> DataFrame:
     """Look up document columns for stored ranked rows by the ids that occur in them."""
-    ids = store(ranked.select("doc_id").distinct(), "page-ids")
+    ids = store(ranked.select("doc_id").distinct(), "page-ids", totals={"chars": F.sum(F.length("doc_id"))})
     found = documents_named(corpus.select("doc_id", *columns), ids, cfg)
     return ranked.join(found, "doc_id", "left")
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 _scratch: list[list[str]] = []
+_CHARS_PER_ROW = 16
 
 
 def workspace_root(spark: SparkSession) -> str:
@@ -76,6 +77,11 @@ class Stored:
     path: str
     totals: dict[str, Any]
 
+    @property
+    def weight(self) -> int:
+        """Rows to compare with a bound on rows; long texts, if ``chars`` were counted, weigh more."""
+        return max(self.rows, (self.totals.get("chars") or 0) // _CHARS_PER_ROW)
+
 
 def store(
     df: DataFrame, label: str, partition_by: str | None = None, totals: dict[str, Column] | None = None

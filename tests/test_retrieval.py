@@ -233,6 +233,13 @@ def test_first_rows_of_ranges(spark, monkeypatch, n):
     assert "SinglePartition" not in plan.replace("_cut", "") or "TakeOrdered" not in plan
 
 
+def test_long_texts_weigh_more_than_their_rows(spark):
+    rows = spark.createDataFrame([("x" * 3200,), ("y",)], "t string")
+    assert store(rows, "texts").weight == 2
+    assert store(rows, "texts", totals={"chars": F.sum(F.length("t"))}).weight == 200
+    assert store(rows.limit(0), "texts", totals={"chars": F.sum(F.length("t"))}).weight == 0
+
+
 def test_top_k_is_the_same_for_any_merge_width(spark):
     df = spark.range(2000, numPartitions=7).select(
         (F.col("id") % 3).alias("g"), (F.hash("id") % 50).alias("s"), "id")
