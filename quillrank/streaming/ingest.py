@@ -60,6 +60,14 @@ def start_ingest(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def finish(query: StreamingQuery) -> None:
+    """Process all that the source of a running query holds now, in batches of its size, and stop."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(f"{path}/log")
 

@@ -311,7 +311,7 @@ FROM arrived WHERE reason IS NULL"""
 ORACLES["rejected_events"] = f"""
 WITH {ENVELOPES} SELECT event_id, reason, body FROM arrived WHERE reason IS NOT NULL"""
 
-ORACLES["stream_upsert"] = ORACLES["stream_compacted"] = ORACLES["stream_restarted"] = ORACLES["stream_replayed"] = f"""
+ORACLES["stream_upsert"] = ORACLES["stream_compacted"] = ORACLES["stream_restarted"] = ORACLES["stream_replayed"] = ORACLES["stream_event_log"] = f"""
 WITH {ENVELOPES}, {hashed('newest', 'doc_id', DOC_TEXT, 'dvec')}
 SELECT doc_id, title, synopsis, '' AS authors, '' AS publisher, '' AS book_picture,
        {CHECKSUM} AS vec_sum

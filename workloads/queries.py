@@ -33,6 +33,7 @@ from quillrank.sources.tables import (
     create_corpus_if_absent, in_bounds, read_corpus, read_query_set, scan_corpus, with_query_defaults, write_query_set,
 )
 from quillrank.sources.workspace import bucket_count, new_folder, store
+from quillrank.streaming import event_log
 from quillrank.streaming import events as ev
 from quillrank.streaming import ingest
 from workloads import bindings as b
@@ -751,6 +752,27 @@ def stream_restarted(spark, sf):
     return _snapshot(spark, f"{path}/out")
 
 
+@query
+def stream_event_log(spark, sf):
+    """Events in three segments of a log, the latest days first. The ingest stops after a part of them,
+    within a segment, and a new one goes on from there in batches of the same size."""
+    path = new_folder(spark, "event-log")
+    events = b.envelopes(b.event_table(spark, sf))
+    for number, part in enumerate((2, 1, 0)):
+        event_log.append_segment(events.where(F.dayofyear("ts") % 3 == part), f"{path}/in", number)
+    limit = max(events.count() // 5, 1)
+
+    def start(once: bool):
+        stream = event_log.read_event_log(
+            spark, f"{path}/in", routing_key=b.ROUTING_KEY, max_events=limit, events_per_task=max(limit // 3, 1))
+        return ingest.start_ingest(
+            stream, HashingEmbedder(), f"{path}/out", routing_key=b.ROUTING_KEY, once=once)
+
+    start(once=True).awaitTermination()
+    ingest.finish(start(once=False))
+    return _snapshot(spark, f"{path}/out")
+
+
 @query
 def stream_replayed(spark, sf):
     """The same micro-batch delivered twice, as after a failure before its commit."""
