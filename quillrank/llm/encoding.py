@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from quillrank.llm.tables import text_rows
 
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer words are merged anew in every text, so that what a task keeps is bounded in bytes.
+LONGEST_KEPT = 32
 
 
 def byte_letters() -> list[str]:
@@ -106,9 +108,10 @@ class BytePairCodec:
             pass
         if len(known) > self.remembered:
             known.clear()
+        long_ones: dict[str, bytes] = {}
         for w in set(words).difference(known):
-            known[w] = np.array(self.merge_word(w.encode()), "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            (known if len(w) <= LONGEST_KEPT else long_ones)[w] = np.array(self.merge_word(w.encode()), "<u4").tobytes()
+        return b"".join([known.get(w) or long_ones[w] for w in words])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

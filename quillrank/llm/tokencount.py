@@ -29,6 +29,8 @@ from quillrank.llm.encoding import vocabulary_path
 from quillrank.llm.tables import text_rows
 
 MARK = "▁"
+#: Longer units are counted anew wherever they occur, so that what a task keeps is bounded in bytes.
+LONGEST_KEPT = 64
 
 
 class PrefixCounter:
@@ -108,6 +110,7 @@ class PrefixCounter:
         known = self.known
         if len(known) > self.remembered:
             known.clear()
+        long_ones: dict[bytes, int] = {}
         before, counts, last, begin = "", [0], [""], [0]
         for raw in sorted(u for u in units if u not in known):
             unit = raw.decode().replace(" ", MARK)
@@ -118,9 +121,9 @@ class PrefixCounter:
                 shared += 1
             del counts[shared + 1 :], last[shared + 1 :], begin[shared + 1 :]
             self._extend(unit, counts, last, begin)
-            known[raw] = counts[-1]
+            (known if len(raw) <= LONGEST_KEPT else long_ones)[raw] = counts[-1]
             before = unit
-        return np.array([known[u] for u in units], np.int64)
+        return np.array([known[u] if u in known else long_ones[u] for u in units], np.int64)
 
     def running(self, block: Block) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
         """Units of a block and the running token count before each.

@@ -560,3 +560,25 @@ def test_without_labels(docs, spark):
     judged = quality.judge_quality(docs, quality.fit_quality(docs, none))
     assert not judged.where("kept = base_failed").count()
     assert {r["score"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, none)).collect()} == {0.0}
+
+
+def test_long_words_are_not_kept():
+    """What a task keeps of an unspaced script is bounded in bytes; its counts and ids equal the libraries'."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = ["語" * n + "文" * (n % 7) for n in range(1, 400, 13)]
+    texts += [f"short {'x' * (n + 1)} und {t}" for n, t in enumerate(texts)] * 2
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, counter = sentencepiece.SentencePieceProcessor(model_file=path), tokencount.PrefixCounter(path)
+    units = sorted({u.encode() for t in texts for u in (" " + p for p in t.split(" "))})
+    assert counter.unit_counts(units).tolist() == [len(model.encode(u.decode()[1:])) for u in units]
+    assert max(map(len, counter.known)) <= tokencount.LONGEST_KEPT < max(map(len, units))
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, codec = Tokenizer.from_file(path), encoding.BytePairCodec(path)
+    for text in texts:
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == expected
+    assert max(map(len, codec.known)) <= encoding.LONGEST_KEPT
