@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
 from quillrank.functions.edits import allowed_edits, edits_within_two, probe_keys, vocabulary_keys
+from quillrank.operators.scoring import stats_of
 from quillrank.operators.topk import top_k
+from quillrank.sources.workspace import store
 
 
 KEY_PART = "_part"
@@ -71,10 +73,17 @@ def expand_terms(
     Every query term keeps its ``max_expansions`` closest terms of each field;
     equally close ones are taken in alphabetical order. The number is part of the
     definition of fuzzy matching, not a limit on work.
+
+    The pairs are written and counted first. Few of them are copied to the tasks that
+    read the vocabulary, ``(kind, field, term, df)``; only its rows of similar terms are
+    shuffled, to be summed up where updates have added to it.
     """
-    pairs = similar_terms(wanted, keys, cfg, wanted_rows)
+    pairs = store(similar_terms(wanted, keys, cfg, wanted_rows), "similar-terms",
+                  totals={"chars": F.sum(F.length("term") + F.length("q_term"))})
+    similar = F.broadcast(pairs.df) if pairs.weight <= cfg.broadcast_rows else pairs.df
+    known = stats_of(vocabulary, similar.select("term"))
     shorter = F.least(F.length("q_term"), F.length("term"))
-    boosted = pairs.join(vocabulary, ["kind", "term"]).withColumn(
+    boosted = known.join(similar, ["kind", "term"]).withColumn(
         "boost", 1.0 - F.col("edits") / shorter
     )
     best = top_k(

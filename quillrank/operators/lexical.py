@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillrank.config import MAX_DEPTH, RetrievalConfig
 from quillrank.functions.text import clean_list, term_frequencies, tokenize, tokenize_list
 from quillrank.operators.fuzzy import KEY_PART, expand_terms, keys_of
-from quillrank.operators.scoring import best_field, scored_parts, term_part
+from quillrank.operators.scoring import best_field, scored_parts, stats_of, term_part
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed
 
@@ -80,12 +80,21 @@ def with_average(totals: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings in one or more parts that share no document, and statistics over all of them."""
+    """Postings in one or more parts that share no document, and statistics over all of them.
+
+    ``term_rows`` are the rows whose sums are the term statistics of a changed index.
+    """
 
     parts: tuple[DataFrame, ...]
     term_stats: DataFrame
     field_stats: DataFrame
     keys: DataFrame
+    term_rows: DataFrame | None = None
+
+    @property
+    def term_log(self) -> DataFrame:
+        """Term statistics before they are summed up, for look-ups of few terms."""
+        return self.term_stats if self.term_rows is None else self.term_rows
 
 
 def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig) -> LexicalIndex:
@@ -155,7 +164,7 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
     """
     wanted = store(query_terms(queries, cfg), "query-terms").df
     vocabulary = (
-        index.term_stats.where(F.col("field").isin(list(cfg.field_weights)))
+        index.term_log.where(F.col("field").isin(list(cfg.field_weights)))
         .withColumn("kind", _field_kind(cfg))
     )
     distinct = store(wanted.select("kind", "q_term").distinct(), "wanted-terms",
@@ -167,8 +176,7 @@ def query_weights(queries: DataFrame, index: LexicalIndex, cfg: RetrievalConfig)
         expanded = expanded.withColumn("shared_df", F.max("df").over(expansions))
     else:
         named = distinct.df.withColumnRenamed("q_term", "term")
-        # Spark moves the semi join below the sums of a changed index.
-        known = vocabulary.join(named.select("term"), "term", "left_semi")
+        known = stats_of(vocabulary, named.select("term"))
         expanded = known.join(named, ["kind", "term"]).select("kind", "field", F.col("term").alias("q_term"), "term",
                  F.lit(1.0).alias("boost"), "df", F.col("df").alias("shared_df"))
     stats = index.field_stats.select("field", "n_docs", "avgdl")

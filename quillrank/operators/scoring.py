@@ -16,6 +16,17 @@ from quillrank.config import RetrievalConfig
 from quillrank.sources.workspace import Stored
 
 
+def stats_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Statistics of ``terms``: their ``rows`` alone are read on and summed up.
+
+    Updates of an index add signed rows, so a term can have several, and none is left
+    of a term whose sum is zero.
+    """
+    keys = [c for c in rows.columns if c != "df"]
+    known = rows.join(terms, "term", "left_semi")
+    return known.groupBy(*keys).agg(F.sum("df").alias("df")).where(F.col("df") > 0)
+
+
 def term_part(cfg: RetrievalConfig, term: Column) -> Column:
     """Folder of the index that holds a term."""
     return F.pmod(F.xxhash64(term), F.lit(cfg.term_partitions)).cast("int")

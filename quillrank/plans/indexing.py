@@ -94,10 +94,8 @@ def apply_changes(index: SearchIndex, documents: DataFrame, cfg: RetrievalConfig
     new = change.lexical
     difference = store(_signed_sum(
         ["field", "term"], ["df"], [new.term_stats], term_stats_of(old)).where(F.col("df") != 0), "term-changes").df
-    term_stats = (
-        index.lexical.term_stats.unionByName(difference).groupBy("field", "term")
-        .agg(F.sum("df").alias("df")).where(F.col("df") > 0)
-    )
+    term_rows = index.lexical.term_log.unionByName(difference)
+    term_stats = term_rows.groupBy("field", "term").agg(F.sum("df").alias("df")).where(F.col("df") > 0)
     field_stats = store(with_average(_signed_sum(
         ["field"], ["n_docs", "total_dl"], [index.lexical.field_stats, new.field_stats], length_totals(old)
     ).where(F.col("n_docs") > 0)), "field-stats").df
@@ -108,7 +106,8 @@ def apply_changes(index: SearchIndex, documents: DataFrame, cfg: RetrievalConfig
     corpus = index.corpus.join(changed, "doc_id", "left_anti").unionByName(change.corpus)
     cells = index.cells and change_cells(index.cells, changed, change.vectors)
     return SearchIndex(
-        corpus, LexicalIndex((*kept, *new.parts), term_stats, field_stats, keys), index.embedder, change.counts, cells
+        corpus, LexicalIndex((*kept, *new.parts), term_stats, field_stats, keys, term_rows), index.embedder,
+        change.counts, cells,
     )
 
 

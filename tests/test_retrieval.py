@@ -511,15 +511,40 @@ def test_last_row_of_a_repeated_id_is_indexed(spark, corpus):
 
 def test_a_fuzzy_search_reads_stored_keys_only(spark, index):
     wanted = spark.createDataFrame([("text", "sofwtare")], "kind string, q_term string")
-    vocabulary = index.lexical.term_stats.where("field != 'genres'").withColumn("kind", F.lit("text"))
-    found = expand_terms(wanted, vocabulary, index.lexical.keys, RetrievalConfig(), 1)
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = similar_terms(wanted, index.lexical.keys, RetrievalConfig(), 1)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     # One generator for the keys of the query words, which also prune the folders, one for the
     # distance; none over the vocabulary.
     assert plan.count("Generate explode") == 3 and plan.count("dynamicpruning") == 1
+    vocabulary = index.lexical.term_stats.where("field != 'genres'").withColumn("kind", F.lit("text"))
+    found = expand_terms(wanted, vocabulary, index.lexical.keys, RetrievalConfig(), 1)
     assert {r["term"] for r in found.collect()} == {"software"}
 
 
+@pytest.mark.parametrize("broadcast_rows", [2_000_000, 0])
+def test_a_fuzzy_search_sums_the_changes_of_similar_terms_only(spark, broadcast_rows):
+    cfg = RetrievalConfig(
+        keyword_fields=(), field_weights=WEIGHTS, mapping_boosts={}, broadcast_rows=broadcast_rows)
+    _, first, asked = random_docs(spark, 60, 1)
+    _, second, _ = random_docs(spark, 20, 2)
+    changed = apply_changes(bulk_index(first, HashingEmbedder(), cfg), second, cfg)
+    words = [(w,) for w in next(iter(asked.values())).split()[:1]]
+    wanted = spark.createDataFrame(words, "q_term string").withColumn("kind", F.lit("text"))
+    rows_of_terms = changed.lexical.term_log.withColumn("kind", F.lit("text"))
+    found = expand_terms(wanted, rows_of_terms, changed.lexical.keys, cfg, len(words))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # One sum, over the rows of similar terms in the stored statistics and in the signed rows.
+    assert plan.count("sum(df") == 1 and plan.count("Join LeftSemi") == 2
+    assert plan.index("sum(df") < plan.index("Join LeftSemi")
+    assert ("strategy=broadcast" in plan) == (broadcast_rows > 0)
+    df = {(r["field"], r["term"]): r["df"] for r in changed.lexical.term_stats.collect()}
+    rows = found.collect()
+    assert rows and all(df[r["field"], r["term"]] == r["df"] for r in rows)
+    near = {(r["kind"], r["q_term"], r["term"]) for r in similar_terms(wanted, changed.lexical.keys, cfg, 1).collect()}
+    assert {(r["q_term"], r["field"], r["term"]) for r in rows} == {
+        (q, field, term) for _, q, term in near for field in WEIGHTS if (field, term) in df}
+
+
 def test_saved_index_opens_in_another_session(spark, index, workdir):
     cfg = RetrievalConfig(k1=1.1)
     asked = requests(spark, [("a", "software garden", 3, 0.0), ("b", "brids", 2, 0.0)])
