@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quillrank.llm import (
     encoding, language, licenses, mixing, neighbours, quality, simhash, suffixes, tokencount, toxicity,
@@ -106,6 +107,26 @@ def test_quality_ratio_is_that_of_the_multinomials(spark):
     assert not any(rows[i]["kept"] for i, _ in junk)
 
 
+def test_quality_learns_from_all_trusted_documents(spark):
+    """More of them than the 20,000 that were once taken."""
+    docs = spark.range(20_400).select(
+        F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda j: F.xxhash64("id", j)), " ").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    found = quality.fit_quality(docs, labels)
+    every = quality.fit_quality(docs, labels, quality.QualityConfig(trusted_limit=30_000, broadcast_rows=0))
+    assert (found.log_ratio == every.log_ratio).all() and found.threshold == every.threshold
+    halves = {r["doc_id"]: r["fitted"] for r in quality.trusted_halves(labels).df.collect()}
+    assert halves == {i: i % 2 == 0 for i in range(20_400)}
+
+
+def test_quality_quantile_is_that_of_all_scores(spark):
+    values = [(i * 37 % 101) / 7 for i in range(500)]
+    scores = spark.createDataFrame([(v,) for v in values], "score double")
+    for share in (0.0, 0.002, 0.3, 1.0):
+        assert quality.low_quantile(scores, share) == pytest.approx(np.quantile(values, share), abs=1e-12)
+    assert quality.low_quantile(scores.limit(0), 0.5) is None
+
+
 def test_toxicity_learns_and_ignores_the_held_out_fold(spark):
     rude = ["stupid", "idiot", "trash"]
     rows, marks = [], []
