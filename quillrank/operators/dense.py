@@ -1,6 +1,7 @@
 """Nearest neighbours of query vectors.
 
-The exact search is a grid: documents are cut into slices, queries into blocks, and
+The exact search copies one block of queries to the tasks that read the documents, which
+do not move. More queries make it a grid: documents are cut into slices, queries into blocks, and
 each slice meets each block in one group, which keeps the best ``k`` documents of every
 query; only those few rows are merged. Both have a bounded size, and any number of
 queries is one job.
@@ -13,6 +14,7 @@ queries that probe its cell in one group and is multiplied with those alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -57,6 +59,8 @@ def knn_exact(
     """
     asked = store(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"), "query-vectors")
     held = vectors.where(F.col("vector").isNotNull()).select("doc_id", "vector")
+    if asked.rows <= cfg.query_block_rows:
+        return _best(_scored_where_they_are(asked.df, held, depth, cfg), depth)
     rows, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
     # Small tables are cut finer, so that all cores have a part.
     slices = max(1, min(-(-rows // _FEWEST_ROWS), max(-(-rows // cfg.slice_rows), 2 * cores)))
@@ -67,6 +71,24 @@ def knn_exact(
     return _best(_scored(left, right, ["slice", "part"], depth, cfg), depth)
 
 
+def _scored_where_they_are(queries: DataFrame, documents: DataFrame, depth: int, cfg: RetrievalConfig) -> DataFrame:
+    """Best documents of each slice that a task reads, for one block of queries."""
+    shared = documents.sparkSession.sparkContext.broadcast(queries.toArrow())
+    score, rows = _score_group(depth, cfg.score_digits), cfg.slice_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= rows:
+                yield from score(shared.value, pa.Table.from_batches(held)).to_batches()
+                held.clear()
+        if held:
+            yield from score(shared.value, pa.Table.from_batches(held)).to_batches()
+
+    return documents.mapInArrow(run, _SCORED)
+
+
 def knn_lsh(
     queries: DataFrame, vectors: DataFrame, cfg: RetrievalConfig, depth: int = MAX_DEPTH, *,
     bucket_length: float = 0.25, tables: int = 16, least: float = -1.0, seed: int = 42,
