@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillrank.config import MAX_DEPTH, RetrievalConfig
 from quillrank.functions.text import clean_list, term_frequencies, tokenize, tokenize_list
 from quillrank.operators.fuzzy import KEY_PART, expand_terms, keys_of
-from quillrank.operators.scoring import best_field, scored_parts, stats_of, term_part
+from quillrank.operators.scoring import best_field, best_scored, scored_parts, stats_of, term_part
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed
 
@@ -207,6 +207,9 @@ def bm25_top(
     Within a field the terms add up; over the fields the best one counts.
     """
     weights = store(query_weights(queries, index, cfg), "query-weights", totals={"chars": F.sum(F.length("term"))})
-    scores = bm25_scores(weights, index, cfg)
+    if weights.weight <= cfg.broadcast_rows:
+        scores = best_scored(index.parts, weights, cfg, depth)
+    else:
+        scores = bm25_scores(weights, index, cfg)
     ranked = top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], depth)
     return ranked.select("query_id", "rank", "doc_id", "score")

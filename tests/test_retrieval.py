@@ -12,7 +12,7 @@ from quillrank import (
 )
 from quillrank import schema
 from quillrank.functions.vectors import dot, l2_norm, l2_normalize
-from quillrank.operators import topk
+from quillrank.operators import scoring, topk
 from quillrank.operators.corpus import documents_named, normalize
 from quillrank.operators.dense import build_cells, knn_approx, knn_exact, knn_lsh
 from quillrank.operators.fuzzy import expand_terms, similar_terms
@@ -560,3 +560,40 @@ def test_saved_index_opens_in_another_session(spark, index, workdir):
         open_index(spark, f"{workdir}/nothing", HashingEmbedder())
     with pytest.raises(ValueError):
         open_index(spark, f"{workdir}/books", HashingEmbedder(2))
+
+
+def test_few_queries_are_scored_where_the_documents_are(spark):
+    cfg = RetrievalConfig(fuzzy=False, keyword_fields=(), field_weights=WEIGHTS, mapping_boosts={}, index_buckets=3)
+    _, docs, _ = random_docs(spark, 300, 8)
+    index = bulk_index(docs, HashingEmbedder(), cfg)
+    words = [r["term"] for r in index.lexical.term_stats.select("term").distinct().orderBy("term").collect()]
+    queries = queries_of(spark, **{f"q{i}": " ".join(words[i : i + 1 + i % 9]) for i in range(60)})
+    many = replace(cfg, broadcast_rows=0)
+    for depth in (1, 7, 400):
+        few = bm25_top(queries, index.lexical, cfg, depth)
+        assert sorted(few.collect()) == sorted(bm25_top(queries, index.lexical, many, depth).collect())
+    # A posting is read once for all queries instead of once for each, and never moved.
+    assert "MapInArrow" in few._jdf.queryExecution().executedPlan().toString()
+    nearest = knn_exact(
+        queries.select("query_id", HashingEmbedder().column(F.col("q")).alias("vector")), index.vectors, cfg, 7)
+    assert "CoGroups" not in nearest._jdf.queryExecution().executedPlan().toString()
+    grid = knn_exact(
+        queries.select("query_id", HashingEmbedder().column(F.col("q")).alias("vector")), index.vectors,
+        replace(cfg, query_block_rows=7), 7)
+    assert sorted(nearest.collect()) == sorted(grid.collect())
+
+
+def test_blocks_of_documents_do_not_change_the_scores(spark, monkeypatch):
+    cfg = RetrievalConfig(fuzzy=False, keyword_fields=(), field_weights=WEIGHTS, mapping_boosts={}, index_buckets=2)
+    _, docs, _ = random_docs(spark, 200, 9)
+    index = bulk_index(docs, HashingEmbedder(), cfg)
+    words = [r["term"] for r in index.lexical.term_stats.select("term").distinct().orderBy("term").limit(40).collect()]
+    queries = queries_of(spark, a=" ".join(words), b=" ".join(words[:3]), c=words[0], d="unknownword")
+    weights = store(query_weights(queries, index.lexical, cfg), "weights")
+    want = sorted(top_k(bm25_scores(weights, index.lexical, cfg), ["query_id"], [F.desc("score"), F.asc("doc_id")], 5).collect())
+    numbered = scoring.best_scored(index.lexical.parts, weights, cfg, 5)
+    assert sorted(top_k(numbered, ["query_id"], [F.desc("score"), F.asc("doc_id")], 5).collect()) == want
+    monkeypatch.setattr(scoring, "_PAIRS", 1)
+    monkeypatch.setattr(scoring, "_KEPT", 4)
+    small = scoring.best_scored(index.lexical.parts, weights, cfg, 5)
+    assert sorted(top_k(small, ["query_id"], [F.desc("score"), F.asc("doc_id")], 5).collect()) == want
