@@ -7,11 +7,15 @@ comparison of everything with everything would find.
 Keys are 64-bit hashes; two different keys with one hash only add a candidate
 that the verification drops.
 
-* Up to ``DELETE_LENGTH`` characters the keys are the word with up to ``d``
-  characters left out.
-* Longer words would have too many of those. They are cut into ``2 * d + 1``
-  pieces instead: an edit spoils at most two pieces, so one survives unchanged
-  within ``d`` positions of where it was.
+* Indexed words of up to ``DELETE_LENGTH`` characters have as keys the word with up to
+  ``d`` characters left out, whose number grows with the square of the length.
+* Up to ``HALF_LENGTH`` characters they are cut in two halves. Two edits spoil one of
+  them at most once, a swap across the cut being one edit in each, so the keys are each
+  half and what is left of it after leaving out one character.
+* Longer words are cut into ``2 * d + 1`` pieces: an edit spoils at most two pieces, so
+  one survives unchanged within ``d`` positions of where it was.
+
+Query words look under the keys of all lengths that are near enough.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 from quillrank.functions.lets import let
 
 MAX_EDITS = 2
-DELETE_LENGTH = 20
+DELETE_LENGTH = 9
+HALF_LENGTH = 20
 PIECES = 2 * MAX_EDITS + 1
 
 
@@ -62,6 +67,46 @@ def _delete_keys(word: Column, depth: Column) -> Column:
     return F.concat(F.array(F.xxhash64(word)), F.when(depth >= 1, fewer).otherwise(_no_keys()))
 
 
+def _half_key(side: int, size: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit(side), size, text)
+
+
+def _half_less_one(side: int, size: Column, text: Column) -> Column:
+    return F.transform(_numbers(F.lit(1), F.length(text)), lambda place: _half_key(side, size, _without(text, place)))
+
+
+def _cut(size: Column) -> Column:
+    """Length of the first half."""
+    return F.floor(size / 2).cast("int")
+
+
+def _half_keys(word: Column) -> Column:
+    def keys(side: int, half: Column) -> Column:
+        return let(half, lambda text: F.concat(
+            F.array(_half_key(side, F.length(text), text)), _half_less_one(side, F.length(text), text)))
+
+    first = _cut(F.length(word))
+    return F.concat(keys(0, F.substring(word, F.lit(1), first)), keys(1, F.substring(word, first + 1, F.length(word))))
+
+
+def _half_probe_keys(word: Column) -> Column:
+    own = F.length(word)
+
+    def part(side: int, length: Column) -> Column:
+        return F.substring(word, F.lit(1) if side == 0 else own - length + 1, length)
+
+    def of_half(side: int, size: Column) -> Column:
+        same = part(side, size)
+        return F.concat(
+            F.array(_half_key(side, size, same), _half_key(side, size, part(side, size - 1))),
+            _half_less_one(side, size, same), _half_less_one(side, size, part(side, size + 1)),
+        )
+
+    sizes = _numbers(F.greatest(own - MAX_EDITS, F.lit(DELETE_LENGTH + 1)), F.least(own + MAX_EDITS, F.lit(HALF_LENGTH)))
+    return F.flatten(F.transform(sizes, lambda size: F.concat(
+        of_half(0, _cut(size)), of_half(1, size - _cut(size)))))
+
+
 def _piece_start(size: Column, piece: Column) -> Column:
     return F.floor(size * piece / F.lit(PIECES)).cast("int") + 1
 
@@ -96,29 +141,29 @@ def _piece_probe_keys(word: Column) -> Column:
 
     shifts = F.sequence(F.lit(-MAX_EDITS), F.lit(MAX_EDITS))
     keys = F.flatten(F.flatten(F.transform(
-        F.sequence(own - MAX_EDITS, own + MAX_EDITS),
+        _numbers(F.greatest(own - MAX_EDITS, F.lit(HALF_LENGTH + 1)), own + MAX_EDITS),
         lambda size: F.transform(_pieces(), lambda piece: F.transform(
             shifts, lambda shift: at(size, piece, shift))),
     )))
-    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
+    return F.filter(keys, lambda k: k.isNotNull())
 
 
 def probe_keys(word: Column) -> Column:
     """Keys under which a query word looks for its neighbours."""
-    return F.when(F.length(word) <= DELETE_LENGTH, _delete_keys(word, allowed_edits(word))).otherwise(
-        _piece_probe_keys(word)
-    )
+    size = F.length(word)
+    return F.array_distinct(F.concat(
+        F.when(size <= DELETE_LENGTH + MAX_EDITS, _delete_keys(word, allowed_edits(word))).otherwise(_no_keys()),
+        F.when(size.between(DELETE_LENGTH + 1 - MAX_EDITS, HALF_LENGTH + MAX_EDITS), _half_probe_keys(word)).otherwise(_no_keys()),
+        F.when(size > HALF_LENGTH - MAX_EDITS, _piece_probe_keys(word)).otherwise(_no_keys()),
+    ))
 
 
 def vocabulary_keys(word: Column) -> Column:
     """Keys under which an indexed word can be found."""
     size = F.length(word)
     depth = F.when(size <= 1, 0).when(size <= 3, 1).otherwise(MAX_EDITS)
-    deletes = F.when(size <= DELETE_LENGTH + MAX_EDITS, _delete_keys(word, depth)).otherwise(
-        _no_keys()
-    )
-    pieces = F.when(size > DELETE_LENGTH - MAX_EDITS, _piece_keys(word)).otherwise(_no_keys())
-    return F.concat(deletes, pieces)
+    return F.when(size <= DELETE_LENGTH, _delete_keys(word, depth)).when(
+        size <= HALF_LENGTH, _half_keys(word)).otherwise(_piece_keys(word))
 
 
 def _swaps(word: Column) -> Column:

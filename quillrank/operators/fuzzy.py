@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
-from quillrank.functions.edits import allowed_edits, edits_within_two, probe_keys, vocabulary_keys
+from quillrank.functions.edits import MAX_EDITS, allowed_edits, edits_within_two, probe_keys, vocabulary_keys
 from quillrank.operators.scoring import stats_of
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import store
@@ -15,6 +15,8 @@ from quillrank.sources.workspace import store
 KEY_PART = "_part"
 # No query word has more keys than this, so the number of words bounds the keys.
 KEYS_PER_WORD = 211
+#: Indexed terms whose keys one task sorts and writes.
+_TERMS_PER_TASK = 100_000
 
 
 def _key_part(parts: int) -> Column:
@@ -25,11 +27,12 @@ def keys_of(terms: DataFrame, parts: int) -> DataFrame:
     """``(_key, term, _part)``: every indexed term under all keys by which it can be found.
 
     The terms are small but each one is a lot of work, so they are spread over all
-    cores, which write their keys where they are. Made once when an index is built, one
+    cores, in parts whose keys fit into memory to be sorted and written where they are. Made once when an index is built, one
     folder for each ``_part``; searches only read it.
     """
     cores = terms.sparkSession.sparkContext.defaultParallelism
-    distinct = terms.select("term").repartition(cores, "term").distinct()
+    tasks = max(cores, -(-terms.count() // _TERMS_PER_TASK))
+    distinct = terms.select("term").repartition(tasks, "term").distinct()
     keyed = distinct.select(F.explode(vocabulary_keys(F.col("term"))).alias("_key"), "term")
     return keyed.select("_key", "term", _key_part(parts))
 
@@ -51,7 +54,9 @@ def similar_terms(
     ).select("*", _key_part(cfg.key_partitions)).where(F.col(KEY_PART) >= 0)  # true; it allows pruning
     if wanted_rows * KEYS_PER_WORD <= cfg.broadcast_rows:
         probes = F.broadcast(probes)
-    close = F.abs(F.length("q_term") - F.length("term")) <= F.col("allowed")
+    # Most candidates of halves and pieces are dropped before they move; a swap counts as two plain edits here.
+    close = (F.abs(F.length("q_term") - F.length("term")) <= F.col("allowed")) & (
+        F.levenshtein("q_term", "term", 2 * MAX_EDITS) >= 0)
     candidates = (
         keys.join(probes, [KEY_PART, "_key"]).where(close)
         .groupBy("kind", "term", "q_term").agg(F.first("allowed").alias("allowed"))

@@ -149,3 +149,26 @@ def test_distance_and_keys_agree_with_brute_force(spark):
         allowed = 0 if size <= 2 else 1 if size <= 5 else 2
         if want <= allowed:
             assert row["meet"], row
+
+
+def test_long_words_have_few_keys_and_meet_all_neighbours(spark):
+    import random
+
+    rng, pairs = random.Random(11), []
+    for size in [*range(7, 25)] * 40:
+        word = "".join(rng.choice("abc") for _ in range(size))
+        other = word
+        for _ in range(2):
+            at = rng.choice([rng.randrange(len(other)), len(other) // 2])  # often at the cut
+            swapped = other[:at - 1] + other[at] + other[at - 1] + other[at + 1:] if 0 < at < len(other) else other
+            other = rng.choice([
+                swapped, other[:at] + other[at + 1:], other[:at] + "z" + other[at:], other[:at] + "y" + other[at + 1:]])
+        pairs.append((word, other))
+    found = spark.createDataFrame(pairs, "l string, r string").select(
+        "l", "r", edits_within_two(F.col("l"), F.col("r")).alias("d"),
+        F.arrays_overlap(probe_keys(F.col("l")), vocabulary_keys(F.col("r"))).alias("meet"),
+        F.size(probe_keys(F.col("l"))).alias("probes"), F.size(vocabulary_keys(F.col("r"))).alias("keys"),
+    ).collect()
+    assert not [r for r in found if r["d"] <= 2 and len(r["l"]) > 5 and not r["meet"]]
+    assert max(r["probes"] for r in found) <= 211
+    assert all(r["keys"] <= max(46, len(r["r"]) + 2) for r in found)
