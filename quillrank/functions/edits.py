@@ -183,6 +183,20 @@ def _foreign(word: Column, other: Column) -> Column:
     return F.length(F.call_function("translate", word, other, F.lit("")))
 
 
+def may_be_near(left: Column, right: Column, allowed: Column) -> Column:
+    """False only for words that are more than ``allowed`` edits apart; cheaper than the distance.
+
+    Beyond ``allowed`` plain edits a swap must save some. It is two plain edits, changes no
+    length and brings no new character, so only the other edits can do that.
+    """
+    others = allowed - 1
+    difference = F.abs(F.length(left) - F.length(right))
+    by_swaps = (difference <= others) & (_foreign(left, right) <= others) & (_foreign(right, left) <= others)
+    return (difference <= allowed) & F.when(
+        by_swaps, F.levenshtein(left, right, 2 * MAX_EDITS) >= 0
+    ).otherwise(F.levenshtein(left, right, MAX_EDITS) >= 0)
+
+
 def edits_within_two(left: Column, right: Column) -> Column:
     """Edit distance counting an adjacent swap as one edit; 3 means more than two.
 

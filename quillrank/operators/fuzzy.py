@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
-from quillrank.functions.edits import MAX_EDITS, allowed_edits, edits_within_two, probe_keys, vocabulary_keys
+from quillrank.functions.edits import allowed_edits, edits_within_two, may_be_near, probe_keys, vocabulary_keys
 from quillrank.operators.scoring import stats_of
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import store
@@ -54,9 +54,8 @@ def similar_terms(
     ).select("*", _key_part(cfg.key_partitions)).where(F.col(KEY_PART) >= 0)  # true; it allows pruning
     if wanted_rows * KEYS_PER_WORD <= cfg.broadcast_rows:
         probes = F.broadcast(probes)
-    # Most candidates of halves and pieces are dropped before they move; a swap counts as two plain edits here.
-    close = (F.abs(F.length("q_term") - F.length("term")) <= F.col("allowed")) & (
-        F.levenshtein("q_term", "term", 2 * MAX_EDITS) >= 0)
+    # Most candidates are dropped before they move.
+    close = may_be_near(F.col("q_term"), F.col("term"), F.col("allowed"))
     candidates = (
         keys.join(probes, [KEY_PART, "_key"]).where(close)
         .groupBy("kind", "term", "q_term").agg(F.first("allowed").alias("allowed"))

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.functions.edits import edits_within_two, probe_keys, vocabulary_keys
+from quillrank.functions.edits import edits_within_two, may_be_near, probe_keys, vocabulary_keys
 from quillrank.functions.keys import decimal_text, embedding_key, results_key
 from quillrank.functions.text import (
     build_text, clean_list, first_non_empty, split_words, synopsis_authors, synopsis_subjects,
@@ -172,3 +174,19 @@ def test_long_words_have_few_keys_and_meet_all_neighbours(spark):
     assert not [r for r in found if r["d"] <= 2 and len(r["l"]) > 5 and not r["meet"]]
     assert max(r["probes"] for r in found) <= 211
     assert all(r["keys"] <= max(46, len(r["r"]) + 2) for r in found)
+
+
+def test_the_filter_of_candidates_keeps_all_neighbours(spark):
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 8))) for _ in range(150)]
+    words += [w[:i] + w[i + 1] + w[i] + w[i + 2:] for w in words for i in range(0, len(w) - 1, 3)] + ["ca", "abc", "abdc", "bacd"]
+    rows = spark.createDataFrame([(w,) for w in sorted(set(words))], "l string")
+    pairs = rows.crossJoin(rows.withColumnRenamed("l", "r")).withColumn("edits", edits_within_two(F.col("l"), F.col("r")))
+    for allowed in (0, 1, 2):
+        kept = may_be_near(F.col("l"), F.col("r"), F.lit(allowed))
+        near, lost, dropped = pairs.agg(
+            F.count_if(F.col("edits") <= allowed), F.count_if((F.col("edits") <= allowed) & ~kept), F.count_if(~kept)).first()
+        assert near > 0 and lost == 0 and dropped > 0
+    # Four plain edits and no swap: nothing that has to be moved.
+    far = spark.createDataFrame([("garden", "gwtuxn")], "l string, r string")
+    assert far.select(may_be_near(F.col("l"), F.col("r"), F.lit(2))).first()[0] is False
