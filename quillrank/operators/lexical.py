@@ -24,7 +24,6 @@ from quillrank.sources.workspace import Stored, bucket_count, store, store_bucke
 
 TEXT = "text"
 KEYWORD = "keyword"
-POSTINGS_ORDER = ["field", "term"]
 
 
 def _field_tokens(corpus: DataFrame, name: str, cfg: RetrievalConfig) -> Column:
@@ -97,10 +96,10 @@ class LexicalIndex:
         return self.term_stats if self.term_rows is None else self.term_rows
 
 
-def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig) -> LexicalIndex:
+def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig, buckets: int | None = None) -> LexicalIndex:
     """Analyse the corpus once and store postings, statistics and fuzzy keys.
 
-    Lengths are added up while the documents pass; only the counts per term are
+    ``buckets`` are those of a stored corpus, so that no row moves. Lengths are added up while the documents pass; only the counts per term are
     exchanged.
     """
     spark = corpus.sparkSession
@@ -114,7 +113,7 @@ def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig) -> LexicalIndex
     postings = postings_of(analyzed, cfg)
     stored = store_bucketed(
         postings.write.partitionBy("term_part"), spark, "postings",
-        bucket_count(spark, cfg.index_buckets), POSTINGS_ORDER,
+        buckets or bucket_count(spark, cfg.index_buckets, corpus),
     )
     term_stats = store(term_stats_of(stored), "term-stats").df
     totals = [(name, seen.get[f"n_{i}"], seen.get[f"dl_{i}"]) for i, name in enumerate(names)]

@@ -22,7 +22,8 @@ from quillrank.sources.workspace import bucket_count, store
 class SearchIndex:
     """Stored corpus with vectors, the lexical index over it, and the write counts.
 
-    ``cells`` are the vectors once more, grouped for approximate search.
+    ``cells`` are the vectors once more, grouped for approximate search, ``buckets``
+    the number of buckets of an index in one part.
     """
 
     corpus: DataFrame
@@ -30,6 +31,7 @@ class SearchIndex:
     embedder: Embedder
     counts: dict[str, int]
     cells: CellIndex | None = None
+    buckets: int | None = None
 
     @property
     def vectors(self) -> DataFrame:
@@ -47,11 +49,11 @@ def bulk_index(
     same id the last one counts: by the columns of ``order``, or else by all
     columns as they stand.
     """
-    buckets = bucket_count(documents.sparkSession, cfg.index_buckets)
+    buckets = bucket_count(documents.sparkSession, cfg.index_buckets, documents)
     placed = _last_written(spread(documents, buckets), order)
     vectors = placed if "vector" in documents.columns else embed(placed, embedder)
     corpus, counts = store_corpus(vectors, embedder.dim, buckets)
-    return SearchIndex(corpus, build_lexical_index(corpus, cfg), embedder, counts)
+    return SearchIndex(corpus, build_lexical_index(corpus, cfg, buckets), embedder, counts, buckets=buckets)
 
 
 def with_cells(index: SearchIndex, cells: int | None = None, **settings) -> SearchIndex:

@@ -17,9 +17,9 @@ from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import Embedder
 from quillrank.operators.dense import CellIndex
 from quillrank.operators.fuzzy import KEY_PART
-from quillrank.operators.lexical import POSTINGS_ORDER, LexicalIndex
+from quillrank.operators.lexical import LexicalIndex
 from quillrank.plans.indexing import SearchIndex, rebuild
-from quillrank.sources.workspace import bucket_count, newest_row
+from quillrank.sources.workspace import bucket_count, newest_row, save_bucketed
 
 _MANIFEST = "version string, number long, buckets int, embedder string, config string, counts string, centers string"
 _PLAIN = ("term_stats", "field_stats")
@@ -30,11 +30,11 @@ def _table_name() -> str:
 
 
 def _bucketed(
-    spark: SparkSession, writer: DataFrameWriter, path: str, buckets: int, sort_by: list[str]
+    spark: SparkSession, writer: DataFrameWriter, path: str, buckets: int, sort_by: list[str] | None = None
 ) -> None:
     """Write bucket files by document; the table that this needs is forgotten, the files stay."""
     name = _table_name()
-    writer.format("parquet").option("path", path).bucketBy(buckets, "doc_id").sortBy(*sort_by).saveAsTable(name)
+    save_bucketed(writer, spark, path, name, buckets, sort_by)
     spark.sql(f"DROP TABLE {name}")
 
 
@@ -46,13 +46,13 @@ def save_index(index: SearchIndex, path: str, cfg: RetrievalConfig) -> None:
     spark = index.corpus.sparkSession
     if len(index.lexical.parts) > 1:
         index = rebuild(index, cfg)
-    buckets = bucket_count(spark, cfg.index_buckets)
+    buckets = index.buckets or bucket_count(spark, cfg.index_buckets, index.corpus)
     known = _manifest(spark, path)
     number = 1 + (known["number"] if known else 0)
     version = f"{path}/version-{number}-{uuid.uuid4().hex}"
     _bucketed(spark, index.corpus.write, f"{version}/corpus", buckets, ["doc_id"])
     (postings,) = index.lexical.parts
-    _bucketed(spark, postings.write.partitionBy("term_part"), f"{version}/postings", buckets, POSTINGS_ORDER)
+    _bucketed(spark, postings.write.partitionBy("term_part"), f"{version}/postings", buckets)
     for name in _PLAIN:
         getattr(index.lexical, name).write.parquet(f"{version}/{name}")
     index.lexical.keys.write.partitionBy(KEY_PART).parquet(f"{version}/keys")
@@ -104,6 +104,7 @@ def open_index(spark: SparkSession, path: str, embedder: Embedder) -> tuple[Sear
         vectors = spark.read.parquet(f"{saved['version']}/cells")
         cells = CellIndex(vectors, centers, spark.read.parquet(f"{saved['version']}/slices"))
     return (
-        SearchIndex(corpus, LexicalIndex((postings,), **plain), embedder, json.loads(saved["counts"]), cells),
+        SearchIndex(corpus, LexicalIndex((postings,), **plain), embedder, json.loads(saved["counts"]), cells,
+                    saved["buckets"]),
         RetrievalConfig(**settings),
     )

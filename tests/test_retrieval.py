@@ -1,4 +1,6 @@
+import glob
 import math
+import os
 import random
 from dataclasses import replace
 
@@ -19,7 +21,8 @@ from quillrank.operators.fuzzy import expand_terms, similar_terms
 from quillrank.operators.lexical import bm25_scores, bm25_top, query_weights
 from quillrank.operators.topk import top_k
 from quillrank.plans.stored_index import open_index, save_index
-from quillrank.sources.workspace import store
+from quillrank.sources import workspace
+from quillrank.sources.workspace import bucket_count, store
 
 DOCS = [
     ("1", "Clean architecture", "a guide to software architecture", ["Robert Martin"], ["Software"], "Hall"),
@@ -597,3 +600,25 @@ def test_blocks_of_documents_do_not_change_the_scores(spark, monkeypatch):
     monkeypatch.setattr(scoring, "_KEPT", 4)
     small = scoring.best_scored(index.lexical.parts, weights, cfg, 5)
     assert sorted(top_k(small, ["query_id"], [F.desc("score"), F.asc("doc_id")], 5).collect()) == want
+
+
+def test_buckets_grow_with_the_input_and_are_written_one_by_one(spark, monkeypatch, workdir):
+    _, docs, _ = random_docs(spark, 300, 7)
+    docs.write.parquet(f"{workdir}/docs")
+    docs, cfg = spark.read.parquet(f"{workdir}/docs"), RetrievalConfig(
+        keyword_fields=(), field_weights=WEIGHTS, mapping_boosts={}, term_partitions=2, key_partitions=2)
+    size = sum(os.path.getsize(f) for f in glob.glob(f"{workdir}/docs/*.parquet"))
+    assert bucket_count(spark, None, docs) == bucket_count(spark) == bucket_count(spark, None, docs.limit(0))
+    small = bulk_index(docs, HashingEmbedder(), cfg)
+    monkeypatch.setattr(workspace, "_BUCKET_BYTES", size // 20)
+    assert bucket_count(spark, None, docs) == -(-size // (size // 20)) and bucket_count(spark, 3, docs) == 3
+    large = bulk_index(docs, HashingEmbedder(), cfg)
+    save_index(large, f"{workdir}/saved", cfg)
+    opened, _ = open_index(spark, f"{workdir}/saved", HashingEmbedder())
+    assert large.buckets == opened.buckets >= 20 > small.buckets
+    for index in (large, opened):
+        assert sorted(index.lexical.parts[0].collect()) == sorted(small.lexical.parts[0].collect())
+        files = [f.rsplit("/", 2)[1:] for f in index.lexical.parts[0].inputFiles()]
+        # One file for each bucket and folder, as a task has one bucket.
+        assert len({(folder, name.split("_")[-1]) for folder, name in files}) == len(files)
+        assert len({name.split("_")[-1] for _, name in files}) > small.buckets
