@@ -9,7 +9,7 @@ from quillrank import schema
 from quillrank.config import RetrievalConfig
 from quillrank.functions.embedders import DOCUMENT, Embedder
 from quillrank.functions.text import build_text, clean_list, first_non_empty
-from quillrank.sources.workspace import Stored, store_bucketed
+from quillrank.sources.workspace import Stored, bucket_count, store_bucketed
 
 
 def _names_per_book(bridge: DataFrame, names: DataFrame, fk: str, name: str, out: str) -> DataFrame:
@@ -49,21 +49,28 @@ def assemble_fanout(
 ) -> DataFrame:
     """The same result from the plain chain of joins, to compare with ``assemble``.
 
-    Every author meets every genre of its book before duplicates are removed.
+    Every author meets every genre of its book before duplicates are removed. The joins
+    with the names come first and both bridges are dealt by book, so that these many rows
+    are made, sorted and reduced in the tasks of their books and never move. The parts
+    grow with the input, so that a task sorts what one part makes of it.
     """
+    parts = bucket_count(book.sparkSession, None, book, authored_by, having_genre)
+
+    def named(bridge: DataFrame, names: DataFrame, fk: str, name: str, out: str) -> DataFrame:
+        known = names.select(F.col("id").alias(fk), F.col(name).alias(out))
+        return bridge.join(known, fk, "left").select(F.col("id_book").alias("id"), out).repartition(parts, "id")
+
+    authors = named(authored_by, author, "id_author", "name", "author")
+    genres = named(having_genre, genre, "id_genre", "genre", "genre")
+    ids = book.select("id").distinct().repartition(parts, "id")
+    met = ids.join(authors, "id", "left").join(genres, "id", "left").groupBy("id").agg(
+        F.sort_array(F.collect_set("author")).alias("authors"), F.sort_array(F.collect_set("genre")).alias("genres"))
     p = publisher.select(F.col("id").alias("id_publisher"), F.col("name").alias("publisher"))
-    a = author.select(F.col("id").alias("id_author"), F.col("name").alias("author"))
-    g = genre.select(F.col("id").alias("id_genre"), "genre")
-    ab = authored_by.select(F.col("id_book").alias("id"), "id_author")
-    hg = having_genre.select(F.col("id_book").alias("id"), "id_genre")
-    joined = (
-        book.join(p, "id_publisher").join(ab, "id", "left").join(a, "id_author", "left")
-        .join(hg, "id", "left").join(g, "id_genre", "left")
-    )
-    return joined.groupBy(
-        F.col("id").alias("book_id"), "title", "synopsis", "book_picture", "publisher"
-    ).agg(F.sort_array(F.collect_set("author")).alias("authors"),
-          F.sort_array(F.collect_set("genre")).alias("genres"))
+    columns = [F.col("id").alias("book_id"), "title", "synopsis", "book_picture", "publisher"]
+    books = book.join(p, "id_publisher").select("id", *columns[1:]).repartition(parts, "id").distinct()
+    none = F.array().cast("array<string>")
+    return books.join(met, "id", "left").select(
+        *columns, F.coalesce("authors", none).alias("authors"), F.coalesce("genres", none).alias("genres"))
 
 
 def normalize(rows: DataFrame) -> DataFrame:

@@ -33,6 +33,36 @@ def test_assembly_keeps_books_without_authors_and_drops_those_without_publisher(
         assert rows["2"]["book_picture"] == "p" and rows["1"]["book_picture"] == ""
 
 
+def test_rows_of_authors_and_genres_never_move(spark):
+    make = spark.createDataFrame
+    relations = dict(
+        book=make([(1, "A", 7), (1, "A", 7), (1, "B", 7), (2, "C", 7), (3, "D", 9), (None, "E", 7)],
+                  "id long, title string, id_publisher long")
+        .withColumn("synopsis", F.lit("s")).withColumn("book_picture", F.lit(None).cast("string")),
+        publisher=make([(7, "P")], "id long, name string"),
+        author=make([(n, f"a{n}") for n in range(30)], "id long, name string"),
+        genre=make([(n, f"g{n}") for n in range(30)], "id long, genre string"),
+        authored_by=make([(1, n) for n in range(30)] + [(None, 1), (8, 2), (3, 2)], "id_book long, id_author long"),
+        having_genre=make([(1, n) for n in range(20)] + [(2, 4), (2, None), (None, 1)], "id_book long, id_genre long"),
+    )
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = assemble_fanout(**relations)
+        lines = made._jdf.queryExecution().executedPlan().toString().split("\n")
+        found = sorted((r["book_id"] or 0, r["title"], r["authors"], r["genres"]) for r in made.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    all_a, all_g = sorted(f"a{n}" for n in range(30)), sorted(f"g{n}" for n in range(20))
+    assert found == [(0, "E", [], []), (1, "A", all_a, all_g), (1, "B", all_a, all_g), (2, "C", [], ["g4"])]
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            below = "\n".join(lines[i:end])
+            assert not ("id_author" in below and "id_genre" in below)
+
+
 def test_latest_replaces_or_patches(spark):
     rows = spark.createDataFrame([
         ("x", "old", ["a"], "s", 1, 1), ("x", "new", [], "", 2, 2), ("y", "only", None, None, 1, 3),
