@@ -14,6 +14,9 @@ that the verification drops.
   half and what is left of it after leaving out one character.
 * Longer words are cut into ``2 * d + 1`` pieces: an edit spoils at most two pieces, so
   one survives unchanged within ``d`` positions of where it was.
+* Words of digits alone are cut in halves from ``NUMBER_LENGTH`` characters on. Tables have about as
+  many numbers as rows, of which queries name few, so few keys a number count for more than few
+  candidates; of each length there are only so many numbers.
 
 Query words look under the keys of all lengths that are near enough.
 """
@@ -27,6 +30,7 @@ from quillrank.functions.lets import let
 
 MAX_EDITS = 2
 DELETE_LENGTH = 9
+NUMBER_LENGTH = 6
 HALF_LENGTH = 20
 PIECES = 2 * MAX_EDITS + 1
 
@@ -41,6 +45,11 @@ def _no_keys() -> Column:
     return F.array().cast("array<bigint>")
 
 
+def _no_digits(word: Column) -> Column:
+    """How many characters of ``word`` are no digits."""
+    return F.length(F.call_function("translate", word, F.lit("0123456789"), F.lit("")))
+
+
 def _numbers(first: Column, last: Column) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
@@ -89,6 +98,11 @@ def _half_keys(word: Column) -> Column:
     return F.concat(keys(0, F.substring(word, F.lit(1), first)), keys(1, F.substring(word, first + 1, F.length(word))))
 
 
+def _fewest_halved(word: Column) -> Column:
+    """Length of the shortest words cut in halves that can be near ``word``; one with more other characters is near no number."""
+    return F.when(_no_digits(word) <= MAX_EDITS, NUMBER_LENGTH).otherwise(DELETE_LENGTH + 1)
+
+
 def _half_probe_keys(word: Column) -> Column:
     own = F.length(word)
 
@@ -102,7 +116,7 @@ def _half_probe_keys(word: Column) -> Column:
             _half_less_one(side, size, same), _half_less_one(side, size, part(side, size + 1)),
         )
 
-    sizes = _numbers(F.greatest(own - MAX_EDITS, F.lit(DELETE_LENGTH + 1)), F.least(own + MAX_EDITS, F.lit(HALF_LENGTH)))
+    sizes = _numbers(F.greatest(own - MAX_EDITS, _fewest_halved(word)), F.least(own + MAX_EDITS, F.lit(HALF_LENGTH)))
     return F.flatten(F.transform(sizes, lambda size: F.concat(
         of_half(0, _cut(size)), of_half(1, size - _cut(size)))))
 
@@ -153,17 +167,29 @@ def probe_keys(word: Column) -> Column:
     size = F.length(word)
     return F.array_distinct(F.concat(
         F.when(size <= DELETE_LENGTH + MAX_EDITS, _delete_keys(word, allowed_edits(word))).otherwise(_no_keys()),
-        F.when(size.between(DELETE_LENGTH + 1 - MAX_EDITS, HALF_LENGTH + MAX_EDITS), _half_probe_keys(word)).otherwise(_no_keys()),
+        F.when(size.between(_fewest_halved(word) - MAX_EDITS, F.lit(HALF_LENGTH + MAX_EDITS)), _half_probe_keys(word)).otherwise(_no_keys()),
         F.when(size > HALF_LENGTH - MAX_EDITS, _piece_probe_keys(word)).otherwise(_no_keys()),
     ))
 
 
+def _in_halves(word: Column) -> Column:
+    number = (F.length(word) >= NUMBER_LENGTH) & (_no_digits(word) == 0)
+    return (F.length(word) <= HALF_LENGTH) & ((F.length(word) > DELETE_LENGTH) | number)
+
+
 def vocabulary_keys(word: Column) -> Column:
     """Keys under which an indexed word can be found."""
     size = F.length(word)
     depth = F.when(size <= 1, 0).when(size <= 3, 1).otherwise(MAX_EDITS)
-    return F.when(size <= DELETE_LENGTH, _delete_keys(word, depth)).when(
-        size <= HALF_LENGTH, _half_keys(word)).otherwise(_piece_keys(word))
+    return F.array_distinct(F.when(_in_halves(word), _half_keys(word)).when(
+        size <= DELETE_LENGTH, _delete_keys(word, depth)).otherwise(_piece_keys(word)))
+
+
+def most_keys(word: Column) -> Column:
+    """An upper bound of the number of keys of an indexed word."""
+    size = F.length(word).cast("bigint")
+    return F.when(_in_halves(word), size + 2).when(
+        size <= DELETE_LENGTH, 1 + size * (size + 1) / 2).otherwise(PIECES).cast("bigint")
 
 
 def _swaps(word: Column) -> Column:

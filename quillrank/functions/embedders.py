@@ -69,12 +69,17 @@ class HashingEmbedder:
                 dtype=np.int64, count=len(coded.dictionary),
             )
             use = coded.indices.to_numpy(zero_copy_only=False)
-            cell = np.repeat(np.arange(rows), lengths) * dim + ((digits >> 4) % dim)[use]
+            place = np.repeat(np.arange(rows), lengths) * dim + ((digits >> 4) % dim)[use]
             sign = np.where(digits % 2 == 0, 1.0, -1.0)[use]
-            dense = np.bincount(cell, weights=sign, minlength=rows * dim).reshape(rows, dim)
-            norm = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+            dense = np.bincount(place, weights=sign, minlength=rows * dim)
+            # Few places of a vector are in use, and only these are scaled.
+            cell = np.flatnonzero(dense)
+            count = dense[cell]
+            norm = np.sqrt(np.bincount(cell // dim, weights=count * count, minlength=rows))
             norm[norm == 0.0] = 1.0
-            values = pa.array((dense / norm).astype(np.float32).ravel())
+            values = np.zeros(rows * dim, dtype=np.float32)
+            values[cell] = count / norm[cell // dim]
+            values = pa.array(values)
             ends = pa.array(np.arange(rows + 1, dtype=np.int32) * dim)
             return pa.ListArray.from_arrays(ends, values)
 

@@ -12,16 +12,6 @@ from quillrank.functions.text import build_text, clean_list, first_non_empty
 from quillrank.sources.workspace import Stored, bucket_count, store_bucketed
 
 
-def _names_per_book(bridge: DataFrame, names: DataFrame, fk: str, name: str, out: str) -> DataFrame:
-    """Sorted distinct names of every book; repeats disappear before the shuffle."""
-    return (
-        bridge.select("id_book", fk)
-        .join(names.select(F.col("id").alias(fk), name), fk, "left")
-        .groupBy("id_book")
-        .agg(F.sort_array(F.collect_set(name)).alias(out))
-    )
-
-
 def assemble(
     book: DataFrame, publisher: DataFrame, author: DataFrame, genre: DataFrame,
     authored_by: DataFrame, having_genre: DataFrame,
@@ -29,15 +19,25 @@ def assemble(
     """One row per published book with its authors and genres.
 
     Each bridge is reduced to one row per book before the join, so authors and
-    genres never multiply. Books without a publisher are left out.
+    genres never multiply. Books without a publisher are left out. All sides are dealt
+    by the text of the book's id into the parts that an index of these tables has, so a
+    job that wants documents by id need not move them again.
     """
-    authors = _names_per_book(authored_by, author, "id_author", "name", "authors")
-    genres = _names_per_book(having_genre, genre, "id_genre", "genre", "genres")
+    parts = bucket_count(book.sparkSession, None, book, publisher, author, genre, authored_by, having_genre)
+    key, kind = F.col("id").cast("string"), book.schema["id"].dataType
+
+    def names_per_book(bridge: DataFrame, names: DataFrame, fk: str, name: str, out: str) -> DataFrame:
+        rows = bridge.join(names.select(F.col("id").alias(fk), name), fk, "left")
+        named = rows.select(F.col("id_book").cast(kind).cast("string").alias("_book"), name)
+        return named.repartition(parts, "_book").groupBy("_book").agg(F.sort_array(F.collect_set(name)).alias(out))
+
+    authors = names_per_book(authored_by, author, "id_author", "name", "authors")
+    genres = names_per_book(having_genre, genre, "id_genre", "genre", "genres")
     publishers = publisher.select(F.col("id").alias("id_publisher"), F.col("name").alias("publisher"))
     return (
-        book.join(publishers, "id_publisher")
-        .join(authors, book["id"] == authors["id_book"], "left").drop("id_book")
-        .join(genres, book["id"] == genres["id_book"], "left").drop("id_book")
+        book.join(publishers, "id_publisher").repartition(parts, key)
+        .join(authors, key == authors["_book"], "left").drop("_book")
+        .join(genres, key == genres["_book"], "left").drop("_book")
         .select(F.col("id").alias("book_id"), "title", "synopsis", "book_picture", "publisher",
                 "authors", "genres")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import RetrievalConfig
-from quillrank.functions.edits import allowed_edits, edits_within_two, may_be_near, probe_keys, vocabulary_keys
+from quillrank.functions.edits import allowed_edits, edits_within_two, may_be_near, most_keys, probe_keys, vocabulary_keys
 from quillrank.operators.scoring import stats_of
 from quillrank.operators.topk import top_k
 from quillrank.sources.workspace import store
@@ -15,8 +15,8 @@ from quillrank.sources.workspace import store
 KEY_PART = "_part"
 # No query word has more keys than this, so the number of words bounds the keys.
 KEYS_PER_WORD = 211
-#: Indexed terms whose keys one task sorts and writes.
-_TERMS_PER_TASK = 100_000
+#: Keys that one task sorts and writes, into a file for each part.
+_KEYS_PER_TASK = 4_600_000
 
 
 def _key_part(parts: int) -> Column:
@@ -31,7 +31,8 @@ def keys_of(terms: DataFrame, parts: int) -> DataFrame:
     folder for each ``_part``; searches only read it.
     """
     cores = terms.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores, -(-terms.count() // _TERMS_PER_TASK))
+    known = terms.agg(F.sum(most_keys(F.col("term"))).alias("keys")).first()["keys"] or 0
+    tasks = max(cores, -(-known // _KEYS_PER_TASK))
     distinct = terms.select("term").repartition(tasks, "term").distinct()
     keyed = distinct.select(F.explode(vocabulary_keys(F.col("term"))).alias("_key"), "term")
     return keyed.select("_key", "term", _key_part(parts))

@@ -1,13 +1,16 @@
+import time
+
 from pyspark.sql import functions as F
 
 from quillrank import HashingEmbedder, schema
 from quillrank.functions.keys import embedding_key
 from quillrank.operators import memo
 from quillrank.operators.corpus import assemble, assemble_fanout, latest, normalize, write_corpus
-from quillrank.operators.corpus import embed
+from quillrank.operators.corpus import embed, spread
 from quillrank.sources.tables import (
     create_corpus_if_absent, read_corpus, read_query_set, scan_corpus, write_query_set,
 )
+from quillrank.sources.workspace import bucket_count, store
 
 
 def at(text):
@@ -63,6 +66,42 @@ def test_rows_of_authors_and_genres_never_move(spark):
             assert not ("id_author" in below and "id_genre" in below)
 
 
+def test_assembled_documents_are_where_an_index_wants_them(spark):
+    make = spark.createDataFrame
+    relations = dict(
+        book=make([(n, f"T{n}", "s", None, n % 3) for n in range(40)],
+                  "id long, title string, synopsis string, book_picture string, id_publisher long"),
+        publisher=make([(n, f"P{n}") for n in range(3)], "id long, name string"),
+        author=make([(n, f"a{n}") for n in range(5)], "id long, name string"),
+        genre=make([(n, f"g{n}") for n in range(5)], "id long, genre string"),
+        authored_by=make([(n, n % 5) for n in range(40)], "id_book long, id_author long"),
+        having_genre=make([(n, n % 4) for n in range(40)], "id_book long, id_genre long"),
+    )
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        documents = normalize(assemble(**relations))
+        placed = spread(documents, bucket_count(spark, None, documents))
+        moves = [df._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in (documents, placed)]
+        assert moves[0] == moves[1] and sorted(placed.collect()) == sorted(documents.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_shuffle_files_go_with_the_table_that_is_made_of_them(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+
+    before = shuffled()
+    rows = store(spark.range(10_000).repartition(7, "id"), "shuffled")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.5)
+    assert not shuffled() - before and rows.df.count() == rows.rows == 10_000
+
+
 def test_latest_replaces_or_patches(spark):
     rows = spark.createDataFrame([
         ("x", "old", ["a"], "s", 1, 1), ("x", "new", [], "", 2, 2), ("y", "only", None, None, 1, 3),

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.functions.edits import edits_within_two, may_be_near, probe_keys, vocabulary_keys
+from quillrank.functions.edits import (
+    allowed_edits, edits_within_two, may_be_near, most_keys, probe_keys, vocabulary_keys,
+)
 from quillrank.functions.keys import decimal_text, embedding_key, results_key
 from quillrank.functions.text import (
     build_text, clean_list, first_non_empty, split_words, synopsis_authors, synopsis_subjects,
@@ -176,6 +178,29 @@ def test_long_words_have_few_keys_and_meet_all_neighbours(spark):
     assert all(r["keys"] <= max(46, len(r["r"]) + 2) for r in found)
 
 
+def test_numbers_have_few_keys_and_meet_all_neighbours(spark):
+    rng, pairs = random.Random(5), []
+    for n in range(6000):
+        word = "".join(rng.choice("0123456789" if n % 3 else "012") for _ in range(rng.randrange(4, 13)))
+        other = word
+        for _ in range(2):
+            at, new = rng.randrange(len(other)), rng.choice("0123456789a")
+            swapped = other[:at] + other[at + 1 : at + 2] + other[at] + other[at + 2 :]
+            other = rng.choice([swapped, other[:at] + other[at + 1 :] or new, other[:at] + new + other[at:],
+                                other[:at] + new + other[at + 1 :]])
+        pairs += [(word, other), (other, word)]
+    found = spark.createDataFrame(pairs, "l string, r string").repartition(8).select(
+        "l", "r", edits_within_two(F.col("l"), F.col("r")).alias("d"), allowed_edits(F.col("l")).alias("allowed"),
+        F.arrays_overlap(probe_keys(F.col("l")), vocabulary_keys(F.col("r"))).alias("meet"),
+        F.size(probe_keys(F.col("l"))).alias("probes"), F.size(vocabulary_keys(F.col("r"))).alias("keys"),
+        most_keys(F.col("r")).alias("most"),
+    ).collect()
+    near = [r for r in found if r["d"] <= r["allowed"]]
+    assert len(near) > 5000 and all(r["meet"] for r in near)
+    assert max(r["probes"] for r in found) <= 211 and all(r["keys"] <= r["most"] for r in found)
+    assert all(r["keys"] <= len(r["r"]) + 2 for r in found if len(r["r"]) >= 6 and r["r"].isdigit())
+
+
 def test_the_filter_of_candidates_keeps_all_neighbours(spark):
     draw = random.Random(9)
     words = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 8))) for _ in range(150)]
