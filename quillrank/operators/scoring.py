@@ -152,7 +152,7 @@ def _best_of_task(shared, fields: int, depth: int, digits: int):
             return
         terms, first, place, asked, weight, names = shared.value
         fan, queries = np.diff(first), len(names)
-        floor = np.full(queries, -np.inf)
+        floor, last = np.full(queries, -np.inf), np.full(queries, "", dtype=object)
         nothing = (np.empty(0, np.int64), np.empty(0, object), np.empty(0))
         best, waiting = nothing, []
 
@@ -161,8 +161,9 @@ def _best_of_task(shared, fields: int, depth: int, digits: int):
             order = np.lexsort((ids.astype(str), -score, owner))
             owner, ids, score = owner[order], ids[order], score[order]
             rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            # No later row below the last of these can be among the best.
-            floor[owner[rank == depth - 1]] = score[rank == depth - 1]
+            # No later row behind the last of these can be among the best, also not one with its score.
+            ends = rank == depth - 1
+            floor[owner[ends]], last[owner[ends]] = score[ends], ids[ends]
             return owner[rank < depth], ids[rank < depth], score[rank < depth]
 
         def rows(found: tuple) -> pa.RecordBatch:
@@ -194,6 +195,8 @@ def _best_of_task(shared, fields: int, depth: int, digits: int):
 
         for batch in batches:
             ids, found = np.asarray(batch.column("doc_id").to_pylist(), dtype=object), batch.column("found")
+            in_order, order = np.unique(ids.astype(str), return_inverse=True)
+            before = np.searchsorted(in_order, last.astype(str))
             ends = np.concatenate([[0], np.cumsum(np.diff(found.offsets.to_numpy()))])
             terms_found = found.flatten()
             at = np.searchsorted(terms, terms_found.field("_number").to_numpy())
@@ -205,12 +208,14 @@ def _best_of_task(shared, fields: int, depth: int, digits: int):
                 piece = slice(ends[start], ends[stop])
                 document = np.repeat(np.arange(stop - start), np.diff(ends[start : stop + 1]))
                 owner, document, score = scored(at[piece], share[piece], document, stop - start)
-                good = score >= floor[owner]
+                good = (score > floor[owner]) | (
+                    (score == floor[owner]) & (order[start + document] < before[owner]))
                 waiting.append((owner[good], ids[start + document[good]], score[good]))
                 start = stop
                 if sum(len(w[0]) for w in waiting) > max(_KEPT // 4, len(best[0])):
                     best = reduced()
                     waiting.clear()
+                    before = np.searchsorted(in_order, last.astype(str))
                     if len(best[0]) > _KEPT:
                         yield rows(best)
                         best = nothing

@@ -71,9 +71,10 @@ def _last_written(documents: DataFrame, order: list[str] | None) -> DataFrame:
     """
     unnamed = F.coalesce(F.col("doc_id"), F.lit("")) == ""
     columns = [c for c in documents.columns if c != "doc_id"]
-    position = F.struct(*(order or columns))
+    row = F.struct(*columns)
+    last = F.max_by(row, F.struct(*order)) if order else F.max(row)
     rows = documents.withColumn("_unnamed", F.when(unnamed, F.monotonically_increasing_id()))
-    newest = rows.groupBy("doc_id", "_unnamed").agg(F.max_by(F.struct(*columns), position).alias("_row"))
+    newest = rows.groupBy("doc_id", "_unnamed").agg(last.alias("_row"))
     return newest.select("doc_id", "_row.*")
 
 

@@ -5,6 +5,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -602,6 +603,29 @@ def test_blocks_of_documents_do_not_change_the_scores(spark, monkeypatch):
     assert sorted(top_k(small, ["query_id"], [F.desc("score"), F.asc("doc_id")], 5).collect()) == want
 
 
+def test_ties_behind_the_last_kept_document_are_dropped_at_once(monkeypatch):
+    class Shared:
+        value = scoring._query_lists(pa.table({"_number": [0], "_place": [0], "query_id": ["q"], "weight": [1.0]}))
+
+    kept, sorts, lexsort = scoring._best_of_task(Shared, 1, 3, 6), [], np.lexsort
+    monkeypatch.setattr(scoring, "_KEPT", 400)
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(1) or lexsort(keys))
+    ids = [f"{n:05d}" for n in range(4000)]
+    shuffled = random.Random(3).sample(ids, len(ids))
+    for documents in (ids, ids[::-1], shuffled):
+        sorts.clear()
+        kind = pa.list_(pa.struct([("_number", pa.int64()), ("share", pa.float64())]))
+        batches = [
+            pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(documents[at : at + 200]),
+                "found": pa.array([[{"_number": 0, "share": 0.5}]] * 200, kind)})
+            for at in range(0, len(documents), 200)]
+        found = [row["doc_id"] for batch in kept(iter(batches)) for row in batch.to_pylist()]
+        assert sorted(found)[:3] == ids[:3]
+        if documents is ids:
+            assert len(sorts) == 2  # the first rows, and what is left at the end
+
+
 def test_buckets_grow_with_the_input_and_are_written_one_by_one(spark, monkeypatch, workdir):
     _, docs, _ = random_docs(spark, 300, 7)
     docs.write.parquet(f"{workdir}/docs")
