@@ -20,7 +20,7 @@ from quillrank.functions.text import clean_list, term_frequencies, tokenize, tok
 from quillrank.operators.fuzzy import KEY_PART, expand_terms, keys_of
 from quillrank.operators.scoring import best_field, best_scored, scored_parts, stats_of, term_part
 from quillrank.operators.topk import top_k
-from quillrank.sources.workspace import Stored, bucket_count, store, store_bucketed, without_dictionary
+from quillrank.sources.workspace import SMALL_FILES, Stored, bucket_count, store, store_bucketed, without_dictionary
 
 TEXT = "text"
 KEYWORD = "keyword"
@@ -115,12 +115,12 @@ def build_lexical_index(corpus: DataFrame, cfg: RetrievalConfig, buckets: int |
         postings.write.options(**without_dictionary("doc_id")).partitionBy("term_part"), spark, "postings",
         buckets or bucket_count(spark, cfg.index_buckets, corpus),
     )
-    term_stats = store(term_stats_of(stored), "term-stats").df
+    term_stats = store(term_stats_of(stored), "term-stats", options=SMALL_FILES).df
     totals = [(name, seen.get[f"n_{i}"], seen.get[f"dl_{i}"]) for i, name in enumerate(names)]
     lengths = spark.createDataFrame([t for t in totals if t[1]], "field string, n_docs long, total_dl long").coalesce(1)
     field_stats = store(with_average(lengths), "field-stats").df
     keys = store(keys_of(term_stats, cfg.key_partitions), "fuzzy-keys", partition_by=KEY_PART,
-                 options=without_dictionary("_key", "term")).df
+                 options={**SMALL_FILES, **without_dictionary("_key", "term")}).df
     return LexicalIndex((stored,), term_stats, field_stats, keys)
 
 
